@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["statistics", "color"]
+MODULES = ["statistics", "color", "views"]
 
 
 def load() -> None:

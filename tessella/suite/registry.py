@@ -63,6 +63,35 @@ RELATIONS: dict[str, str] = {
         (CASE WHEN l_quantity::int % 4 = 0 THEN 0 ELSE l_suppkey * 13 % 700 + 1 END)::int AS hei,
         (l_quantity::int % 4 * 90)::int AS rot, l_quantity::int % 5 = 0 AS maintain_aspect, l_quantity::int % 2 = 0 AS allow_upscaling
         FROM lineitem""",
+    "view": """SELECT row_number() OVER () AS rid, q.*, width, height,
+        least(greatest(CASE WHEN rw > 0 AND rh > 0 THEN rx ELSE 0 END, 0), 1) AS vx, least(greatest(CASE WHEN rw > 0 AND rh > 0 THEN ry ELSE 0 END, 0), 1) AS vy,
+        least(greatest(CASE WHEN rw > 0 AND rh > 0 THEN rw ELSE 1 END, 0), 1) AS vw, least(greatest(CASE WHEN rw > 0 AND rh > 0 THEN rh ELSE 1 END, 0), 1) AS vh
+        FROM req q JOIN img USING (image_id)""",
+    "sized0": """SELECT *, (vw * width) / (vh * height) AS ratio, wid / (vw * width) > hei / (vh * height) AS fit_h FROM view""",
+    "sized1": """SELECT *,
+        CASE WHEN wid = 0 AND hei <> 0 THEN round(hei * ratio) WHEN wid = 0 THEN width WHEN hei <> 0 AND maintain_aspect AND fit_h THEN round(hei * ratio) ELSE wid END AS w0,
+        CASE WHEN hei = 0 AND wid <> 0 THEN round(wid / ratio) WHEN hei = 0 THEN height WHEN wid <> 0 AND maintain_aspect AND NOT fit_h THEN round(wid / ratio) ELSE hei END AS h0
+        FROM sized0""",
+    "sized": """SELECT *,
+        (CASE WHEN (w0 > 600 OR h0 > 600) AND w0 >= h0 THEN 600 WHEN w0 > 600 OR h0 > 600 THEN round(600 * ratio) ELSE w0 END)::int AS sw,
+        (CASE WHEN (w0 > 600 OR h0 > 600) AND h0 >= w0 THEN 600 WHEN w0 > 600 OR h0 > 600 THEN round(600 / ratio) ELSE h0 END)::int AS sh
+        FROM sized1""",
+    "chosen": """SELECT s.rid, coalesce(max(l.native_level) FILTER (
+          (CASE WHEN vw = 1 THEN l.width ELSE floor(s.width * vw / pow(2, l.native_level) + 1.1920929e-07::double) END) <= l.width + 1
+          AND (CASE WHEN vh = 1 THEN l.height ELSE floor(s.height * vh / pow(2, l.native_level) + 1.1920929e-07::double) END) <= l.height + 1
+          AND (wid = 0 OR (CASE WHEN vw = 1 THEN l.width ELSE floor(s.width * vw / pow(2, l.native_level) + 1.1920929e-07::double) END) >= sw)
+          AND (hei = 0 OR (CASE WHEN vh = 1 THEN l.height ELSE floor(s.height * vh / pow(2, l.native_level) + 1.1920929e-07::double) END) >= sh)), 0) AS first_native
+        FROM sized s JOIN lvl_floor l USING (image_id) GROUP BY s.rid""",
+    "scaled": """SELECT s.*, first_native, l.level AS first_level, l.width AS fw, l.height AS fh,
+        least((CASE WHEN wid = 0 AND hei > 0 THEN greatest(l.width, 1) * hei // greatest(l.height, 1) ELSE wid END) / greatest(l.width, 1)::double,
+              (CASE WHEN hei = 0 AND wid > 0 THEN greatest(l.height, 1) * wid // greatest(l.width, 1) ELSE hei END) / greatest(l.height, 1)::double) AS sc0
+        FROM sized s JOIN chosen USING (rid) JOIN lvl_floor l ON l.image_id = s.image_id AND l.native_level = first_native""",
+    "limited": """SELECT *, greatest(first_level - (SELECT count(*) FROM (SELECT unnest(range(0, 32)) AS k) WHERE floor(floor(greatest(fw * vw, fh * vh)
+          * (CASE WHEN sc0 <= 0 OR sc0 > 1 THEN 1 ELSE sc0 END)) / pow(2, k)) > 600), 0)::int AS level FROM scaled""",
+    "planned": """SELECT s.*, l.native_level, l.width AS lw, l.height AS lh,
+        least(round(s.width * vx / pow(2, l.native_level)), l.width)::int AS pl, least(round(s.height * vy / pow(2, l.native_level)), l.height)::int AS pt,
+        round(vw * (s.width / pow(2, l.native_level)))::int AS pw0, round(vh * (s.height / pow(2, l.native_level)))::int AS ph0
+        FROM limited s JOIN lvl_floor l ON l.image_id = s.image_id AND l.level = s.level""",
     "log": """SELECT event_id, ts, event_type, user_id, 'FIF=/img/' || (user_id % 10) || '.tif&WID=' || (8 + event_id % 56)
         || '&rgn=' || (event_id % 5) || 'e-1,0,0.5,0.5'
         || ['&ROT=90', '&ROT=!180', '&HEI=12px', '&HEI=20&hei=30', '', '', ''][(event_id % 7 + 1)::int]
