@@ -185,6 +185,11 @@ def fields(name: str, keys: str) -> dict[str, Column]:
     return {k: F.col(f"{name}_{k}") for k in keys.split()}
 
 
+def spread(df: DataFrame, name: str, struct: Column, keys: str) -> DataFrame:
+    """Add the fields of a struct expression as flat columns ``<name>_<key>``."""
+    return df.withColumns({f"{name}_{k}": struct[k] for k in keys.split()})
+
+
 def plan_views(requests: DataFrame, max_size: int = MAX_SIZE) -> DataFrame:
     """Level, pixel window and output size of requests joined to images with ``levels``.
 
@@ -193,10 +198,6 @@ def plan_views(requests: DataFrame, max_size: int = MAX_SIZE) -> DataFrame:
     structs, so that every step is computed once and not again for each use of one of its fields.
     """
     c = F.col
-
-    def spread(df: DataFrame, name: str, struct: Column, keys: str) -> DataFrame:
-        return df.withColumns({f"{name}_{k}": struct[k] for k in keys.split()})
-
     view, size = fields("view", "x y w h"), fields("size", "w h")
     planned = spread(requests, "view", clamp_region(c("rx"), c("ry"), c("rw"), c("rh")), "x y w h")
     wanted = request_size(c("wid"), c("hei"), view, c("width"), c("height"), c("maintain_aspect"), max_size)

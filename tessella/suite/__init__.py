@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["statistics", "color", "views"]
+MODULES = ["statistics", "color", "views", "catalogue"]
 
 
 def load() -> None:

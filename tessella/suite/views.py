@@ -217,8 +217,10 @@ def _(spark, sf):
           try_cast(string_split(replace(t, '!', ''), ',')[2] AS double) AS tail, floor(rw * width) AS fw, floor(rh * height) AS fh, (rw * width) / (rh * height) AS ratio FROM (
           SELECT image_id, line, width, height, w AS rw, h AS rh, replace(size, '^', '') AS t, size LIKE '^%' AS upscale FROM ({_REGION_SQL}) WHERE error IS NULL))))""")
 def _(spark, sf):
-    t = _texts(spark, sf).withColumn("g", G.iiif_region(c("region"), c("width"), c("height"))).where("g.error IS NULL")
-    return t.withColumn("s", G.iiif_size(c("size"), c("g"), c("width"), c("height"), 3, LIMIT)).select("image_id", "line", "s.*")
+    t = G.spread(_texts(spark, sf), "g", G.iiif_region(c("region"), c("width"), c("height")), "x y w h error").where("g_error IS NULL")
+    keys = "w h maintain_aspect allow_upscaling error"
+    t = G.spread(t, "s", G.iiif_size(c("size"), G.fields("g", "x y w h"), c("width"), c("height"), 3, LIMIT), keys)
+    return t.select("image_id", "line", *[v.alias(k) for k, v in G.fields("s", keys).items()])
 
 
 @query("iiif_rotation", f"""SELECT image_id, line, CASE rotation WHEN '0' THEN 0 WHEN '90' THEN 90 WHEN '!180' THEN 0 WHEN '!270' THEN 270 END AS rot,
