@@ -77,29 +77,37 @@ def viewport_set(view: Column) -> Column:
     return (view["w"] < 1) | (view["h"] < 1) | (view["x"] > 0) | (view["y"] > 0)
 
 
-def request_size(wid: Column, hei: Column, view: Column, width: Column, height: Column, maintain: Column, max_size: int = MAX_SIZE) -> Column:
-    """Requested output size (w, h) with missing sides filled in and the limit applied."""
-    ratio = (view["w"] * width) / (view["h"] * height)
-    fit_h = (wid / (view["w"] * width)) > (hei / (view["h"] * height))
-    both = (wid != 0) & (hei != 0) & maintain
-    w = (
-        F.when((wid == 0) & (hei != 0), F.round(hei * ratio))
-        .when((wid == 0) & (hei == 0), width)
-        .when(both & fit_h, F.round(hei * ratio))
-        .otherwise(wid)
-    )
-    h = (
-        F.when((hei == 0) & (wid != 0), F.round(wid / ratio))
-        .when((wid == 0) & (hei == 0), height)
-        .when(both & ~fit_h, F.round(wid / ratio))
-        .otherwise(hei)
+def with_request_size(df: DataFrame, max_size: int = MAX_SIZE) -> DataFrame:
+    """Output size size_w, size_h of rows with wid, hei, view_*, width, height, maintain_aspect.
+
+    Missing sides are filled in by aspect, both together are the full size, two sides with the aspect
+    kept are a box to fit in, and the limit is applied last.
+    """
+    c = F.col
+    wid, hei, ratio = c("wid"), c("hei"), c("_ratio")
+    step = df.withColumns({"_vw": c("view_w") * c("width"), "_vh": c("view_h") * c("height")})
+    step = step.withColumns({"_ratio": c("_vw") / c("_vh"), "_fit_h": (wid / c("_vw")) > (hei / c("_vh"))})
+    both = (wid != 0) & (hei != 0) & c("maintain_aspect")
+    step = step.withColumns(
+        {
+            "_w": F.when((wid == 0) & (hei != 0), F.round(hei * ratio))
+            .when((wid == 0) & (hei == 0), c("width"))
+            .when(both & c("_fit_h"), F.round(hei * ratio))
+            .otherwise(wid),
+            "_h": F.when((hei == 0) & (wid != 0), F.round(wid / ratio))
+            .when((wid == 0) & (hei == 0), c("height"))
+            .when(both & ~c("_fit_h"), F.round(wid / ratio))
+            .otherwise(hei),
+        }
     )
-    if max_size <= 0:
-        return F.struct(int_(w).alias("w"), int_(h).alias("h"))
-    over = (w > max_size) | (h > max_size)
-    lw = F.when(over & (w >= h), max_size).when(over, F.round(max_size * ratio)).otherwise(w)
-    lh = F.when(over & (h >= w), max_size).when(over, F.round(max_size / ratio)).otherwise(h)
-    return F.struct(int_(lw).alias("w"), int_(lh).alias("h"))
+    w, h = c("_w"), c("_h")
+    if max_size > 0:
+        over = (w > max_size) | (h > max_size)
+        w, h = (
+            F.when(over & (w >= h), max_size).when(over, F.round(max_size * ratio)).otherwise(w),
+            F.when(over & (h >= w), max_size).when(over, F.round(max_size / ratio)).otherwise(h),
+        )
+    return step.withColumns({"size_w": int_(w), "size_h": int_(h)}).drop("_vw", "_vh", "_ratio", "_fit_h", "_w", "_h")
 
 
 def choose_level(levels: Column, wid: Column, hei: Column, size: Column, view: Column, width: Column, height: Column) -> Column:
@@ -200,9 +208,7 @@ def plan_views(requests: DataFrame, max_size: int = MAX_SIZE) -> DataFrame:
     c = F.col
     view, size = fields("view", "x y w h"), fields("size", "w h")
     planned = spread(requests, "view", clamp_region(c("rx"), c("ry"), c("rw"), c("rh")), "x y w h")
-    wanted = request_size(c("wid"), c("hei"), view, c("width"), c("height"), c("maintain_aspect"), max_size)
-    planned = spread(planned, "size", wanted, "w h")
-    planned = planned.withColumn(
+    planned = with_request_size(planned, max_size).withColumn(
         "first_native", choose_level(c("levels"), c("wid"), c("hei"), size, view, c("width"), c("height"))
     )
     first = F.get("levels", c("first_native"))
@@ -246,67 +252,91 @@ def needs_raw(bpc: Column, channels: Column, image_space: Column, wanted_space:
 # --- request grammars as columns ------------------------------------------------------------------
 
 
-def iiif_region(text: Column, width: Column, height: Column) -> Column:
-    """Region text to (x, y, w, h, error); bad rows keep a reason instead of failing the job."""
-    t = F.lower(text)
-    pct = t.startswith("pct:")
-    parts = F.filter(F.split(F.regexp_replace(t, "^pct:", ""), ","), lambda p: p != "")
-    wd, hd = F.when(pct, 100.0).otherwise(width), F.when(pct, 100.0).otherwise(height)
-    x, y, w, h = (leading_number(F.get(parts, F.lit(i))) / d for i, d in enumerate((wd, hd, wd, hd)))
-    w = F.when(x + w > 1, 1 - x).otherwise(w)
-    h = F.when(y + h > 1, 1 - y).otherwise(h)
-    bad = (F.size(parts) != 4) | (w <= 0) | (h <= 0)
-    sq_w = F.when(width > height, height / width).otherwise(1.0)
-    sq_h = F.when(height > width, width / height).otherwise(1.0)
-    full, square = t == "full", t == "square"
+def with_iiif_region(df: DataFrame, text: str = "region", width: str = "width", height: str = "height") -> DataFrame:
+    """Parse region texts; adds region_x, region_y, region_w, region_h, region_error.
+
+    Bad rows keep a reason instead of failing the job.  Steps are separate columns, so a part that
+    several results need is computed once.
+    """
+    c = F.col
+    t = F.lower(c(text))
+    step = df.withColumns({"_t": t, "_pct": t.startswith("pct:")})
+    step = step.withColumn("_p", F.filter(F.split(F.regexp_replace("_t", "^pct:", ""), ","), lambda p: p != ""))
+    over = [F.when(c("_pct"), 100.0).otherwise(c(d)) for d in (width, height, width, height)]
+    step = step.withColumns({f"_{k}": leading_number(F.get("_p", F.lit(i))) / over[i] for i, k in enumerate("xywh")})
+    step = step.withColumns(
+        {
+            "_w": F.when(c("_x") + c("_w") > 1, 1 - c("_x")).otherwise(c("_w")),
+            "_h": F.when(c("_y") + c("_h") > 1, 1 - c("_y")).otherwise(c("_h")),
+            "_sw": F.when(c(width) > c(height), c(height) / c(width)).otherwise(1.0),
+            "_sh": F.when(c(height) > c(width), c(width) / c(height)).otherwise(1.0),
+        }
+    )
+    full, square = c("_t") == "full", c("_t") == "square"
+    step = step.withColumn("_bad", (F.size("_p") != 4) | (c("_w") <= 0) | (c("_h") <= 0))
 
     def pick(a: float, b: Column, v: Column) -> Column:
-        return F.when(full, a).when(square, b).when(~bad, clip01(v))
+        return F.when(full, a).when(square, b).when(~c("_bad"), clip01(v))
 
-    return F.struct(
-        pick(0.0, (1 - sq_w) / 2, x).alias("x"),
-        pick(0.0, (1 - sq_h) / 2, y).alias("y"),
-        pick(1.0, sq_w, w).alias("w"),
-        pick(1.0, sq_h, h).alias("h"),
-        F.when(~full & ~square & bad, "incorrect region").alias("error"),
-    )
+    return step.withColumns(
+        {
+            "region_x": pick(0.0, (1 - c("_sw")) / 2, c("_x")),
+            "region_y": pick(0.0, (1 - c("_sh")) / 2, c("_y")),
+            "region_w": pick(1.0, c("_sw"), c("_w")),
+            "region_h": pick(1.0, c("_sh"), c("_h")),
+            "region_error": F.when(~full & ~square & c("_bad"), "incorrect region"),
+        }
+    ).drop("_t", "_pct", "_p", "_x", "_y", "_w", "_h", "_sw", "_sh", "_bad")
 
 
-def iiif_size(text: Column, region: Column, width: Column, height: Column, version: int = 3, max_size: int = MAX_SIZE) -> Column:
-    """Size text to (w, h, maintain_aspect, allow_upscaling, error)."""
-    raw = F.lower(text)
-    caret = raw.startswith("^")
-    t = F.regexp_replace(raw, r"^\^", "") if version >= 3 else raw
-    upscale = caret if version >= 3 else F.lit(True)
-    fw, fh = F.floor(region["w"] * width), F.floor(region["h"] * height)
-    ratio = (region["w"] * width) / (region["h"] * height)
-    pct = F.regexp_extract(t, r"^pct:\s*([+-]?\d*\.?\d+)", 1).try_cast("double")
-    body = F.regexp_replace(t, "^!", "")
-    head = F.regexp_extract(body, r"^(\d+)[^,]*,", 1).try_cast("double")
-    tail = F.regexp_extract(body, r"^[^,]*,(\d+)", 1).try_cast("double")
-    full, is_pct, bang = t.isin("full", "max"), t.startswith("pct:"), t.startswith("!")
-    only_h, only_w = body.startswith(","), body.endswith(",") & ~body.startswith(",")
-    w = F.when(full, fw).when(is_pct, F.round(fw * pct / 100)).when(only_h, F.round(tail * ratio)).otherwise(head)
-    h = F.when(full, fh).when(is_pct, F.round(fh * pct / 100)).when(only_w, F.round(head / ratio)).otherwise(tail)
-    aspect = full | is_pct | bang | only_h | only_w
-    error = (
-        F.when(~full & ~is_pct & ~body.contains(","), "no comma found")
-        .when(w.isNull() | h.isNull() | (w <= 0) | (h <= 0), "invalid size")
-        .when(
-            F.lit(version >= 3) & ~upscale & ((w > F.round(width * region["w"])) | (h > F.round(height * region["h"]))),
-            "upscaling needs ^",
-        )
+def with_iiif_size(df: DataFrame, text: str = "size", version: int = 3, max_size: int = MAX_SIZE) -> DataFrame:
+    """Parse size texts of rows with region_* columns.
+
+    Adds size_w, size_h, size_maintain_aspect, size_allow_upscaling, size_error.
+    """
+    c = F.col
+    raw = F.lower(c(text))
+    step = df.withColumns(
+        {
+            "_t": F.regexp_replace(raw, r"^\^", "") if version >= 3 else raw,
+            "_up": raw.startswith("^") if version >= 3 else F.lit(True),
+            "_rw": c("region_w") * c("width"),
+            "_rh": c("region_h") * c("height"),
+        }
     )
-    over = (w > max_size) | (h > max_size)
+    step = step.withColumns({"_b": F.regexp_replace("_t", "^!", ""), "_ratio": c("_rw") / c("_rh")})
+    step = step.withColumns(
+        {
+            "_pct": F.regexp_extract("_t", r"^pct:\s*([+-]?\d*\.?\d+)", 1).try_cast("double"),
+            "_head": F.regexp_extract("_b", r"^(\d+)[^,]*,", 1).try_cast("double"),
+            "_tail": F.regexp_extract("_b", r"^[^,]*,(\d+)", 1).try_cast("double"),
+        }
+    )
+    full, is_pct, bang = c("_t").isin("full", "max"), c("_t").startswith("pct:"), c("_t").startswith("!")
+    only_h, only_w = c("_b").startswith(","), c("_b").endswith(",") & ~c("_b").startswith(",")
+    fw, fh, ratio = F.floor("_rw"), F.floor("_rh"), c("_ratio")
+    step = step.withColumns(
+        {
+            "_w": F.when(full, fw).when(is_pct, F.round(fw * c("_pct") / 100)).when(only_h, F.round(c("_tail") * ratio)).otherwise(c("_head")),
+            "_h": F.when(full, fh).when(is_pct, F.round(fh * c("_pct") / 100)).when(only_w, F.round(c("_head") / ratio)).otherwise(c("_tail")),
+            "size_maintain_aspect": full | is_pct | bang | only_h | only_w,
+            "size_allow_upscaling": c("_up"),
+        }
+    )
+    w, h, aspect = c("_w"), c("_h"), c("size_maintain_aspect")
+    step = step.withColumns(
+        {
+            "size_error": F.when(~full & ~is_pct & ~c("_b").contains(","), "no comma found")
+            .when(w.isNull() | h.isNull() | (w <= 0) | (h <= 0), "invalid size")
+            .when(F.lit(version >= 3) & ~c("_up") & ((w > F.round("_rw")) | (h > F.round("_rh"))), "upscaling needs ^"),
+            "_over": (w > max_size) | (h > max_size),
+        }
+    )
+    over, good = c("_over"), c("size_error").isNull()
     lw = F.when(over & (ratio > 1), max_size).when(over & aspect, F.round(max_size * ratio)).when(over, max_size).otherwise(w)
     lh = F.when(over & (ratio <= 1), max_size).when(over & aspect, F.round(max_size / ratio)).when(over, max_size).otherwise(h)
-    return F.struct(
-        F.when(error.isNull(), int_(lw)).alias("w"),
-        F.when(error.isNull(), int_(lh)).alias("h"),
-        aspect.alias("maintain_aspect"),
-        upscale.alias("allow_upscaling"),
-        error.alias("error"),
-    )
+    step = step.withColumns({"size_w": F.when(good, int_(lw)), "size_h": F.when(good, int_(lh))})
+    return step.drop("_t", "_up", "_rw", "_rh", "_b", "_ratio", "_pct", "_head", "_tail", "_w", "_h", "_over")
 
 
 def iiif_rotation(text: Column) -> Column:

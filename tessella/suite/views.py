@@ -201,8 +201,8 @@ _REGION_SQL = f"""SELECT image_id, line, width, height, size, region,
 
 @query("iiif_region", f"SELECT image_id, line, round(x, 9) AS x, round(y, 9) AS y, round(w, 9) AS w, round(h, 9) AS h, error FROM ({_REGION_SQL})")
 def _(spark, sf):
-    t = _texts(spark, sf).withColumn("g", G.iiif_region(c("region"), c("width"), c("height")))
-    return t.select("image_id", "line", *[F.round(c(f"g.{k}"), 9).alias(k) for k in "xywh"], "g.error")
+    t = G.with_iiif_region(_texts(spark, sf))
+    return t.select("image_id", "line", *[F.round(c(f"region_{k}"), 9).alias(k) for k in "xywh"], c("region_error").alias("error"))
 
 
 @query("iiif_size", f"""SELECT image_id, line, CASE WHEN error IS NULL THEN (CASE WHEN over AND ratio > 1 THEN 600 WHEN over AND aspect THEN round(600 * ratio) WHEN over THEN 600 ELSE w END)::int END AS w,
@@ -217,10 +217,9 @@ def _(spark, sf):
           try_cast(string_split(replace(t, '!', ''), ',')[2] AS double) AS tail, floor(rw * width) AS fw, floor(rh * height) AS fh, (rw * width) / (rh * height) AS ratio FROM (
           SELECT image_id, line, width, height, w AS rw, h AS rh, replace(size, '^', '') AS t, size LIKE '^%' AS upscale FROM ({_REGION_SQL}) WHERE error IS NULL))))""")
 def _(spark, sf):
-    t = G.spread(_texts(spark, sf), "g", G.iiif_region(c("region"), c("width"), c("height")), "x y w h error").where("g_error IS NULL")
+    t = G.with_iiif_size(G.with_iiif_region(_texts(spark, sf)).where("region_error IS NULL"), "size", 3, LIMIT)
     keys = "w h maintain_aspect allow_upscaling error"
-    t = G.spread(t, "s", G.iiif_size(c("size"), G.fields("g", "x y w h"), c("width"), c("height"), 3, LIMIT), keys)
-    return t.select("image_id", "line", *[v.alias(k) for k, v in G.fields("s", keys).items()])
+    return t.select("image_id", "line", *[v.alias(k) for k, v in G.fields("size", keys).items()])
 
 
 @query("iiif_rotation", f"""SELECT image_id, line, CASE rotation WHEN '0' THEN 0 WHEN '90' THEN 90 WHEN '!180' THEN 0 WHEN '!270' THEN 270 END AS rot,
