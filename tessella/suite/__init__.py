@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["statistics", "color", "views", "catalogue"]
+MODULES = ["statistics", "color", "views", "catalogue", "resampling"]
 
 
 def load() -> None:

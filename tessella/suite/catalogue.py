@@ -163,15 +163,18 @@ def _(spark, sf):
     return images(spark, sf).select("image_id", bare.alias("info"), info.contains("color").alias("has_color"))
 
 
-@query("static_tile_paths", """SELECT image_id, level, count(*) AS n, min(deepzoom) AS dz_first, max(deepzoom) AS dz_last, min(zoomify) AS zf_first, max(zoomify) AS zf_last, min(iiif) AS iiif_first, max(iiif) AS iiif_last FROM (SELECT image_id, level, tx, ty, path || '_files/' || (level + dz - n + 1) || '/' || tx || '_' || ty || '.png' AS deepzoom, path || '/TileGroup0/' || (level - d) || '-' || tx || '-' || ty || '.png' AS zoomify,
+_digest = lambda k: f"sum(('0x' || md5({k})[1:8])::bigint)::bigint"
+
+
+@query("static_tile_paths", f"""SELECT image_id, level, count(*) AS n, {_digest('deepzoom')} AS deepzoom, {_digest('zoomify')} AS zoomify, {_digest('iiif')} AS iiif FROM (SELECT image_id, level, tx, ty, path || '_files/' || (level + dz - n + 1) || '/' || tx || '_' || ty || '.png' AS deepzoom, path || '/TileGroup0/' || (level - d) || '-' || tx || '-' || ty || '.png' AS zoomify,
       path || '/' || (tx * 256 * s) || ',' || (ty * 256 * s) || ',' || least(256 * s, fw - tx * 256 * s) || ',' || least(256 * s, fh - ty * 256 * s) || '/' || least(256, width - tx * 256) || ',/0/default.png' AS iiif FROM (
     SELECT *, unnest(range(0, ntx))::int AS tx FROM (SELECT l.*, i.path, i.width AS fw, i.height AS fh, ceil(log2(greatest(i.width, i.height)))::int AS dz, n, d, (1 << native_level)::bigint AS s, unnest(range(0, nty))::int AS ty
       FROM lvl_floor l JOIN img i USING (image_id) JOIN (SELECT image_id, count(*)::int AS n, greatest(count(*) FILTER (width < 256 AND height < 256) - 1, 0)::int AS d FROM lvl_floor GROUP BY ALL) USING (image_id)))) GROUP BY ALL""")
 def _(spark, sf):
     from tessella.plans.export import tile_paths
 
-    ends = [f(k).alias(f"{a}_{n}") for k, a in (("deepzoom", "dz"), ("zoomify", "zf"), ("iiif", "iiif")) for f, n in ((F.min, "first"), (F.max, "last"))]
-    return tile_paths(images(spark, sf)).groupBy("image_id", "level").agg(F.count("*").alias("n"), *ends)
+    digests = [F.sum(F.conv(F.substring(F.md5(k), 1, 8), 16, 10).cast("long")).alias(k) for k in ("deepzoom", "zoomify", "iiif")]
+    return tile_paths(images(spark, sf)).groupBy("image_id", "level").agg(F.count("*").alias("n"), *digests)
 
 
 @query("tile_counts", """SELECT image_id, level, sum(ntx * nty)::bigint AS n_tiles FROM lvl_floor GROUP BY ROLLUP (image_id, level)""")
