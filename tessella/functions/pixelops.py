@@ -29,7 +29,8 @@ def gamma(block: np.ndarray, g: float) -> np.ndarray:
 
 
 def log_transform(block: np.ndarray) -> np.ndarray:
-    return np.log(1.0 + 255.0 * block) / math.log(256.0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.log(1.0 + 255.0 * block) / math.log(256.0)
 
 
 def invert(block: np.ndarray) -> np.ndarray:
@@ -37,7 +38,8 @@ def invert(block: np.ndarray) -> np.ndarray:
 
 
 def contrast(block: np.ndarray, c: float) -> np.ndarray:
-    return np.clip(block * (255.0 * c), 0.0, 255.0).astype(np.uint8)
+    scaled = block * (255.0 * c)
+    return np.where(scaled < 255.0, np.maximum(scaled, 0.0), 255.0).astype(np.uint8)
 
 
 def scale_to_8bit(block: np.ndarray) -> np.ndarray:
@@ -179,3 +181,21 @@ def widen(value: np.ndarray, bits: int, min_is_white: bool = False) -> np.ndarra
     kind = np.uint8 if bits < 8 else np.uint16
     wide = wide.astype(kind)
     return ~wide if min_is_white else wide
+
+
+def equalize_lookup(hist, pixels: int) -> np.ndarray:
+    """256-entry equalisation map of a histogram for an output of ``pixels`` pixels."""
+    counts = np.asarray(hist, float)
+    used = np.flatnonzero(counts)
+    if not len(used):
+        return np.arange(256, dtype=np.uint8)
+    running = np.cumsum(counts)
+    mapped = np.floor(255.0 / running[-1] * (running - counts[used[0]] / pixels) + 0.5)
+    return (mapped.astype(np.int64) % 256).astype(np.uint8)
+
+
+def turn(block: np.ndarray, flip: int, rot: int) -> np.ndarray:
+    """Flip (1 left to right, 2 upside down), then turn clockwise."""
+    if flip:
+        block = block[::-1] if flip == 2 else block[:, ::-1]
+    return np.rot90(block, -(rot % 360) // 90) if rot % 90 == 0 else block

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.geometry import int_
-from tessella.operators.tiles import regrid
+from tessella.operators.tiles import GEOMETRY, regrid
 from tessella.schema import TILE_KEY
 
 c = F.col
@@ -73,7 +73,12 @@ def get_region(regions: DataFrame, tiles: DataFrame, keys: list[str], tile_w: in
     """
     # Bilinear weights never reach beyond the window, so the cover is that of the window itself.
     cells = tile_cover(regions, c("src_x"), c("src_y"), c("src_w"), c("src_h"), F.lit(tile_w), F.lit(tile_h), c("ntx"))
-    wanted = cells.drop("tx", "ty")
+    # Only what the cut needs travels with each wanted tile.
+    carried = dict.fromkeys([*keys, *TILE_KEY, *GEOMETRY, *[u for u in using if u in regions.columns]])
+    # Spread over the cluster by tile and request together: one wide region or one much wanted tile is
+    # the work of many tasks, also where the tiles are few enough to be broadcast.
+    slots = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = cells.select(*carried).repartition(slots, *TILE_KEY, *keys)
     joined = wanted.join(tiles, TILE_KEY)
     return regrid(joined, keys, tile_w, tile_h, out_tile, out_tile, mode, before, using)
 

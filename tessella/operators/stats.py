@@ -120,6 +120,13 @@ def stretch_range(hist: DataFrame, key: str = "image_id", shift: Column | int =
     return used.select(key, (F.col("b0") * factor).alias("lo"), (F.col("b1") * factor).alias("hi"))
 
 
+def histogram_arrays(hist: DataFrame, key: str = "image_id") -> DataFrame:
+    """(key, hist): the 256 counts of an image as one array."""
+    counts = hist.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0).cast("long")))
+    return counts.select(key, dense.alias("hist"))
+
+
 def equalize_table(hist: DataFrame, pixels: DataFrame | None, key: str = "image_id", standard: bool = False) -> DataFrame:
     """(key, lut): 256-entry map per image.
 

@@ -14,13 +14,15 @@ c = F.col
 def tile_paths(images: DataFrame, ext: str = "png") -> DataFrame:
     """One row per tile with its Deep Zoom, Zoomify and IIIF path.
 
-    Levels, then rows, then columns are exploded, so no task holds more than one row of tiles.
+    Levels and rows of tiles are exploded first and spread over the cluster, then the columns; a single
+    very large image is not the work of one task.
     """
     head = images.select(
         "image_id", "path", "width", "height", F.size("levels").alias("_n"),
         G.zoomify_discard(c("levels")).alias("_discard"), F.explode("levels").alias("lv"),
     )
     rows = head.where("lv.ntx > 0 AND lv.nty > 0").withColumn("ty", F.explode(F.sequence(F.lit(0), c("lv.nty") - 1)))
+    rows = rows.repartition("image_id", "lv.level", "ty")
     cells = rows.withColumn("tx", F.explode(F.sequence(F.lit(0), c("lv.ntx") - 1)))
     level = c("lv.level")
     return cells.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["statistics", "color", "views", "catalogue", "resampling"]
+MODULES = ["statistics", "color", "views", "catalogue", "resampling", "rendering", "requests"]
 
 
 def load() -> None:

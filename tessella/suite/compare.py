@@ -14,6 +14,7 @@ def duck(sf_dir: str):
 
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
+    con.execute("SET memory_limit='8GB'")
     for path in sorted(glob.glob(f"{sf_dir}/*.parquet")):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
     return con

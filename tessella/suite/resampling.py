@@ -149,8 +149,9 @@ def _convolve_sql(weights: list[float], relation: str, scope: str = "image") ->
     else:
         xs, ys = "greatest(least(p.x + dx, w - 1), 0)", "greatest(least(p.y + dy, h - 1), 0)"
     div = f" / {total}" if total > 0 else ""
-    return f"""SELECT p.image_id, p.y, p.x, 0 AS c, round(sum(k * q.v / 255.0::double){div}, 6) + 0.0 AS v FROM {relation} p JOIN vec_size USING (image_id), (VALUES {kernel_rows}) AS kk(dx, dy, k)
-      JOIN {relation} q ON q.image_id = p.image_id AND q.x = {xs} AND q.y = {ys} GROUP BY ALL"""
+    return f"""WITH tap AS (SELECT p.image_id, p.y, p.x, k, ({xs})::int AS tx, ({ys})::int AS ty FROM {relation} p JOIN vec_size USING (image_id) CROSS JOIN (VALUES {kernel_rows}) AS kk(dx, dy, k))
+      SELECT tap.image_id, tap.y, tap.x, 0 AS c, round(sum(k * q.v / 255.0::double){div}, 6) + 0.0 AS v FROM tap
+      JOIN {relation} q ON q.image_id = tap.image_id AND q.x = tap.tx AND q.y = tap.ty GROUP BY ALL"""
 
 
 _FIVE = [float(i % 4) for i in range(25)]
