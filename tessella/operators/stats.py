@@ -183,8 +183,9 @@ def latest_tile(tiles: DataFrame, key: tuple[str, ...] = tuple(VERSION_KEY)) ->
     The winner is found on the narrow key columns with map-side combining, so a key with very many
     versions is no hot group; the data joins afterwards.
     """
-    newest = tiles.groupBy(*key).agg(F.max("mtime").alias("mtime"))
-    return tiles.join(newest, [*key, "mtime"], "left_semi").dropDuplicates([*key])
+    newest = tiles.groupBy(*key).agg(F.max("mtime").alias("_newest"))
+    # Joined on the key alone: the duplicates left by equal times are dropped without another shuffle.
+    return tiles.join(newest, [*key]).where("mtime = _newest").drop("_newest").dropDuplicates([*key])
 
 
 def distinct_tiles(wanted: DataFrame, key: tuple[str, ...] = tuple(VERSION_KEY)) -> DataFrame:

@@ -32,3 +32,43 @@ def tile_paths(images: DataFrame, ext: str = "png") -> DataFrame:
         B.zoomify_path(level, c("tx"), c("ty"), c("_discard"), ext).alias("zoomify"),
         B.iiif_path(c("lv"), c("tx"), c("ty"), ext).alias("iiif"),
     )
+
+
+def export_collection(images: DataFrame, tiles: DataFrame, directory: str, layout: str = "deepzoom", ext: str = "png") -> DataFrame:
+    """Write every tile of every level under its client path; returns (file, bytes).
+
+    The tile table is joined on its key, so the work is spread by tile, not by image.
+    """
+    from tessella.sources.sinks import encode_tiles, write_files
+
+    paths = tile_paths(images, ext).select("image_id", "level", "tile", c(layout).alias("file"))
+    joined = tiles.join(paths, ["image_id", "level", "tile"])
+    return write_files(encode_tiles(joined, ext), directory)
+
+
+def write_manifests(images: DataFrame, directory: str, layout: str = "deepzoom", base: str = "") -> DataFrame:
+    """Write the manifest of each image beside its tiles; returns (file, bytes)."""
+    from tessella.sources.sinks import write_files
+
+    text = {
+        "deepzoom": (F.concat(c("path"), F.lit(".dzi")), B.deepzoom_manifest()),
+        "zoomify": (F.concat(c("path"), F.lit("/ImageProperties.xml")), B.zoomify_manifest()),
+        "iiif": (F.concat(c("path"), F.lit("/info.json")), B.iiif_info(base)),
+    }
+    name, body = text[layout]
+    return write_files(images.select(name.alias("file"), F.encode(body, "UTF-8").alias("encoded")), directory)
+
+
+def render_tile_ranges(requests: DataFrame, levels: DataFrame, tiles: DataFrame, fmt: str = "png") -> DataFrame:
+    """Encoded tiles of rectangles between two tile numbers; each tile is encoded once.
+
+    ``requests`` have image_id, level, start_tile, end_tile and own columns (see logs.tile_commands).
+    """
+    from tessella.operators.cover import tile_rectangle
+    from tessella.sources.sinks import encode_tiles
+
+    key = ["image_id", "level", "tile"]
+    sized = requests.join(levels.select("image_id", "level", "ntx"), ["image_id", "level"])
+    cells = tile_rectangle(sized, c("start_tile"), c("end_tile"), c("ntx")).drop("tx", "ty")
+    wanted = tiles.join(cells.select(*key).distinct(), key, "left_semi")
+    return cells.drop("ntx").join(encode_tiles(wanted, fmt).drop("data"), key)

@@ -359,3 +359,32 @@ def _(spark, sf):
     )
     pairs = images.select("image_id", F.posexplode(F.arrays_zip(lo.alias("lo"), hi.alias("hi"))).alias("c", "p"))
     return pairs.select("image_id", "c", F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi"))
+
+
+@query("sql_functions", f"""WITH {_UNIT} SELECT image_id, y, x, round(pow(greatest(v, 0), 2.2::double), 6) AS gamma, round(1 - v, 6) AS inverted,
+    floor(least(greatest(v * 255 * 1.3::double, 0), 255))::int AS contrast, y // 16 * 4 + x // 16 AS tile FROM unit""")
+def _(spark, sf):
+    """The same through registered SQL functions."""
+    from tessella.functions.registry import register_functions
+
+    register_functions(spark)
+    return _unit_pixels(spark, sf).select(
+        *_ID,
+        F.expr("round(tile_gamma(v, 2.2D), 6)").alias("gamma"),
+        F.expr("round(tile_invert(v), 6)").alias("inverted"),
+        F.expr("tile_contrast(v, 1.3D)").alias("contrast"),
+        F.expr("tile_number(x, y, 16, 16, 4)").alias("tile"),
+    )
+
+
+@query("tile_cover_function", """SELECT image_id, tx, ty, (ty * 4 + tx)::int AS tile FROM (SELECT image_id, tx, unnest(range(image_id % 7 * 5 // 16, (least(image_id % 7 * 5 + 20, h) + 15) // 16))::int AS ty
+    FROM (SELECT image_id, h, unnest(range(image_id % 9 * 4 // 16, (least(image_id % 9 * 4 + 30, 64) + 15) // 16))::int AS tx FROM vec_size))""")
+def _(spark, sf):
+    from tessella.functions.registry import register_functions
+
+    register_functions(spark)
+    fx.vector_heights(spark, sf).createOrReplaceTempView("tessella_heights")
+    return spark.sql(
+        """SELECT image_id, t.tx, t.ty, t.tile FROM tessella_heights,
+           LATERAL tile_cover(64, img_h, 16, 16, cast(image_id % 9 * 4 AS int), cast(image_id % 7 * 5 AS int), 30, 20) AS t"""
+    )
