@@ -25,8 +25,13 @@ ORDERS_TILE = 32
 TEXT_WIDTH = 64
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """A source table.  One that comes as fewer splits than there are cores (a single row group, say) is
+    dealt out once, because the work per row is what costs here; a table of many splits is left alone.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    slots = spark.sparkContext.defaultParallelism
+    return df.repartition(slots) if spread and df.rdd.getNumPartitions() * 2 <= slots else df
 
 
 def _plane(df: DataFrame) -> DataFrame:
@@ -37,7 +42,7 @@ def _plane(df: DataFrame) -> DataFrame:
 
 def _height(spark: SparkSession, sf_dir: str, name: str, column: str, per_row: int) -> DataFrame:
     """One row with the image height; the maximum comes from a column-pruned scan."""
-    top = table(spark, sf_dir, name).agg(F.max(column).alias("m"))
+    top = table(spark, sf_dir, name, spread=False).agg(F.max(column).alias("m"))
     return top.select((F.expr(f"m div {per_row}") + 1).cast("int").alias("img_h"))
 
 

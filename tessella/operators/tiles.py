@@ -410,7 +410,7 @@ def convolve(tiles: DataFrame, kernel: list[float], scope: str = "image", keys:
     """Square odd kernel over float tiles.  ``scope='tile'`` repeats tile edges, as single-tile jobs do."""
     side = int(round(len(kernel) ** 0.5))
     matrix, radius = np.array(kernel, float).reshape(side, side), side // 2
-    if scope == "tile":
+    if scope == "tile" or radius == 0:
         return map_blocks(tiles, lambda b, r: convolve_block(padded(b.astype(float), None, radius), matrix))
     keyed = with_halo(tiles, radius, keys or PLANE_KEY)
 
