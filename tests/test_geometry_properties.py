@@ -89,3 +89,44 @@ def test_watermark_is_independent_of_tiles(spark):
     want = W.stamp(a, mark, 0, 0, 30, 21, 16, 1, 0.5)
     for tile in (4, 7, 40):
         assert (image(W.watermark(tiles(spark, a, tile), mark, tile, 0.5, 16), tile) == want).all()
+
+
+def test_tile_watermark_keeps_each_tile_whole(spark):
+    from tessella.operators import watermark as W
+
+    a = np.zeros((16, 16, 3), np.uint8)
+    mark = np.full((2, 3, 3), 9, np.uint8)
+    out = image(W.watermark_tiles(tiles(spark, a, 8), mark), 8)
+    assert out.sum() == 4 * mark.sum()  # one whole mark in each of the four tiles
+    for y in (0, 8):
+        for x in (0, 8):
+            assert out[y : y + 8, x : x + 8].sum() == mark.sum()
+    assert (image(W.watermark_tiles(tiles(spark, a, 8), mark, 0.0), 8) == a).all()
+
+
+def test_prune_tiles(spark):
+    from tessella.operators.cover import prune_tiles
+
+    t = R.build_pyramid(tiles(spark, random_image(9, 20, 20), 8), 8)
+    wanted = spark.createDataFrame([(0,), (1,), (1,)], "level int")
+    assert {r.level for r in prune_tiles(t, wanted).select("level").distinct().collect()} == {0, 1}
+    assert prune_tiles(t, wanted, max_levels=1).count() == t.count()
+
+
+def test_equal_requests_are_rendered_once(spark):
+    from tessella.operators import geometry as G
+    from tessella.plans import render as RE
+
+    a = random_image(10, 16, 16)
+    t = tiles(spark, a, 8).drop("img_w", "img_h")
+    rows = [(i, 1, 0.0, 0.0, 1.0, 1.0, 16, 16, True, True) for i in range(50)]
+    schema = "k int, image_id long, rx double, ry double, rw double, rh double, wid int, hei int, maintain_aspect boolean, allow_upscaling boolean"
+    heads = G.with_pyramid(spark.createDataFrame([(1, 16, 16)], "image_id long, width int, height int"), 16, 16)
+    levels = heads.withColumn("levels", F.transform("levels", lambda v: v.withField("tile_w", F.lit(8)).withField("tile_h", F.lit(8)).withField("ntx", F.lit(2)).withField("nty", F.lit(2))))
+    prepared = RE.prepare(G.plan_views(spark.createDataFrame(rows, schema).join(levels, "image_id")))
+    ranges = spark.createDataFrame([(1, [0.0], [255.0])], "image_id long, lo array<double>, hi array<double>")
+    spaces = spark.createDataFrame([(1, "GREYSCALE")], "image_id long, image_space string")
+    out = RE.render_regions(prepared, t, RE.image_statistics(t, ranges, spaces), 8, 32)
+    assert out.count() == 1
+    assert (image(out, 32) == a).all()
+    assert RE.serve(prepared.select("k", "render_key"), out).count() == 50
