@@ -268,12 +268,14 @@ def _(spark, sf):
     return p.select("line", "h_seq", "name", "i", F.round("intensity", 6).alias("intensity"))
 
 
-@query("profile_arrays", f"SELECT line, h_seq, name, count(*)::int AS n, round(sum(intensity * (i + 1)), 4) AS total FROM ({_PROFILE}) GROUP BY ALL")
+@query("profile_arrays", f"SELECT line, h_seq, name, count(*)::int AS n, sum(round(intensity * 1000000)::bigint * (i + 1))::bigint AS total FROM ({_PROFILE}) GROUP BY ALL")
 def _(spark, sf):
     p = M.profile(_lines(spark, sf), fx.band_tiles(spark, sf), band_images(spark), 8, 8, F.lit(_NTX))
     a = M.profile_arrays(p.withColumn("intensity", F.round("intensity", 6)), ["line"])
-    total = F.aggregate(F.transform("profile", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
-    return a.select("line", "h_seq", "name", F.size("profile").alias("n"), F.round(total, 4).alias("total"))
+    # Whole millionths, so that the order of the sum does not matter.
+    parts = F.transform("profile", lambda v, i: F.round(v * 1000000).cast("long") * (i + 1))
+    total = F.aggregate(parts, F.lit(0).cast("long"), lambda s, v: s + v)
+    return a.select("line", "h_seq", "name", F.size("profile").alias("n"), total.alias("total"))
 
 
 @query("spectral_cube", "SELECT y, x, count(*)::int AS bands, round(sum(v * (h_seq + 1)), 4) AS total FROM band GROUP BY ALL")
