@@ -41,7 +41,7 @@ def _plane(df: DataFrame) -> DataFrame:
 
 
 def _height(spark: SparkSession, sf_dir: str, name: str, column: str, per_row: int) -> DataFrame:
-    """One row with the image height; the maximum comes from a column-pruned scan."""
+    """One row with the image height, for use as a scalar; the maximum comes from a column-pruned scan."""
     top = table(spark, sf_dir, name, spread=False).agg(F.max(column).alias("m"))
     return top.select((F.expr(f"m div {per_row}") + 1).cast("int").alias("img_h"))
 
@@ -147,7 +147,7 @@ def order_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_tiles(spark: SparkSession, sf_dir: str, tile: int = ORDERS_TILE) -> DataFrame:
     height = _height(spark, sf_dir, "orders", "o_orderkey", ORDERS_WIDTH)
-    pixels = order_pixels(spark, sf_dir).crossJoin(F.broadcast(height))  # one row by construction
+    pixels = order_pixels(spark, sf_dir).withColumn("img_h", height.scalar())
     return pixels_to_tiles(pixels, tile, tile, F.lit(ORDERS_WIDTH), F.col("img_h"), 1, 16, FIXED)
 
 
@@ -165,7 +165,7 @@ def band_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def band_tiles(spark: SparkSession, sf_dir: str, tile: int = 8) -> DataFrame:
     height = _height(spark, sf_dir, "embeddings", "vec_id", 25)
-    pixels = band_pixels(spark, sf_dir).crossJoin(F.broadcast(height))  # one row by construction
+    pixels = band_pixels(spark, sf_dir).withColumn("img_h", height.scalar())
     return pixels_to_tiles(pixels, tile, tile, F.lit(25), F.col("img_h"), 1, 32, FLOATING)
 
 

@@ -118,12 +118,12 @@ def _(spark, sf):
     return pixels_of(R.crop(grey(spark, sf), fx.TILE, 37, 23))
 
 
-@query("get_region", """SELECT o_orderkey AS region, (y - sy)::int AS y, (x - sx)::int AS x, v FROM (SELECT o_orderkey, (o_orderkey % 100)::int AS sx, (o_orderkey // 128)::int AS sy FROM orders WHERE o_orderstatus = 'P') r
+@query("get_region", """SELECT o_orderkey AS region, (y - sy)::int AS y, (x - sx)::int AS x, v FROM (SELECT o_orderkey, (o_orderkey % 100)::int AS sx, (o_orderkey // 128)::int AS sy FROM orders) r
     JOIN ord ON x >= sx AND x < sx + 20 AND y >= sy AND y < sy + 3""")
 def _(spark, sf):
-    """A small window for every open order, cut out of the one large image."""
+    """A small window for every order, cut out of the one large image."""
     height = fx._height(spark, sf, "orders", "o_orderkey", fx.ORDERS_WIDTH)
-    regions = fx.table(spark, sf, "orders").where("o_orderstatus = 'P'").crossJoin(F.broadcast(height)).select(  # one row
+    regions = fx.table(spark, sf, "orders").withColumn("img_h", height.scalar()).select(
         c("o_orderkey").alias("region"), F.lit(0).cast("long").alias("image_id"), F.lit(0).alias("h_seq"), F.lit(90).alias("v_seq"), F.lit(0).alias("level"), F.lit(4).alias("ntx"),
         (c("o_orderkey") % 100).cast("int").alias("src_x"), F.expr("cast(o_orderkey div 128 as int)").alias("src_y"), "img_h",
     )
@@ -228,7 +228,7 @@ def band_images(spark) -> DataFrame:
 def _points(spark, sf) -> DataFrame:
     """A point for every event, on a vector's pixel."""
     n = fx.table(spark, sf, "embeddings").agg(F.count("*").alias("n"))
-    e = fx.table(spark, sf, "events").crossJoin(F.broadcast(n))  # one row
+    e = fx.table(spark, sf, "events").withColumn("n", n.scalar())
     vec = c("event_id") * 7 % c("n")
     return e.select("event_id", F.lit(0).cast("long").alias("image_id"), F.lit(0).alias("level"), (vec % 25).cast("int").alias("x"), F.floor(vec / 25).cast("int").alias("y"))
 
@@ -251,7 +251,7 @@ def _lines(spark, sf) -> DataFrame:
     height = fx._height(spark, sf, "embeddings", "vec_id", 25)
     k = c("c_custkey")
     y1 = (k % c("img_h")).cast("int")
-    return fx.table(spark, sf, "customer").crossJoin(F.broadcast(height)).select(  # one row
+    return fx.table(spark, sf, "customer").withColumn("img_h", height.scalar()).select(
         k.alias("line"), F.lit(0).cast("long").alias("image_id"), F.lit(0).alias("level"), (k % 10).cast("int").alias("x1"), y1.alias("y1"),
         F.when(k % 3 == 0, (k % 10 + 9).cast("int")).otherwise(0).alias("x2"), F.when(k % 3 == 1, F.least(y1 + 6, c("img_h"))).otherwise(0).alias("y2"),
     )
