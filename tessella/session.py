@@ -68,3 +68,16 @@ def join_side_table(
     salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     keyed = tiles.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(spread)).cast("int"))
     return keyed.join(salted, [*on, "_salt"], how).drop("_salt")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the Python workers, for sessions on machines where it is not installed."""
+    import shutil
+
+    context = spark.sparkContext
+    if any(f.endswith("/tessella.zip") for f in context.listFiles):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="tessella-package-")
+    archive = shutil.make_archive(os.path.join(folder, "tessella"), "zip", root, "tessella")
+    context.addPyFile(archive)
