@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import mixing, urls
-from tessella.llm.common import table
+from tessella.llm import idfiles, mixing, urls
+from tessella.llm.common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -66,3 +66,16 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 )
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; the operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = idfiles.write_token_files(table(spark, sf_dir, "documents"), new_folder(spark, "token-ids"), vocabulary("byte_bpe_50k.json"))
+    return idfiles.read_token_files(shards)
