@@ -104,7 +104,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     lengths = ends - starts
     most = int(lengths.max())
     if most > len(_POWERS):
-        _POWERS = np.multiply.accumulate(np.concatenate([[1], np.full(most, 0xD1342543DE82EF95, np.uint64)]).astype(np.uint64))
+        factors = np.full(most, 0xD1342543DE82EF95, np.uint64)
+        factors[0] = 1
+        _POWERS = np.multiply.accumulate(factors)
     begin = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
     values = _BYTE_VALUES[data[np.repeat(starts, lengths) + place]] * _POWERS[place]
