@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import idfiles, mixing, neardup, urls
+from tessella.llm import idfiles, licenses, mixing, neardup, urls
 from tessella.llm.common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def vocabulary(name: str) -> str:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = idfiles.write_token_files(table(spark, sf_dir, "documents"), new_folder(spark, "token-ids"), vocabulary("byte_bpe_50k.json"))
     return idfiles.read_token_files(shards)
+
+
+@query("op7_license_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
