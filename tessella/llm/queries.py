@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import fingerprints, idfiles, langid, licenses, mixing, neardup, packing, pii, urls
+from tessella.llm import fingerprints, idfiles, langid, licenses, mixing, neardup, neighbours, packing, pii, urls
 from tessella.llm.common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +127,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_fingerprints")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op5_nearest_vectors")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
