@@ -144,7 +144,7 @@ def rules() -> tuple[Rule, ...]:
         for number in versions.split():
             exact, plain = f"{label}-{number}", number.replace(".", " ")
             out.append(_rule(word("licen"), f"{words} licen[cs]e(?: version)? v?{plain}(?: or later| or any later version)?", exact, 70, 0.95))
-            out.append(_rule(word("licensed"), f"licensed under (?:the )?{words}(?: version)? v?{plain}", exact, 72, 0.95))
+            out.append(_rule(word("licensed"), f"licensed under (?:the )?{words}(?: licen[cs]e)?(?: version)? v?{plain}(?: or later| or any later version)?", exact, 72, 0.95))
         out.append(_rule(word("licensed"), f"licensed under (?:the )?(?:terms of the )?{words}(?: licen[cs]e)?", label, 60, 0.9))
         out.append(_rule(word("released"), f"released under (?:the )?(?:terms of the )?{words}(?: licen[cs]e)?", label, 60, 0.9))
         out.append(_rule(word("licen"), f"{words} licen[cs]e", label, 50, 0.8))

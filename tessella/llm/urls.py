@@ -122,7 +122,7 @@ def _judge_by_join(rows: DataFrame, rules: list[Rule], default: str) -> DataFram
     suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("_h")
     folders = [F.when(F.size(F.split("path", "/", -1)) > d, F.concat(F.substring_index("path", "/", d), F.lit("/"))) if d else F.lit("") for d in depths]
     wide = asked.select("host", "path", suffix).select("*", F.explode(F.array(*folders)).alias("_d"))
-    hits = wide.join(listed, ["_h", "_d"]).where("startswith(path, _p)")
+    hits = wide.join(listed, ["_h", "_d"]).where("startswith(path, concat(_d, _p))")
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("_rule").alias("l"), (F.col("_verdict") == "block").alias("b"), "_rule", "_verdict")).alias("_best"))
     out = rows.join(best, ["host", "path"], "left")
     return out.select(*[rows[c] for c in rows.columns], F.col("_best._rule").alias("rule"), F.coalesce(F.col("_best._verdict"), F.lit(default)).alias("verdict"))
