@@ -5,11 +5,10 @@ evaluation gives two signature values, each equal for two sets with the probabil
 ``rows`` values each are the buckets; their number is chosen so that a pair at the threshold shares none with a
 probability below ``miss``.
 
-Texts with equal sets are one class from the start.  Buckets are then worked off in rounds: a bucket compares its few
-most connected classes (hubs) with its other classes, links contract classes to components, finished hubs leave,
-and only buckets that still hold several components go on, with four times the hubs.  So a bucket of thousands of
-copies costs one comparison each, no bucket emits all its pairs, and every pair of a bucket is either compared or
-already connected.
+Texts with equal sets are one class from the start.  Every bucket then compares its most connected class, the hub, with
+its other classes, which settles groups of copies at one comparison each.  What is left, classes in buckets that still
+hold several components, is compared by an exact prefix filter on their rarest shingles.  So no bucket emits
+all its pairs, and every pair of a bucket is compared, shown to be below the threshold, or already connected.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import BLANK_BYTES, LOWER_BYTES, components, kept, mixed, span_hashes, text_blocks, word_spans
@@ -57,6 +56,12 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray
                 yield lo + row, hashes[:0]
 
 
+def _row_hashes() -> list[Column]:
+    """Two hashes that together stand for a row's doc_id and text, nulls included."""
+    doc = F.col("doc_id").cast("long")
+    return [F.xxhash64(doc, "text").alias("h"), F.xxhash64("text", F.lit(1), doc).alias("g")]
+
+
 def band_count(similarity: float, rows: int, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log(1 - similarity**rows))
 
@@ -72,7 +77,7 @@ def min_max(values: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.n
 
 
 def sketches(docs: DataFrame, words: int, similarity: float, rows: int, miss: float) -> DataFrame:
-    """Per document: doc_id, n_shingles, cls (number of its class of equal sets; null for an empty set), bands."""
+    """Per document: doc_id, h and g (``_row_hashes``), n_shingles, cls (number of its class of equal sets; null for an empty set), bands."""
     bands = band_count(similarity, rows, miss)
     seeds = np.random.default_rng(11)
     count = -(-bands * rows // 2)
@@ -94,12 +99,12 @@ def sketches(docs: DataFrame, words: int, similarity: float, rows: int, miss: fl
                     classes.append(None)
                     found.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "cls", "bands"],
+                [batch.column("doc_id"), batch.column("h"), batch.column("g"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                names=["doc_id", "h", "g", "n_shingles", "cls", "bands"],
             )
 
-    rows_ = docs.select(F.col("doc_id").cast("long"), "text")
-    return kept(rows_.mapInArrow(sketch, "doc_id long, n_shingles long, cls long, bands array<long>"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text", *_row_hashes())
+    return kept(texts.mapInArrow(sketch, "doc_id long, h long, g long, n_shingles long, cls long, bands array<long>"))
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -129,11 +134,11 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     hubs = pairs.select("a", "part").distinct().join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a")
     others = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
     both = others.join(hubs, ["a", "part"]).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("shared") * 100 >= (F.size("sa") + F.size("sb") - F.col("shared")) * percent).select("a", "b")
+    return both.where(F.col("shared") * 100 >= (F.size("sa") + F.size("sb") - F.col("shared")) * percent).drop("part", "sa", "sb", "shared")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 5, miss: float = 1e-7) -> DataFrame:
-    """Per document: doc_id, n_shingles, cls, component_id (smallest doc_id it is linked with, itself included), kept.
+    """Per document: doc_id, h, g, n_shingles, cls, component_id (smallest doc_id it is linked with, itself included), kept.
 
     A null or empty text has an empty set and is linked with nothing.  Rows that repeat a doc_id each get a row; equal
     texts are one class, so their component is the same.  A null doc_id takes part; if nothing in its component has a
@@ -147,29 +152,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     wanted = entries.select("cls", "doc_id").distinct()
     members = entries.select("bucket", "cls", "n", "size")
     degree = members.groupBy("cls").agg(F.sum("size").alias("degree"))
-    members = members.drop("size").join(degree, "cls").withColumn("comp", F.col("cls"))
-    members, sets, labels, hubs = kept(_open_buckets(members)), None, None, 1
-    while members.head(1):
-        if sets is None:
-            sets = class_sets(docs, wanted, words)
+    members = kept(members.drop("size").join(degree, "cls"))
+    labels = None
+    if members.head(1):
+        sets = class_sets(docs, wanted, words)
         order = Window.partitionBy("bucket").orderBy(F.col("degree").desc(), "cls")
-        ranked = members.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= hubs)
-        leaders = kept(ranked.select("bucket", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "nth"))
-        pairs = members.join(leaders, "bucket").where("comp <> ca AND cls <> a")
-        pairs = pairs.where((F.least("n", "na") * 100 >= F.greatest("n", "na") * percent))
-        # two hubs of a bucket meet once here, once the other way round: the smaller number leads
-        both = leaders.select("bucket", F.col("a").alias("cls"), F.col("nth").alias("other"))
-        pairs = pairs.join(both, ["bucket", "cls"], "left").where("other IS NULL OR nth < other").select("a", F.col("cls").alias("b"), "ca", "comp")
-        pairs = kept(pairs.distinct())
-        found = links(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("comp").alias("b"))
-        labels_new = components(found)
-        labels = labels_new if labels is None else _relabelled(labels, labels_new)
-        labels = kept(labels)
-        rest = members.join(leaders.select("bucket", F.col("a").alias("cls")), ["bucket", "cls"], "left_anti")
-        moved = labels_new.select(F.col("v").alias("comp"), F.col("label").alias("now"))
-        rest = rest.join(moved, "comp", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
-        members = kept(_open_buckets(rest.select("bucket", "cls", "n", "degree", "comp")))
-        hubs *= 4
+        hubs = members.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("bucket", F.col("cls").alias("a"), F.col("n").alias("na"))
+        near = (F.col("cls") != F.col("a")) & (F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
+        found = kept(links(members.join(hubs, "bucket").where(near).select("a", F.col("cls").alias("b")).distinct(), sets, percent))
+        labels = kept(components(found))
+        members = members.join(labels.select(F.col("v").alias("cls"), "label"), "cls", "left")
+        left = kept(_open(members.select("bucket", "cls", F.coalesce("label", "cls").alias("comp"))))
+        if left.head(1):
+            more = kept(links(_prefix_pairs(left, sets, percent), sets, percent))
+            if more.head(1):
+                labels = components(found.unionByName(more))
     if labels is None:
         labelled = classes.select("cls", "doc_id", F.col("cls").alias("label"))
     else:
@@ -179,23 +176,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     of_class = labelled.join(least, "label").select("cls", "least")
     out = marked.drop("bands").join(of_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "n_shingles", "cls", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "h", "g", "n_shingles", "cls", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _open_buckets(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component."""
+def _open(members: DataFrame) -> DataFrame:
+    """cls and comp of the classes in buckets that hold more than one component."""
     several = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    return members.join(several, "bucket")
+    return members.join(several, "bucket").select("cls", "comp").distinct()
 
 
-def _relabelled(labels: DataFrame, moved: DataFrame) -> DataFrame:
-    """Labels after a further contraction of the labels themselves."""
-    step = moved.select(F.col("v").alias("label"), F.col("label").alias("now"))
-    old = labels.join(step, "label", "left").select("v", F.coalesce("now", "label").alias("label"))
-    return old.unionByName(moved.join(labels.select("v"), "v", "left_anti"))
+def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``left`` (cls, comp) in different components that can reach the threshold; none that does is missed.
+
+    With shingles ordered from the rarest on, two sets with an overlap of at least ``need`` have their first common
+    shingle at positions up to n - need in both.  Copies that differ too much from their hub start with shingles of
+    their own changes, so they meet few others.  In the rows of one shingle, the component with most of them is only
+    compared with the others, never within itself.
+    """
+    tokens = left.join(sets, "cls").select("cls", "comp", F.size("set").alias("n"), F.explode("set").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    ranked = tokens.join(often, "token", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("cls").orderBy("often", "token")) - 1)
+    heads = kept(ranked.where(f"often > 1 AND place <= n - (n * {percent} + 99) div 100").select("token", "cls", "comp", "n", "place"))
+    counts = heads.groupBy("token", "comp").agg(F.count("*").alias("rows"))
+    main = counts.groupBy("token").agg(F.max(F.struct("rows", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    shared = heads.join(main.select("token", F.col("top.comp").alias("main")), "token")
+    few = shared.where("comp <> main").select("token", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    need = f"(({percent} * (n + na) + {99 + percent}) div {100 + percent})"
+    both = few.join(shared, "token").where("comp <> ca AND (comp = main OR a < cls)").where(f"pa <= na - {need} AND place <= n - {need}")
+    return both.select(F.col("a").alias("b"), F.col("cls").alias("a")).distinct()
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id, once.  Documents without words stay."""
-    judged = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(judged, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    judged = near_duplicates(docs, words, percent).where("kept").select(F.col("h").alias("_h"), F.col("g").alias("_g")).distinct()
+    h, g = _row_hashes()
+    keyed = docs.withColumns({"_h": h, "_g": g}).join(judged, ["_h", "_g"], "left_semi")
+    # rows that repeat come once; the join has brought them together
+    return keyed.dropDuplicates(["_h", "_g"]).select(*docs.columns)

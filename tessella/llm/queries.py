@@ -67,7 +67,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.d = d.doc_id""",
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("cls")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("cls", "h", "g")
 
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
