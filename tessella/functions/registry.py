@@ -6,7 +6,6 @@ The scalar ones are SQL-defined, so Catalyst inlines them into the calling query
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 SCALARS = {
     "tile_normalize": ("v DOUBLE, lo DOUBLE, hi DOUBLE", "DOUBLE", "(v - lo) * CASE WHEN abs(hi - lo) > 1e-30 THEN 1 / (hi - lo) ELSE 1e30 END"),
@@ -20,19 +19,17 @@ SCALARS = {
 }
 
 
-class TileCover:
-    """Table function: tiles of a w x h level that the region (x, y, rw, rh) touches."""
-
-    def eval(self, w: int, h: int, tw: int, th: int, x: int, y: int, rw: int, rh: int):
-        ntx = -(-w // tw)
-        for ty in range(y // th, -(-min(y + rh, h) // th)):
-            for tx in range(x // tw, -(-min(x + rw, w) // tw)):
-                yield tx, ty, ty * ntx + tx
+# Table function: tiles of a w x h level that the region (x, y, rw, rh) touches.
+COVER = """CREATE OR REPLACE TEMPORARY FUNCTION tile_cover(w INT, h INT, tw INT, th INT, x INT, y INT, rw INT, rh INT)
+    RETURNS TABLE(tx INT, ty INT, tile INT)
+    RETURN SELECT a.tx, b.ty, cast(b.ty * ceil(w / tw) + a.tx AS INT)
+      FROM explode(filter(sequence(0, cast(ceil(w / tw) AS INT)), i -> i >= x div tw AND i < ceil(least(x + rw, w) / tw))) AS a(tx),
+           explode(filter(sequence(0, cast(ceil(h / th) AS INT)), i -> i >= y div th AND i < ceil(least(y + rh, h) / th))) AS b(ty)"""
 
 
 def register_functions(spark: SparkSession) -> list[str]:
     """Make the functions known to a session; returns their names."""
     for name, (arguments, result, body) in SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {body}")
-    spark.udtf.register("tile_cover", udtf(TileCover, returnType="tx INT, ty INT, tile INT"))
+    spark.sql(COVER)
     return [*SCALARS, "tile_cover"]

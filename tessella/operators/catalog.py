@@ -120,11 +120,12 @@ def fill_rights(metadata: Column, default: str) -> Column:
     )
 
 
-def deepzoom_manifest() -> Column:
+def deepzoom_manifest(ext: str = "jpg") -> Column:
+    """The manifest of a tile set whose files end in ``ext``."""
     return F.format_string(
-        '<Image xmlns="http://schemas.microsoft.com/deepzoom/2008" TileSize="%d" Overlap="0" Format="jpg">'
+        '<Image xmlns="http://schemas.microsoft.com/deepzoom/2008" TileSize="%d" Overlap="0" Format="%s">'
         '<Size Width="%d" Height="%d"/></Image>',
-        F.get("levels", F.lit(0))["tile_w"], c("width"), c("height"),
+        F.get("levels", F.lit(0))["tile_w"], F.lit(ext), c("width"), c("height"),
     )
 
 
@@ -269,8 +270,10 @@ def deepzoom_path(level: Column, tx: Column, ty: Column, width: Column, height:
     return joined(c("path"), "_files/", int_(shown), "/", tx, "_", ty, f".{ext}")
 
 
-def zoomify_path(level: Column, tx: Column, ty: Column, discard: Column, ext: str = "png") -> Column:
-    return joined(c("path"), "/TileGroup0/", int_(level - discard), "-", tx, "-", ty, f".{ext}")
+def zoomify_path(level: Column, tx: Column, ty: Column, discard: Column, number: Column | None = None, ext: str = "png") -> Column:
+    """``number`` is the tile's place among the tiles of all shown levels, smallest level first; 256 are in a group."""
+    group = F.lit(0) if number is None else F.floor(number / 256)
+    return joined(c("path"), "/TileGroup", group, "/", int_(level - discard), "-", tx, "-", ty, f".{ext}")
 
 
 def iiif_path(level: Column, tx: Column, ty: Column, ext: str = "png") -> Column:

@@ -35,10 +35,17 @@ def attach_level(requests: DataFrame, levels: DataFrame) -> DataFrame:
     return requests.join(levels, ["image_id", "level"])
 
 
-def tile_cover(regions: DataFrame, left: Column, top: Column, width: Column, height: Column, tile_w: Column, tile_h: Column, ntx: Column) -> DataFrame:
-    """One row per tile a pixel region touches: tx, ty, tile.  Rows first, then columns of each."""
-    first_x, last_x = F.floor(left / tile_w), F.ceil((left + width) / tile_w) - 1
+def tile_cover(regions: DataFrame, left: Column, top: Column, width: Column, height: Column, tile_w: Column, tile_h: Column, ntx: Column, nty: Column | None = None) -> DataFrame:
+    """One row per tile of the grid a pixel region touches: tx, ty, tile.  Rows first, then columns of each.
+
+    The grid has ntx (and, if given, nty) tiles; what lies beyond it counts for the border tile, not for a tile of the
+    next row.
+    """
+    border_x = F.greatest(ntx, F.lit(1)) - 1
+    first_x, last_x = F.least(F.floor(left / tile_w), border_x), F.least(F.ceil((left + width) / tile_w) - 1, border_x)
     first_y, last_y = F.floor(top / tile_h), F.ceil((top + height) / tile_h) - 1
+    if nty is not None:
+        first_y, last_y = F.least(first_y, nty - 1), F.least(last_y, nty - 1)
     rows = regions.withColumns({"_fx": int_(first_x), "_lx": int_(last_x), "_ntx": int_(ntx)})
     rows = rows.withColumn("ty", F.explode(F.sequence(int_(first_y), int_(last_y))))
     cells = rows.withColumn("tx", F.explode(F.sequence("_fx", "_lx")))
@@ -55,15 +62,12 @@ def tile_rectangle(ranges: DataFrame, start: Column, end: Column, ntx: Column) -
     return cells.withColumn("tile", c("ty") * c("_n") + c("tx")).drop("_a", "_b", "_n")
 
 
-def prune_tiles(tiles: DataFrame, wanted: DataFrame, max_levels: int = 64) -> DataFrame:
-    """Keep the levels that ``wanted`` asks for as literals, so a table partitioned by level is pruned.
+def prune_tiles(tiles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Keep the levels that ``wanted`` asks for: a table partitioned by level is pruned when the plan runs.
 
-    A pyramid has at most 32 levels, so the list is short by construction.
+    A level halves its image, so there are at most as many as a size has bits, and their list can be broadcast.
     """
-    rows = wanted.select("level").distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        return tiles
-    return tiles.where(c("level").isin([r[0] for r in rows]))
+    return tiles.join(F.broadcast(wanted.select("level").distinct()), "level", "left_semi")
 
 
 def get_region(regions: DataFrame, tiles: DataFrame, keys: list[str], tile_w: int, tile_h: int, out_tile: int, mode: str = "nearest", before=None, using: tuple[str, ...] = ()) -> DataFrame:
@@ -79,7 +83,7 @@ def get_region(regions: DataFrame, tiles: DataFrame, keys: list[str], tile_w: in
     # the work of many tasks, also where the tiles are few enough to be broadcast.
     slots = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = cells.select(*carried).repartition(slots, *TILE_KEY, *keys)
-    joined = wanted.join(tiles, TILE_KEY)
+    joined = wanted.join(prune_tiles(tiles, regions), TILE_KEY)
     return regrid(joined, keys, tile_w, tile_h, out_tile, out_tile, mode, before, using)
 
 

@@ -148,23 +148,25 @@ def iiif_log(log: DataFrame, uri: str = "uri", delimiter: str = ";") -> DataFram
 
 
 def uri_map(log: DataFrame, mappings: DataFrame, uri: str = "uri") -> DataFrame:
-    """Rewrite addresses by a small (prefix, protocol) table; the longest fitting prefix counts.
+    """Rewrite addresses by a (prefix, protocol) table; the longest fitting prefix counts.
 
-    The table is configuration; its size is checked before it becomes part of the expression.
+    Each distinct address is cut at the lengths that prefixes have, and its candidates meet the table by equality,
+    so neither table has a limit.
     """
-    rows = mappings.select("prefix", F.lower("protocol").alias("protocol")).limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("too many address mappings")
-    known = {"iip": "fif", "iiif": "iiif", "zoomify": "zoomify", "deepzoom": "deepzoom"}
-    out = c(uri)
-    bare = F.substring_index(out, "?", 1)
-    mapped = F.lit(None).cast("string")
-    for r in sorted(rows, key=lambda r: len(r["prefix"])):
-        if r["protocol"] in known:
-            start = len(r["prefix"]) + 2 if r["prefix"] else 1
-            target = F.concat(F.lit(known[r["protocol"]] + "="), F.substring(bare, F.lit(start + 1), F.length(bare)))
-            mapped = F.when(out.startswith("/" + r["prefix"]), target).otherwise(mapped)
-    return log.withColumn("request", F.coalesce(mapped, out))
+    known = F.create_map(*[F.lit(x) for x in ("iip", "fif", "iiif", "iiif", "zoomify", "zoomify", "deepzoom", "deepzoom")])
+    table = mappings.select("prefix", F.get(F.array(known[F.lower("protocol")]), F.lit(0)).alias("_verb")).where("prefix IS NOT NULL AND _verb IS NOT NULL")
+    table = table.groupBy("prefix").agg(F.max("_verb").alias("_verb"))
+    # one row: the lengths, no more than the longest prefix has characters
+    lengths = table.agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    asked = log.select(c(uri).alias("_uri")).where(c("_uri").startswith("/")).distinct().join(F.broadcast(lengths))
+    fitting = F.filter("_lengths", lambda n: n < F.length("_uri"))
+    cut = asked.select("_uri", F.explode(F.transform(fitting, lambda n: F.substring(c("_uri"), F.lit(2), n))).alias("prefix"))
+    best = cut.join(table, "prefix").groupBy("_uri").agg(F.max(F.struct(F.length("prefix").alias("n"), "_verb")).alias("_best"))
+    bare = F.substring_index(uri, "?", 1)
+    start = c("_best.n") + F.when(c("_best.n") > 0, 2).otherwise(1)
+    mapped = F.concat(c("_best._verb"), F.lit("="), F.substring(bare, start + 1, F.length(bare)))
+    joined = log.join(best, c(uri) == c("_uri"), "left").withColumn("request", F.coalesce(mapped, c(uri)))
+    return joined.drop("_uri", "_best")
 
 
 def command_counts(commands: DataFrame, ts: str = "ts", period: str = "1 hour") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,12 +183,14 @@ def tile_counts(levels: DataFrame) -> DataFrame:
 def latest_tile(tiles: DataFrame, key: tuple[str, ...] = tuple(VERSION_KEY)) -> DataFrame:
     """Newest version of each tile.
 
-    The winner is found on the narrow key columns with map-side combining, so a key with very many
-    versions is no hot group; the data joins afterwards.
+    The winner is found on the narrow key columns with map-side combining, and the data joins on the key and the
+    time, so a key with very many versions is no hot group.  A version without time is older than any other; a NULL
+    in the key is a value like others.
     """
-    newest = tiles.groupBy(*key).agg(F.max("mtime").alias("_newest"))
-    # Joined on the key alone: the duplicates left by equal times are dropped without another shuffle.
-    return tiles.join(newest, [*key]).where("mtime = _newest").drop("_newest").dropDuplicates([*key])
+    names = [f"_{k}" for k in (*key, "mtime")]
+    newest = tiles.groupBy(*key).agg(F.max("mtime").alias("mtime")).toDF(*names)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip((*key, "mtime"), names)])
+    return tiles.join(newest, same).drop(*names).dropDuplicates([*key])
 
 
 def distinct_tiles(wanted: DataFrame, key: tuple[str, ...] = tuple(VERSION_KEY)) -> DataFrame:

@@ -193,11 +193,17 @@ def _axis_matrix(out: np.ndarray, tap: np.ndarray, weight: np.ndarray, origin: i
     return positions, matrix
 
 
-def _pieces(row: dict, tile_w: int, tile_h: int, out_w: int, out_h: int, linear: bool):
-    """Cut one source tile into (out_tx, out_ty, oy, ox, block) for the output grid."""
-    block = block_of(row)
+def _window(block: np.ndarray, row: dict, x0: int, y0: int) -> tuple[np.ndarray, int, int]:
+    """The part of a tile that lies in the row's source window, and where it starts."""
+    h, w, _ = block.shape
+    left, top = max(row["src_x"] - x0, 0), max(row["src_y"] - y0, 0)
+    right, bottom = min(row["src_x"] + row["src_w"] - x0, w), min(row["src_y"] + row["src_h"] - y0, h)
+    return block[top : max(bottom, top), left : max(right, left)], x0 + left, y0 + top
+
+
+def _pieces(row: dict, block: np.ndarray, x0: int, y0: int, out_w: int, out_h: int, linear: bool):
+    """Cut a source block that starts at (x0, y0) into (out_tx, out_ty, oy, ox, block) for the output grid."""
     h, w, _ = block.shape
-    x0, y0 = row["tx"] * tile_w, row["ty"] * tile_h
     ox, sx, wx = axis_taps(x0, x0 + w, row["src_x"], row["src_w"], row["dst_w"], row["step"], linear)
     oy, sy, wy = axis_taps(y0, y0 + h, row["src_y"], row["src_h"], row["dst_h"], row["step"], linear)
     if not len(ox) or not len(oy):
@@ -222,6 +228,8 @@ def _pieces(row: dict, tile_w: int, tile_h: int, out_w: int, out_h: int, linear:
                 yield tx, ty, int(oy[rows][0]) - ty * out_h, int(ox[cols][0]) - tx * out_w, part[rows, cols]
 
 
+#: Output batches are handed on at this size, whatever an enlargement makes of its input.
+OUTPUT_BYTES = 32 << 20
 _PIECE = "out_w int, out_h int, tx int, ty int, oy int, ox int, ph int, pw int, channels int, bpc int, sample_type string, data binary"
 
 
@@ -249,17 +257,28 @@ def regrid(
     source = tiles.select(*read)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"sample_type": pa.string(), "data": pa.binary()}
+
+        def made(batch: pa.RecordBatch, taken: list[int], cells: dict[str, list]) -> pa.RecordBatch:
+            index = pa.array(taken, pa.int64())
+            columns = [batch.column(batch.schema.get_field_index(k)).take(index) for k in keys]
+            columns += [pa.array(v, types.get(k, pa.int32())) for k, v in cells.items()]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for batch in batches:
-            taken, cells = [], {k: [] for k in names[len(keys) :]}
+            taken, cells, size = [], {k: [] for k in names[len(keys) :]}, 0
             for i, row in enumerate(batch.to_pylist()):
+                block, x0, y0 = block_of(row), row["tx"] * tile_w, row["ty"] * tile_h
                 if before is not None:
-                    block = before(block_of(row), row)
-                    row["bpc"], row["sample_type"] = type_of(block)
-                    row["channels"], row["data"] = block.shape[2], to_bytes(block)
+                    if row["step"] is None:
+                        block, x0, y0 = _window(block, row, x0, y0)
+                    if not block.size:
+                        continue
+                    block = before(block, row)
                 w, h = row["dst_w"], row["dst_h"]
                 if row["transpose"]:
                     w, h = h, w
-                for tx, ty, oy, ox, part in _pieces(row, tile_w, tile_h, out_tile_w, out_tile_h, linear):
+                for tx, ty, oy, ox, part in _pieces(row, block, x0, y0, out_tile_w, out_tile_h, linear):
                     bpc, kind = type_of(part)
                     taken.append(i)
                     for key, value in zip(
@@ -267,11 +286,11 @@ def regrid(
                         (w, h, tx, ty, oy, ox, part.shape[0], part.shape[1], part.shape[2], bpc, kind, to_bytes(part)),
                     ):
                         cells[key].append(value)
-            index = pa.array(taken, pa.int64())
-            columns = [batch.column(batch.schema.get_field_index(k)).take(index) for k in keys]
-            types = {"sample_type": pa.string(), "data": pa.binary()}
-            columns += [pa.array(v, types.get(k, pa.int32())) for k, v in cells.items()]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                    size += part.nbytes
+                    if size > OUTPUT_BYTES:
+                        yield made(batch, taken, cells)
+                        taken, cells, size = [], {k: [] for k in cells}, 0
+            yield made(batch, taken, cells)
 
     pieces = source.mapInArrow(scatter, schema)
     return assemble(pieces, keys, out_tile_w, out_tile_h, add=linear)

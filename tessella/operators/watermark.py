@@ -9,13 +9,8 @@ from pyspark.sql import DataFrame
 
 from tessella.operators.tiles import map_blocks
 
-MAX_MARK = 1 << 22  # the mark travels with the task closure, so its size is checked
-
-
 def prepare_mark(rgba: np.ndarray, opacity: float) -> np.ndarray:
     """RGBA picture to RGB premultiplied by opacity and alpha, as 8-bit values."""
-    if rgba.nbytes > MAX_MARK:
-        raise ValueError("the watermark is too large")
     alpha = rgba[..., 3:4].astype(float) / 255.0
     return np.floor(rgba[..., :3] * opacity * alpha).astype(np.uint8)
 
@@ -54,20 +49,22 @@ def stamp(block: np.ndarray, mark: np.ndarray, x0: int, y0: int, width: int, hei
 
 
 def watermark(tiles: DataFrame, mark: np.ndarray, tile: int, probability: float = 1.0, block: int | None = None) -> DataFrame:
-    """Mark tiles that carry img_w, img_h; ``block`` defaults to twice the tile side."""
+    """Mark tiles that carry img_w, img_h; ``block`` defaults to twice the tile side.  The mark goes to each executor once."""
     size = block or 2 * tile
+    shared = tiles.sparkSession.sparkContext.broadcast(mark)
     use = ("image_id", "tx", "ty", "img_w", "img_h")
 
     def run(b: np.ndarray, r: dict) -> np.ndarray:
-        return stamp(b, mark, r["tx"] * tile, r["ty"] * tile, r["img_w"], r["img_h"], size, r["image_id"], probability)
+        return stamp(b, shared.value, r["tx"] * tile, r["ty"] * tile, r["img_w"], r["img_h"], size, r["image_id"], probability)
 
     return map_blocks(tiles, run, using=use)
 
 
 def watermark_tiles(tiles: DataFrame, mark: np.ndarray, probability: float = 1.0) -> DataFrame:
     """Tile jobs: each tile is a picture of its own with one mark."""
+    shared = tiles.sparkSession.sparkContext.broadcast(mark)
 
     def run(b: np.ndarray, r: dict) -> np.ndarray:
-        return stamp(b, mark, 0, 0, b.shape[1], b.shape[0], max(b.shape[:2]), r["image_id"] * 1_000_003 + r["tile"], probability)
+        return stamp(b, shared.value, 0, 0, b.shape[1], b.shape[0], max(b.shape[:2]), r["image_id"] * 1_000_003 + r["tile"], probability)
 
     return map_blocks(tiles, run, using=("image_id", "tile"))

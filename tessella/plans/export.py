@@ -19,8 +19,11 @@ def tile_paths(images: DataFrame, ext: str = "png") -> DataFrame:
     """
     head = images.select(
         "image_id", "path", "width", "height", F.size("levels").alias("_n"),
-        G.zoomify_discard(c("levels")).alias("_discard"), F.explode("levels").alias("lv"),
+        "levels", G.zoomify_discard(c("levels")).alias("_discard"), F.explode("levels").alias("lv"),
     )
+    smaller = F.filter("levels", lambda v: (v["level"] < c("lv.level")) & (v["level"] >= c("_discard")))
+    before = F.aggregate(smaller, F.lit(0).cast("long"), lambda n, v: n + v["ntx"].cast("long") * v["nty"])
+    head = head.withColumn("_before", before).drop("levels")
     rows = head.where("lv.ntx > 0 AND lv.nty > 0").withColumn("ty", F.explode(F.sequence(F.lit(0), c("lv.nty") - 1)))
     rows = rows.repartition("image_id", "lv.level", "ty")
     cells = rows.withColumn("tx", F.explode(F.sequence(F.lit(0), c("lv.ntx") - 1)))
@@ -29,7 +32,7 @@ def tile_paths(images: DataFrame, ext: str = "png") -> DataFrame:
         "image_id", "lv.level", "tx", "ty",
         (c("ty") * c("lv.ntx") + c("tx")).alias("tile"),
         B.deepzoom_path(level, c("tx"), c("ty"), c("width"), c("height"), c("_n"), ext).alias("deepzoom"),
-        B.zoomify_path(level, c("tx"), c("ty"), c("_discard"), ext).alias("zoomify"),
+        B.zoomify_path(level, c("tx"), c("ty"), c("_discard"), c("_before") + c("ty") * c("lv.ntx") + c("tx"), ext).alias("zoomify"),
         B.iiif_path(c("lv"), c("tx"), c("ty"), ext).alias("iiif"),
     )
 
@@ -46,12 +49,12 @@ def export_collection(images: DataFrame, tiles: DataFrame, directory: str, layou
     return write_files(encode_tiles(joined, ext), directory)
 
 
-def write_manifests(images: DataFrame, directory: str, layout: str = "deepzoom", base: str = "") -> DataFrame:
-    """Write the manifest of each image beside its tiles; returns (file, bytes)."""
+def write_manifests(images: DataFrame, directory: str, layout: str = "deepzoom", base: str = "", ext: str = "png") -> DataFrame:
+    """Write the manifest of each image beside its tiles, whose files end in ``ext``; returns (file, bytes)."""
     from tessella.sources.sinks import write_files
 
     text = {
-        "deepzoom": (F.concat(c("path"), F.lit(".dzi")), B.deepzoom_manifest()),
+        "deepzoom": (F.concat(c("path"), F.lit(".dzi")), B.deepzoom_manifest(ext)),
         "zoomify": (F.concat(c("path"), F.lit("/ImageProperties.xml")), B.zoomify_manifest()),
         "iiif": (F.concat(c("path"), F.lit("/info.json")), B.iiif_info(base)),
     }

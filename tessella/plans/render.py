@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import pixelops as P
-from tessella.operators import stats
-from tessella.operators.cover import get_region
+from tessella.operators import color, stats
+from tessella.operators.cover import get_region, prune_tiles
+from tessella.operators.geometry import rotated_tile
 from tessella.operators.tiles import GEOMETRY, convolve_block, map_blocks, padded, regrid, with_halo
 from tessella.operators.watermark import stamp
 from tessella.session import join_side_table
@@ -36,12 +37,14 @@ OPS: dict[str, Column | None] = {
     "equalize": "false",
     "flip": "0",
     "rot": "0",
-    "minmax": "false",
+    "minmax_channel": "cast(null as string)",
+    "minmax_lo": "cast(null as double)",
+    "minmax_hi": "cast(null as double)",
     "format": "'JPEG'",
 }
 # Per-image columns the stages read.  The histogram itself is only needed to equalise the output.
 IMAGE = ["lo", "hi", "image_space", "bin_lo", "bin_hi", "threshold"]
-_FLOAT_OPS = ("contrast", "gamma", "inverted", "cmap", "shade", "matrix", "kernel", "minmax")
+_FLOAT_OPS = ("contrast", "gamma", "inverted", "cmap", "shade", "matrix", "kernel", "minmax_channel")
 _USE = (*OPS, *IMAGE)
 
 
@@ -51,8 +54,8 @@ def with_defaults(requests: DataFrame) -> DataFrame:
 
 def needs_float(r: dict) -> bool:
     return (
-        r["contrast"] != 1.0 or r["gamma"] != 1.0 or r["inverted"] or r["minmax"]
-        or any(r[k] is not None for k in ("cmap", "shade", "matrix", "kernel"))
+        r["contrast"] != 1.0 or r["gamma"] != 1.0 or r["inverted"]
+        or any(r[k] is not None for k in ("cmap", "shade", "matrix", "kernel", "minmax_channel"))
     )
 
 
@@ -121,6 +124,17 @@ def image_statistics(tiles: DataFrame, ranges: DataFrame, spaces: DataFrame, sco
     return ranges.join(spaces, "image_id").join(derived, "image_id", "left")
 
 
+def with_ranges(work: DataFrame) -> DataFrame:
+    """Requests with statistics; the range of a request with MINMAX replaces the image's.  A channel that the image
+    does not have changes nothing."""
+    number = c("minmax_channel").try_cast("int")
+    known = (c("minmax_channel") == "-") | ((number >= 0) & (number < F.size("lo")))
+    work = work.withColumn("minmax_channel", F.when(known, c("minmax_channel")))
+    lo, hi = color.apply_minmax(c("lo"), c("hi"), c("minmax_channel"), c("minmax_lo"), c("minmax_hi"))
+    asked = c("minmax_channel").isNotNull()
+    return work.withColumns({"lo": F.when(asked, lo).otherwise(c("lo")), "hi": F.when(asked, hi).otherwise(c("hi"))})
+
+
 def render_key(requests: DataFrame) -> Column:
     """Digest of everything that decides the output, so equal requests are rendered once."""
     parts = ["image_id", "h_seq", "v_seq", "level", "src_x", "src_y", "src_w", "src_h", "dst_w", "dst_h", *OPS]
@@ -171,7 +185,7 @@ def render_regions(requests: DataFrame, tiles: DataFrame, statistics: DataFrame,
     keys = ["render_key"]
     needed = [*keys, "image_id", "h_seq", "v_seq", "level", "ntx", *GEOMETRY, *OPS]
     distinct = requests.select(*needed).dropDuplicates(keys)
-    work = join_side_table(distinct, statistics, ["image_id"], "left", spread_by=["render_key"])
+    work = with_ranges(join_side_table(distinct, statistics, ["image_id"], "left", spread_by=["render_key"]))
     carried = [*keys, *OPS, *IMAGE, "hist"]
     plain = work.where("kernel IS NULL")
     out = get_region(plain, tiles, keys, tile, tile, out_tile, mode, pixel_stage, _USE)
@@ -197,25 +211,36 @@ def render_regions(requests: DataFrame, tiles: DataFrame, statistics: DataFrame,
     finished = join_side_table(out, work.select(*carried, "image_id"), keys, "inner", spread_by=["tx", "ty"])
     done = map_blocks(finished, after_resize, using=("format", "colorspace", "equalize", "image_space", "threshold", "hist", "out_w", "out_h"))
     if mark is not None:
+        shared = tiles.sparkSession.sparkContext.broadcast(mark)
         done = map_blocks(
             done,
-            lambda b, r: stamp(b, mark, r["tx"] * out_tile, r["ty"] * out_tile, r["out_w"], r["out_h"], 2 * tile, r["image_id"], probability),
+            lambda b, r: stamp(b, shared.value, r["tx"] * out_tile, r["ty"] * out_tile, r["out_w"], r["out_h"], 2 * tile, r["image_id"], probability),
             using=("tx", "ty", "out_w", "out_h", "image_id"),
         )
     return done.drop(*[k for k in carried if k not in (*keys, "format")], "image_id")
 
 
-def render_tiles(requests: DataFrame, tiles: DataFrame, statistics: DataFrame, mark: np.ndarray | None = None, probability: float = 1.0) -> DataFrame:
+def tile_key(requests: DataFrame) -> Column:
+    """Digest of a tile request, in the same way."""
+    parts = ["image_id", "h_seq", "v_seq", "level", "tile", *OPS]
+    return F.md5(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}))
+
+
+def render_tiles(requests: DataFrame, tiles: DataFrame, statistics: DataFrame, levels: DataFrame, mark: np.ndarray | None = None, probability: float = 1.0) -> DataFrame:
     """One output per (image, h_seq, v_seq, level, tile) request; every step stays inside the tile.
 
-    Equal requests are rendered once; the rows carry ``render_key``.
+    ``tile`` is a number in the grid of the turned image; the stored tile behind it follows from the level's ntx and
+    nty in ``levels``.  Equal requests are rendered once; the rows carry ``render_key`` (see ``tile_key``).
     """
+    shared = mark if mark is None else tiles.sparkSession.sparkContext.broadcast(mark)
     key = ["image_id", "h_seq", "v_seq", "level", "tile"]
     r = with_defaults(requests)
-    r = r.withColumns({"render_key": F.md5(F.to_json(F.struct(*key, *OPS), {"ignoreNullFields": "false"}))})
+    r = r.withColumn("render_key", tile_key(r))
     distinct = r.select("render_key", *key, *OPS).dropDuplicates(["render_key"])
-    work = join_side_table(distinct, statistics, ["image_id"], "left", spread_by=["render_key"])
-    joined = work.join(tiles, key)
+    grid = join_side_table(distinct, levels.select("image_id", "level", "ntx", "nty"), ["image_id", "level"], "inner", spread_by=["render_key"])
+    distinct = grid.withColumn("tile", rotated_tile(c("tile"), c("rot"), c("ntx"), c("nty"))).drop("ntx", "nty")
+    work = with_ranges(join_side_table(distinct, statistics, ["image_id"], "left", spread_by=["render_key"]))
+    joined = work.join(prune_tiles(tiles, distinct), key)
 
     def run(block: np.ndarray, row: dict) -> np.ndarray:
         block = before_kernel(block, row)
@@ -227,7 +252,7 @@ def render_tiles(requests: DataFrame, tiles: DataFrame, statistics: DataFrame, m
         block = P.turn(after_resize(block, row), row["flip"], row["rot"])
         if mark is not None:
             side = max(block.shape[:2])
-            block = stamp(block, mark, 0, 0, block.shape[1], block.shape[0], side, row["image_id"] * 1_000_003 + row["tile"], probability)
+            block = stamp(block, shared.value, 0, 0, block.shape[1], block.shape[0], side, row["image_id"] * 1_000_003 + row["tile"], probability)
         return block
 
     return map_blocks(joined, run, using=(*_USE, "hist", "image_id", "tile"), drop=tuple(k for k in (*OPS, *IMAGE, "hist") if k != "format"))

@@ -26,7 +26,9 @@ def build_session(app: str = "tessella", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
 
 
 def shared_dir(spark: SparkSession) -> str:

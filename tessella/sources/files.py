@@ -47,20 +47,25 @@ def scan_images(spark: SparkSession, path: str, tile: int | None = None) -> Data
     """Whole baseline pictures (JPEG, PNG, plain TIFF) as tiles, channels in R, G, B order.
 
     A picture is one row of Spark's image source, so this is for files that fit a row; its tiles leave
-    the task as separate rows.  Without ``tile`` the picture is one tile.
+    the task as separate rows.  Without ``tile`` the picture is one tile.  A file that cannot be decoded is one row
+    with an ``error`` and no data.
     """
-    source = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path)
+    source = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(path)
     flat = source.select(F.xxhash64("image.origin").alias("image_id"), F.col("image.origin").alias("path"), "image.width", "image.height", "image.nChannels", "image.data")
     schema = (
         "image_id long, path string, h_seq int, v_seq int, level int, tile int, tx int, ty int, width int, height int, channels int, "
-        "bpc int, sample_type string, data binary, img_w int, img_h int"
+        "bpc int, sample_type string, data binary, img_w int, img_h int, error string"
     )
     names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [pa.int64(), pa.string()] + [pa.int32()] * 10 + [pa.string(), pa.binary(), pa.int32(), pa.int32()]
+    kinds = [pa.int64(), pa.string()] + [pa.int32()] * 10 + [pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.string()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
+                if not r["data"] or (r["nChannels"] or 0) < 1:
+                    blank = (r["image_id"], r["path"], *[None] * (len(names) - 3), "undecodable picture")
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(blank, kinds)], names=names)
+                    continue
                 block = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])
                 if r["nChannels"] >= 3:
                     block = np.concatenate([block[..., 2::-1], block[..., 3:]], axis=2)
@@ -70,7 +75,7 @@ def scan_images(spark: SparkSession, path: str, tile: int | None = None) -> Data
                 for ty in range(-(-r["height"] // side_h)):
                     for tx in range(ntx):
                         part = block[ty * side_h : (ty + 1) * side_h, tx * side_w : (tx + 1) * side_w]
-                        rows.append((r["image_id"], r["path"], 0, 90, 0, ty * ntx + tx, tx, ty, part.shape[1], part.shape[0], part.shape[2], 8, "FIXEDPOINT", part.tobytes(), r["width"], r["height"]))
+                        rows.append((r["image_id"], r["path"], 0, 90, 0, ty * ntx + tx, tx, ty, part.shape[1], part.shape[0], part.shape[2], 8, "FIXEDPOINT", part.tobytes(), r["width"], r["height"], None))
                 yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows), kinds)], names=names)
 
     return flat.mapInArrow(cut, schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessella.operators.tiles import block_of
-from tessella.sources.storage import write_path
+from tessella.sources.storage import qualified, write_path
 
 
 def write_tiles(tiles: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -92,7 +92,7 @@ def write_files(encoded: DataFrame, directory: str, name: str = "file") -> DataF
 
     The result is lazy: the files are there once it has been read.
     """
-    root = directory.rstrip("/")
+    root = qualified(encoded.sparkSession, directory).rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,12 +8,25 @@ from urllib.parse import unquote
 from pyarrow import fs
 
 
+# Names that Spark's connectors use for stores that Arrow calls otherwise.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "viewfs": "hdfs"}
+
+
+def qualified(spark, path: str) -> str:
+    """The path with its scheme, as Spark resolves it; to be asked on the driver before a path goes to tasks."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def locate(path: str) -> tuple[fs.FileSystem, str]:
     """File system and path for a URI as Spark writes it (file:/x, hdfs://, s3://) or a plain path."""
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + unquote(path[5:]).lstrip("/")
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
+    scheme, mark, rest = path.partition("://")
+    if mark:
+        return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
     return fs.LocalFileSystem(), path
 
 

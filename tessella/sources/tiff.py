@@ -11,6 +11,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,12 @@ SAMPLE_FORMAT, MIN_SAMPLE, MAX_SAMPLE, STONITS = 339, 340, 341, 37439
 TEXT_TAGS = {"creator": 315, "rights": 33432, "date": 306, "description": 270, "title": 269, "pagename": 285, "software": 305,
              "make": 271, "model": 272}
 XMP, ICC = 700, 34675
+PLANAR, PREDICTOR = 284, 317
 NONE, DEFLATE, ADOBE_DEFLATE = 1, 32946, 8
 
+#: What a broken or unsupported file makes the reader raise.
+UNREADABLE = (ValueError, KeyError, IndexError, TypeError, OSError, struct.error, zlib.error)
+
 
 class Header:
     """Directories of one open TIFF file; field values are read when asked for."""
@@ -106,7 +111,7 @@ class Header:
         size = lambda p: (self.one(p, WIDTH), self.one(p, HEIGHT))
         same = len(levels) > 1 and size(levels[0]) == size(levels[1])
         pages = [p for p in self.pages if self.one(p, SUBFILE) == 2] if nested or same else []
-        return (levels[:1] if same else levels), pages
+        return (levels[:1] if same and pages else levels), pages
 
     def shape(self, page: dict) -> dict:
         tiled = TILE_W in page
@@ -116,13 +121,22 @@ class Header:
         return {"width": w, "height": h, "tile_w": tw, "tile_h": th, "ntx": -(-w // tw), "nty": -(-h // th), "tiled": tiled}
 
 
+def _undo_float_predictor(raw: bytes, h: int, w: int, channels: int, size: int) -> np.ndarray:
+    """Rows hold the differences of their samples' bytes, the highest bytes of all samples first."""
+    rows = np.frombuffer(raw, np.uint8, h * w * channels * size).reshape(h, w * size, channels)
+    parts = np.cumsum(rows, axis=1, dtype=np.uint8).reshape(h, size, w * channels).transpose(0, 2, 1)
+    return np.ascontiguousarray(parts).view(f">f{size}").reshape(h, w, channels).astype(f"<f{size}")
+
+
 def decode(header: Header, page: dict, shape: dict, tile: int, raw: bytes):
     """(width, height, channels, bpc, sample type, data) of one stored tile, widened and cropped."""
-    import numpy as np
-
     bits, channels = header.one(page, BITS, 1), header.one(page, SAMPLES, 1)
-    packing = header.one(page, COMPRESSION, NONE)
-    if packing in (DEFLATE, ADOBE_DEFLATE):
+    if header.one(page, PLANAR, 1) == 2:
+        channels = 1  # planes are stored one after another; the first one is read
+    packing, predictor = header.one(page, COMPRESSION, NONE), header.one(page, PREDICTOR, 1)
+    if not raw:
+        raw, predictor = bytes(-(-shape["tile_w"] * channels * bits // 8) * shape["tile_h"]), 1  # a tile that was left out
+    elif packing in (DEFLATE, ADOBE_DEFLATE):
         raw = zlib.decompress(raw)
     elif packing != NONE:
         raise ValueError(f"TIFF compression {packing} is not supported")
@@ -136,6 +150,14 @@ def decode(header: Header, page: dict, shape: dict, tile: int, raw: bytes):
         kind = np.dtype(f"{header.order}{'f' if floating else 'u'}{bits // 8}")
         block = np.frombuffer(raw, kind, stored_h * shape["tile_w"] * channels).reshape(stored_h, shape["tile_w"], channels)
         block = block.astype(kind.newbyteorder("<"))
+        if predictor == 2 and not floating:
+            block = np.cumsum(block, axis=1, dtype=block.dtype)
+        elif predictor == 3 and floating:
+            block = _undo_float_predictor(raw, stored_h, shape["tile_w"], channels, bits // 8)
+        elif predictor != 1:
+            raise ValueError(f"TIFF predictor {predictor} is not supported for these samples")
+    elif predictor != 1:
+        raise ValueError(f"TIFF predictor {predictor} is not supported for {bits} bits")
     else:
         block = unpack_bits(raw, stored_h, shape["tile_w"], channels, bits, white)
     block = np.ascontiguousarray(block[:h, :w])
@@ -150,7 +172,7 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.tif*") -> DataF
 
 _TILE_DDL = (
     "image_id long, path string, h_seq int, v_seq int, level int, tile int, tx int, ty int, width int, height int, "
-    "channels int, bpc int, sample_type string, data binary"
+    "channels int, bpc int, sample_type string, data binary, error string"
 )
 
 
@@ -160,14 +182,15 @@ def scan_tiff(spark: SparkSession, path: str, pattern: str = "*.tif*", levels: l
 
 
 def read_tiff(files: DataFrame, levels: list[int] | None = None, split_bytes: int = 64 << 20) -> DataFrame:
-    """Tiles of a table of files (path, length).  Levels not in ``levels`` (0 is the smallest) are not read."""
+    """Tiles of a table of files (path, length).  A file or tile that cannot be read is a row with ``error`` and no data.
+    Levels not in ``levels`` (0 is the smallest) are not read."""
     ranges = files.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(F.col("length") / split_bytes).cast("int"))))
     ranges = ranges.select(F.xxhash64("path").alias("image_id"), "path", "part").repartition("path", "part")
     names = [f.split()[0] for f in _TILE_DDL.split(", ")]
     source = ranges.select("image_id", "path", "part")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.string()] + [pa.int32()] * 10 + [pa.string(), pa.binary()]
+        types = [pa.int64(), pa.string()] + [pa.int32()] * 10 + [pa.string(), pa.binary(), pa.string()]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows)) or [()] * len(names)
@@ -177,24 +200,33 @@ def read_tiff(files: DataFrame, levels: list[int] | None = None, split_bytes: in
             for item in batch.to_pylist():
                 rows, size = [], 0
                 with open_path(item["path"]) as stream:
-                    header = Header(stream)
-                    pyramid, layers = header.layout()
+                    try:
+                        header = Header(stream)
+                        pyramid, layers = header.layout()
+                    except UNREADABLE as problem:
+                        if item["part"] == 0:
+                            yield batch_of([(item["image_id"], item["path"], *[None] * (len(names) - 3), f"unreadable file: {problem}")])
+                        continue
                     pages = [(0, len(pyramid) - 1 - i, p) for i, p in enumerate(pyramid)]
-                    pages += [(i, len(pyramid) - 1, p) for i, p in enumerate(layers) if i > 0]
+                    # a layer is numbered by its directory
+                    numbered = [(next(k for k, q in enumerate(header.pages) if q is p), p) for p in layers]
+                    pages += [(k, len(pyramid) - 1, p) for k, p in numbered if k > 0]
                     for h_seq, level, page in pages:
                         if levels is not None and level not in levels:
                             continue
                         shape = header.shape(page)
                         offsets = header.get(page, TILE_OFFSETS if shape["tiled"] else STRIP_OFFSETS)
                         counts = header.get(page, TILE_COUNTS if shape["tiled"] else STRIP_COUNTS)
-                        for tile in range(shape["ntx"] * shape["nty"]):  # the first plane only
-                            if offsets[tile] // split_bytes != item["part"]:
-                                continue
+                        first_plane = np.asarray(offsets[: shape["ntx"] * shape["nty"]], np.int64)
+                        for tile in np.flatnonzero(first_plane // split_bytes == item["part"]).tolist():
                             stream.seek(offsets[tile])
-                            out = decode(header, page, shape, tile, stream.read(counts[tile]))
+                            try:
+                                out = (*decode(header, page, shape, tile, stream.read(counts[tile])), None)
+                            except UNREADABLE as problem:
+                                out = (*[None] * 6, f"unreadable tile: {problem}")
                             place = (tile, tile % shape["ntx"], tile // shape["ntx"])
                             rows.append((item["image_id"], item["path"], h_seq, 90, level, *place, *out))
-                            size += len(out[-1])
+                            size += len(out[-2] or b"")
                             if size > 8 << 20:
                                 yield batch_of(rows)
                                 rows, size = [], 0
@@ -207,11 +239,12 @@ def read_tiff(files: DataFrame, levels: list[int] | None = None, split_bytes: in
 def scan_headers(spark: SparkSession, path: str, pattern: str = "*.tif*") -> DataFrame:
     """Catalogue rows of TIFF files: sizes, depth, ranges, levels, stack and metadata."""
     files = list_files(spark, path, pattern).select(F.xxhash64("path").alias("image_id"), "path", "mtime")
+    times = files.select("path", "mtime")
     level = "struct<level:int,native_level:int,width:int,height:int,tile_w:int,tile_h:int,ntx:int,nty:int>"
     schema = (
         "image_id long, path string, width int, height int, channels int, bpc int, sample_type string, colorspace string, "
         f"min array<float>, max array<float>, dpi_x float, dpi_y float, dpi_units int, levels array<{level}>, "
-        "stack array<struct<name:string,scale:float>>, metadata map<string,string>, icc binary, xmp binary"
+        "stack array<struct<name:string,scale:float>>, metadata map<string,string>, icc binary, xmp binary, error string"
     )
     space = {8: "CIELAB", 1: "GREYSCALE", 0: "GREYSCALE"}
 
@@ -249,17 +282,21 @@ def scan_headers(spark: SparkSession, path: str, pattern: str = "*.tif*") -> Dat
         types = {
             "min": pa.list_(pa.float32()), "max": pa.list_(pa.float32()), "dpi_x": pa.float32(), "dpi_y": pa.float32(), "levels": pa.list_(lv),
             "stack": pa.list_(pa.struct([("name", pa.string()), ("scale", pa.float32())])), "metadata": pa.map_(pa.string(), pa.string()),
-            "icc": pa.binary(), "xmp": pa.binary(), "sample_type": pa.string(), "colorspace": pa.string(),
+            "icc": pa.binary(), "xmp": pa.binary(), "sample_type": pa.string(), "colorspace": pa.string(), "error": pa.string(),
         }
+        names = ["width", "height", "channels", "bpc", "sample_type", "colorspace", "min", "max", "dpi_x", "dpi_y", "dpi_units", "levels", "stack", "metadata", "icc", "xmp", "error"]
         for batch in batches:
             rows = []
             for path in batch.column(1).to_pylist():
                 with open_path(path) as stream:
-                    rows.append(describe(Header(stream)))
-            names = list(rows[0]) if rows else []
+                    try:
+                        rows.append({**describe(Header(stream)), "error": None})
+                    except UNREADABLE as problem:
+                        rows.append({**dict.fromkeys(names), "error": f"unreadable file: {problem}"})
             if rows:
                 columns = [batch.column(0), batch.column(1)] + [pa.array([r[n] for r in rows], types.get(n, pa.int32())) for n in names]
                 yield pa.RecordBatch.from_arrays(columns, names=["image_id", "path", *names])
 
     found = files.select("image_id", "path").mapInArrow(read, schema)
+    found = found.join(times, "path", "left").select(*found.columns, "mtime")
     return found.withColumn("format", F.lit("TIFF")).withColumn("num_levels", F.size("levels"))

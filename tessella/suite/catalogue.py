@@ -166,9 +166,9 @@ def _(spark, sf):
 _digest = lambda k: f"sum(('0x' || md5({k})[1:8])::bigint)::bigint"
 
 
-@query("static_tile_paths", f"""SELECT image_id, level, count(*) AS n, {_digest('deepzoom')} AS deepzoom, {_digest('zoomify')} AS zoomify, {_digest('iiif')} AS iiif FROM (SELECT image_id, level, tx, ty, path || '_files/' || (level + dz - n + 1) || '/' || tx || '_' || ty || '.png' AS deepzoom, path || '/TileGroup0/' || (level - d) || '-' || tx || '-' || ty || '.png' AS zoomify,
+@query("static_tile_paths", f"""SELECT image_id, level, count(*) AS n, {_digest('deepzoom')} AS deepzoom, {_digest('zoomify')} AS zoomify, {_digest('iiif')} AS iiif FROM (SELECT image_id, level, tx, ty, path || '_files/' || (level + dz - n + 1) || '/' || tx || '_' || ty || '.png' AS deepzoom, path || '/TileGroup' || ((before + ty * ntx + tx) // 256) || '/' || (level - d) || '-' || tx || '-' || ty || '.png' AS zoomify,
       path || '/' || (tx * 256 * s) || ',' || (ty * 256 * s) || ',' || least(256 * s, fw - tx * 256 * s) || ',' || least(256 * s, fh - ty * 256 * s) || '/' || least(256, width - tx * 256) || ',/0/default.png' AS iiif FROM (
-    SELECT *, unnest(range(0, ntx))::int AS tx FROM (SELECT l.*, i.path, i.width AS fw, i.height AS fh, ceil(log2(greatest(i.width, i.height)))::int AS dz, n, d, (1 << native_level)::bigint AS s, unnest(range(0, nty))::int AS ty
+    SELECT *, unnest(range(0, ntx))::int AS tx FROM (SELECT l.*, (SELECT coalesce(sum(s.ntx * s.nty), 0)::bigint FROM lvl_floor s WHERE s.image_id = l.image_id AND s.level < l.level AND s.level >= d) AS before, i.path, i.width AS fw, i.height AS fh, ceil(log2(greatest(i.width, i.height)))::int AS dz, n, d, (1 << native_level)::bigint AS s, unnest(range(0, nty))::int AS ty
       FROM lvl_floor l JOIN img i USING (image_id) JOIN (SELECT image_id, count(*)::int AS n, greatest(count(*) FILTER (width < 256 AND height < 256) - 1, 0)::int AS d FROM lvl_floor GROUP BY ALL) USING (image_id)))) GROUP BY ALL""")
 def _(spark, sf):
     from tessella.plans.export import tile_paths

@@ -95,26 +95,29 @@ def _heads(spark, sf) -> DataFrame:
     return G.with_pyramid(s, fx.TILE, fx.TILE)
 
 
-@query("export_collection")
+@query("export_collection", """SELECT 'img/' || image_id || '_files/' || (lv + deep - 2) || '/' || tx || '_' || ty || '.png' AS file
+    FROM (SELECT image_id, lv, w, h, deep, tx, unnest(range(0, (h + 15) // 16)) AS ty FROM (SELECT *, unnest(range(0, (w + 15) // 16)) AS tx FROM (
+      SELECT image_id, n AS lv, 64 >> (2 - n) AS w, h >> (2 - n) AS h, ceil(log2(greatest(64, h)))::int AS deep FROM vec_size, (SELECT unnest([0, 1, 2]) AS n))))""")
 def _(spark, sf):
     """Every tile of every level as a PNG under its Deep Zoom path."""
     from tessella.suite.rendering import stored
 
-    return EX.export_collection(_heads(spark, sf), stored(spark, sf), _folder(spark, "deepzoom"))
+    return EX.export_collection(_heads(spark, sf), stored(spark, sf), _folder(spark, "deepzoom")).where("bytes > 0").select("file")
 
 
-@query("export_manifests", """SELECT 'img/' || image_id || '.dzi' AS file, length('<Image xmlns="http://schemas.microsoft.com/deepzoom/2008" TileSize="16" Overlap="0" Format="jpg"><Size Width="64" Height="' || h || '"/></Image>') AS bytes FROM vec_size""")
+@query("export_manifests", """SELECT 'img/' || image_id || '.dzi' AS file, length('<Image xmlns="http://schemas.microsoft.com/deepzoom/2008" TileSize="16" Overlap="0" Format="png"><Size Width="64" Height="' || h || '"/></Image>') AS bytes FROM vec_size""")
 def _(spark, sf):
     return EX.write_manifests(_heads(spark, sf), _folder(spark, "manifests"))
 
 
 @query("render_tile_ranges", """SELECT event_id, (ty * 4 + tx)::int AS tile FROM (SELECT event_id, tx, unnest(range(a // 4, b // 4 + 1)) AS ty FROM (
-    SELECT event_id, a, b, unnest(range(least(a % 4, b % 4), greatest(a % 4, b % 4) + 1)) AS tx FROM (SELECT event_id, event_id % 12 AS a, greatest(event_id % 12, user_id % 12) AS b FROM events)))""")
+    SELECT event_id, a, b, unnest(range(least(a % 4, b % 4), greatest(a % 4, b % 4) + 1)) AS tx FROM (SELECT event_id, event_id % n AS a, greatest(event_id % n, user_id % n) AS b FROM (SELECT e.*, (h + 15) // 16 * 4 AS n FROM events e JOIN vec_size ON image_id = event_id % (SELECT count(*) FROM vec_size)))))""")
 def _(spark, sf):
-    from tessella.suite.rendering import stored
+    from tessella.suite.rendering import count_images, stored
 
-    e = fx.table(spark, sf, "events")
-    r = e.select("event_id", (c("event_id") % 10).alias("image_id"), F.lit(2).alias("level"), (c("event_id") % 12).cast("int").alias("start_tile"), (c("user_id") % 12).cast("int").alias("end_tile"))
+    e = fx.table(spark, sf, "events").withColumn("image_id", c("event_id") % count_images(spark, sf))
+    e = e.join(_heads(spark, sf).select("image_id", (F.ceil(c("height") / 16) * 4).alias("n")), "image_id")
+    r = e.select("event_id", "image_id", F.lit(2).alias("level"), (c("event_id") % c("n")).cast("int").alias("start_tile"), (c("user_id") % c("n")).cast("int").alias("end_tile"))
     out = EX.render_tile_ranges(r, G.level_geometry(_heads(spark, sf)), stored(spark, sf))
     return out.where("octet_length(encoded) > 0").select("event_id", "tile")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella import fixtures as fx
 from tessella.functions.kernels import kernel
 from tessella.operators import geometry as G
+from tessella.operators import logs as L
 from tessella.operators import resample as R
 from tessella.operators import tiles as TI
 from tessella.plans import render as RE
@@ -16,13 +17,13 @@ from tessella.suite.resampling import grey, sizes
 
 c = F.col
 
-# Requests: one per customer on one of the first ten vector images.
-RELATIONS["rreq"] = """SELECT c_custkey AS k, c_custkey % 10 AS image_id, c_custkey % 5 / 10.0::double AS vx, c_custkey % 3 / 10.0::double AS vy,
+# Requests: one per customer, over all vector images.
+RELATIONS["rreq"] = """SELECT c_custkey AS k, image_id, c_custkey % 5 / 10.0::double AS vx, c_custkey % 3 / 10.0::double AS vy,
     0.5::double + c_custkey % 4 / 16.0::double AS vw, 0.4::double + c_custkey % 7 / 16.0::double AS vh,
     (8 + c_custkey % 40)::int AS wid, (CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 6 + c_custkey % 31 END)::int AS hei,
     [1.0, 1.5, -1.0, 0.7][(c_custkey % 4 + 1)::int]::double AS contrast, [1.0, 2.2, -1.0][(c_custkey % 3 + 1)::int]::double AS gamma, c_custkey % 5 = 0 AS inverted,
     c_custkey % 6 = 0 AS bin, c_custkey % 7 = 0 AS eq, (c_custkey % 3)::int AS flip, (c_custkey % 8 // 2 * 90)::int AS rot, h, CASE WHEN h > 32 OR 64 > 32 THEN 2 ELSE 1 END AS last
-    FROM customer JOIN vec_size ON image_id = c_custkey % 10"""
+    FROM customer JOIN vec_size ON image_id = c_custkey % (SELECT count(*) FROM vec_size)"""
 RELATIONS["rsized"] = """SELECT *, (vw * 64) / (vh * h) AS ratio, wid AS sw, (CASE WHEN hei = 0 THEN round(wid / ((vw * 64) / (vh * h))) ELSE hei END)::int AS sh FROM rreq"""
 RELATIONS["rlevel"] = """SELECT s.*, coalesce((SELECT max(n) FROM (SELECT unnest([0, 1, 2]) AS n) WHERE n <= last AND floor(64 * vw / (1 << n) + 1.1920929e-07::double) >= sw
       AND (hei = 0 OR floor(h * vh / (1 << n) + 1.1920929e-07::double) >= sh)), 0) AS n FROM rsized s"""
@@ -39,11 +40,16 @@ RELATIONS["thumb_full"] = """SELECT i.image_id, b AS bin, coalesce(max(wb) FILTE
       FROM (SELECT DISTINCT image_id FROM thumb) i CROSS JOIN (SELECT unnest(range(0, 256)) AS b) JOIN thumb_run t USING (image_id) GROUP BY ALL"""
 
 
+def count_images(spark, sf) -> int:
+    """Number of vector images."""
+    return fx.table(spark, sf, "embeddings", spread=False).agg(F.max("vec_id")).first()[0] // fx.VECTOR_ROWS + 1
+
+
 def requests(spark, sf) -> DataFrame:
     k = c("c_custkey")
     pick = lambda m, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (k % m + 1).cast("int"))
     rows = fx.table(spark, sf, "customer").select(
-        k.alias("k"), (k % 10).alias("image_id"), (k % 5 / 10.0).alias("rx"), (k % 3 / 10.0).alias("ry"),
+        k.alias("k"), (k % count_images(spark, sf)).alias("image_id"), (k % 5 / 10.0).alias("rx"), (k % 3 / 10.0).alias("ry"),
         (0.5 + k % 4 / 16.0).alias("rw"), (0.4 + k % 7 / 16.0).alias("rh"), (8 + k % 40).cast("int").alias("wid"),
         F.when(k % 2 == 0, 0).otherwise(6 + k % 31).cast("int").alias("hei"),
         F.lit(False).alias("maintain_aspect"), F.lit(True).alias("allow_upscaling"),
@@ -112,8 +118,38 @@ def _(spark, sf):
     return RE.serve(prepared.select("k", "render_key"), pixels).select("k", "y", "x", c("v").cast("int").alias("v"))
 
 
-_TILE_REQ = """(SELECT e.event_id, e.event_id % 10 AS image_id, (e.event_id // 10 % 12)::int AS tile, [1.0, 1.5, -1.0, 0.7][(event_id % 4 + 1)::int]::double AS contrast, [1.0, 2.2, -1.0][(event_id % 3 + 1)::int]::double AS gamma, event_id % 5 = 0 AS inverted,
-    event_id % 6 = 0 AS bin, event_id % 7 = 0 AS eq, (event_id % 3)::int AS flip, (event_id % 8 // 2 * 90)::int AS rot FROM events e)"""
+# Tile requests: one per event on a tile of the turned full level of any image; ``tile`` is the stored tile behind it.
+_TILE_REQ = """(SELECT *, (CASE rot WHEN 180 THEN 4 * nty - asked - 1 WHEN 90 THEN (nty - 1 - asked % nty) * 4 + asked // nty WHEN 270 THEN asked % nty * 4 + 3 - asked // nty ELSE asked END)::int AS tile
+    FROM (SELECT e.event_id, s.image_id, (h + 15) // 16 AS nty, event_id // n % (4 * ((h + 15) // 16)) AS asked,
+      [1.0, 1.5, -1.0, 0.7][(event_id % 4 + 1)::int]::double AS contrast, [1.0, 2.2, -1.0][(event_id % 3 + 1)::int]::double AS gamma, event_id % 5 = 0 AS inverted,
+      event_id % 6 = 0 AS bin, event_id % 7 = 0 AS eq, (event_id % 3)::int AS flip, (event_id % 8 // 2 * 90)::int AS rot
+      FROM events e, (SELECT count(*) AS n FROM vec_size) JOIN vec_size s ON s.image_id = event_id % n))"""
+_SUMS = """SELECT event_id, count(*) AS n, sum(v3)::bigint AS total, sum(v3 * ((x * 31 + y * 17) % 1009))::bigint AS weighted"""
+
+
+def tile_requests(spark, sf) -> DataFrame:
+    """event_id, plane, level and tile of the turned image."""
+    images = count_images(spark, sf)
+    events = fx.table(spark, sf, "events").select("event_id", (c("event_id") % images).alias("image_id"), F.expr("cast(event_id % 8 div 2 * 90 as int)").alias("rot"))
+    grid = sizes(spark, sf).select("image_id", (F.ceil(c("img_h") / fx.TILE) * 4).alias("_n"))
+    return events.join(grid, "image_id").select(
+        "event_id", "image_id", "rot", F.lit(0).alias("h_seq"), F.lit(90).alias("v_seq"), F.lit(2).alias("level"),
+        (F.floor(c("event_id") / images) % c("_n")).cast("int").alias("tile"),
+    )
+
+
+def tile_levels(spark, sf) -> DataFrame:
+    heads = sizes(spark, sf).select("image_id", c("img_w").alias("width"), c("img_h").alias("height"))
+    return G.level_geometry(G.with_pyramid(heads, fx.TILE, fx.TILE))
+
+
+def tile_sums(rows: DataFrame, out: DataFrame) -> DataFrame:
+    """Checksums of each distinct rendering, handed to its requests."""
+    pixels = TI.tiles_to_pixels(out.withColumns({"tx": F.lit(0), "ty": F.lit(0)}), 16, 16, keys=("render_key",))
+    v = c("v").cast("long")
+    sums = pixels.groupBy("render_key").agg(F.count("*").alias("n"), F.sum(v).alias("total"), F.sum(v * ((c("x") * 31 + c("y") * 17) % 1009)).alias("weighted"))
+    keyed = RE.with_defaults(rows)
+    return RE.serve(keyed.select("event_id", RE.tile_key(keyed).alias("render_key")), sums).drop("render_key")
 
 
 @query("render_tiles", f"""WITH q AS (SELECT q.*, h, v, p.x - tile % 4 * 16 AS i, p.y - tile // 4 * 16 AS j, 16 AS sw, least(16, h - tile // 4 * 16)::int AS sh, b0, b1 FROM {_TILE_REQ} q JOIN vec_size s USING (image_id)
@@ -122,24 +158,32 @@ _TILE_REQ = """(SELECT e.event_id, e.event_id % 10 AS image_id, (e.event_id // 1
       b AS (SELECT px.*, CASE WHEN bin THEN CASE WHEN v1 < threshold THEN 0 ELSE 255 END ELSE v1 END AS v2 FROM px JOIN thumb_otsu USING (image_id)),
       e AS (SELECT event_id, CASE WHEN flip = 1 THEN sw - 1 - i ELSE i END AS fx, CASE WHEN flip = 2 THEN sh - 1 - j ELSE j END AS fy, sw, sh, rot,
         CASE WHEN eq THEN floor(255 / np * (cdf - n0 / (sw * sh)) + 0.5)::int % 256 ELSE v2 END AS v3 FROM b JOIN thumb_full f ON f.image_id = b.image_id AND f.bin = b.v2)
-      SELECT event_id, count(*) AS n, sum(v3)::bigint AS total, sum(v3 * ((x * 31 + y * 17) % 1009))::bigint AS weighted FROM (SELECT event_id, v3, {_TURN} FROM e) GROUP BY ALL""")
+      {_SUMS} FROM (SELECT event_id, v3, {_TURN} FROM e) GROUP BY ALL""")
 def _(spark, sf):
     """A tile of the full level for every event, with processing inside the tile."""
     e = c("event_id")
     pick = lambda m, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (e % m + 1).cast("int"))
-    rows = fx.table(spark, sf, "events").select(
-        "event_id", (e % 10).alias("image_id"), F.lit(0).alias("h_seq"), F.lit(90).alias("v_seq"), F.lit(2).alias("level"), F.expr("cast(event_id div 10 % 12 as int)").alias("tile"),
-        pick(4, 1.0, 1.5, -1.0, 0.7).alias("contrast"), pick(3, 1.0, 2.2, -1.0).alias("gamma"), (e % 5 == 0).alias("inverted"),
-        F.when(e % 6 == 0, "BINARY").alias("colorspace"), (e % 7 == 0).alias("equalize"), (e % 3).cast("int").alias("flip"),
-        F.expr("cast(event_id % 8 div 2 * 90 as int)").alias("rot"), F.lit("PNG").alias("format"),
+    rows = tile_requests(spark, sf).withColumns(
+        {
+            "contrast": pick(4, 1.0, 1.5, -1.0, 0.7), "gamma": pick(3, 1.0, 2.2, -1.0), "inverted": e % 5 == 0,
+            "colorspace": F.when(e % 6 == 0, "BINARY"), "equalize": e % 7 == 0, "flip": (e % 3).cast("int"), "format": F.lit("PNG"),
+        }
     )
     tiles = stored(spark, sf)
-    out = RE.render_tiles(rows, tiles, statistics(tiles))
-    keyed = RE.with_defaults(rows).withColumn(
-        "render_key", F.md5(F.to_json(F.struct("image_id", "h_seq", "v_seq", "level", "tile", *RE.OPS), {"ignoreNullFields": "false"}))
-    )
-    # Summed once per distinct rendering, then handed to the requests.
-    pixels = TI.tiles_to_pixels(out.withColumns({"tx": F.lit(0), "ty": F.lit(0)}), 16, 16, keys=("render_key",))
-    v = c("v").cast("long")
-    sums = pixels.groupBy("render_key").agg(F.count("*").alias("n"), F.sum(v).alias("total"), F.sum(v * ((c("x") * 31 + c("y") * 17) % 1009)).alias("weighted"))
-    return RE.serve(keyed.select("event_id", "render_key"), sums).drop("render_key")
+    return tile_sums(rows, RE.render_tiles(rows, tiles, statistics(tiles), tile_levels(spark, sf)))
+
+
+@query("render_minmax", f"""WITH q AS (SELECT q.*, p.x - tile % 4 * 16 AS fx, p.y - tile // 4 * 16 AS fy, 16 AS sw, least(16, h - tile // 4 * 16)::int AS sh,
+        CASE event_id % 4 WHEN 0 THEN 20.0::double WHEN 1 THEN 12.5::double ELSE 0 END AS lo, CASE event_id % 4 WHEN 0 THEN 220.0::double WHEN 1 THEN 200.0::double ELSE 255 END AS hi, v
+        FROM {_TILE_REQ} q JOIN vec_size s USING (image_id) JOIN vec8 p ON p.image_id = q.image_id AND p.x // 16 = tile % 4 AND p.y // 16 = tile // 4),
+      e AS (SELECT *, CASE WHEN event_id % 4 > 1 THEN v ELSE floor(least(greatest((v - lo) * (1 / (hi - lo)) * 255, 0), 255))::int END AS v3 FROM q)
+      {_SUMS} FROM (SELECT event_id, v3, {_TURN} FROM e) GROUP BY ALL""")
+def _(spark, sf):
+    """MINMAX from the log to the picture: all channels, one channel, a channel that does not exist, none."""
+    e = c("event_id")
+    text = F.when(e % 4 == 0, "-:20,220").when(e % 4 == 1, "0:12.5,2e2").when(e % 4 == 2, "3:20,220")
+    asked = F.concat(F.lit("FIF=a.tif"), F.coalesce(F.concat(F.lit("&MINMAX="), text), F.lit("")), F.lit("&CVT=png"))
+    log = L.log_to_requests(tile_requests(spark, sf).drop("h_seq", "v_seq").withColumnRenamed("rot", "turn").withColumn("q", asked), "q")
+    rows = log.select("event_id", "image_id", c("turn").alias("rot"), "h_seq", "v_seq", "level", "tile", "format", "minmax_channel", "minmax_lo", "minmax_hi")
+    tiles = stored(spark, sf)
+    return tile_sums(rows, RE.render_tiles(rows, tiles, statistics(tiles), tile_levels(spark, sf)))

@@ -72,7 +72,7 @@ def _(spark, sf):
     FROM (SELECT page_id, substr(url, 8) AS rest FROM pages)""")
 def _(spark, sf):
     prefix = F.when(c("page_id") % 3 == 0, "/iiif/").when(c("page_id") % 3 == 1, "/images/").otherwise("/other/")
-    rows = fx.table(spark, sf, "pages").select("page_id", F.concat(prefix, F.substring(c("url"), 8, 100000)).alias("uri"))
+    rows = fx.table(spark, sf, "pages").select("page_id", F.concat(prefix, F.expr("substring(url, 8)")).alias("uri"))
     maps = spark.createDataFrame([("iiif", "IIIF"), ("images", "IIP"), ("other", "FTP")], "prefix string, protocol string")
     return L.uri_map(rows, maps).drop("uri")
 

@@ -110,7 +110,48 @@ def test_prune_tiles(spark):
     t = R.build_pyramid(tiles(spark, random_image(9, 20, 20), 8), 8)
     wanted = spark.createDataFrame([(0,), (1,), (1,)], "level int")
     assert {r.level for r in prune_tiles(t, wanted).select("level").distinct().collect()} == {0, 1}
-    assert prune_tiles(t, wanted, max_levels=1).count() == t.count()
+
+
+def test_region_reads_only_the_levels_it_needs(spark, tmp_path):
+    from tessella.operators.cover import get_region
+
+    stored = R.build_pyramid(tiles(spark, random_image(9, 40, 40), 8), 8).drop("out_w", "out_h")
+    stored.write.partitionBy("level").parquet(str(tmp_path / "store"))
+    table = spark.read.parquet(str(tmp_path / "store"))
+    window = "1L AS k, image_id, h_seq, v_seq, level, 5 AS ntx, 3 AS src_x, 4 AS src_y, 9 AS src_w, 7 AS src_h, 9 AS dst_w, 7 AS dst_h, false AS flip_x, false AS flip_y, false AS transpose, cast(null as int) AS step"
+    top = table.agg({"level": "max"}).first()[0]
+    regions = table.where(f"level = {top} AND tile = 0").selectExpr(*window.split(", ")).persist()
+    out = get_region(regions, table, ["k"], 8, 8, 16)
+    assert "dynamicpruning" in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert len(got) == 1 and (got[0].width, got[0].height) == (9, 7)
+
+
+def test_cover_stays_in_the_grid(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.operators.cover import tile_cover
+
+    rows = spark.createDataFrame([(0, 64, 1), (1, 63, 1), (2, 0, 200), (3, 60, 10)], "k int, x int, w int")
+    got = tile_cover(rows, F.col("x"), F.lit(0), F.col("w"), F.lit(1), F.lit(16), F.lit(16), F.lit(4), F.lit(4))
+    assert sorted((r.k, r.tile) for r in got.collect()) == [(0, 3), (1, 3), (2, 0), (2, 1), (2, 2), (2, 3), (3, 3)]
+
+
+def test_latest_tile_keeps_tiles_without_time(spark):
+    from tessella.operators.stats import latest_tile
+
+    rows = spark.createDataFrame([(1, None, "a"), (2, 5, "b"), (2, 7, "c"), (2, None, "d"), (None, 3, "e"), (None, 4, "f")], "k int, mtime long, data string")
+    assert sorted(r.data for r in latest_tile(rows, ("k",)).collect()) == ["a", "c", "f"]
+
+
+def test_uri_map_has_no_limit(spark):
+    from tessella.operators.logs import uri_map
+
+    maps = spark.createDataFrame([(f"p{i}", "IIP") for i in range(3000)] + [("p1/x", "iiif"), ("", "zoomify"), ("q", "ftp"), (None, "iip")], "prefix string, protocol string")
+    log = spark.createDataFrame([("/p2999/a?b",), ("/p1/x/y",), ("/other/z",), ("/q/z",), ("p1/a",), (None,), ("/" + "s" * 200_000,)], "uri string")
+    got = {r.uri: r.request for r in uri_map(log, maps).collect()}
+    assert got["/p2999/a?b"] == "fif=a" and got["/p1/x/y"] == "iiif=y" and got["/other/z"] == "zoomify=other/z"
+    assert got["/q/z"] == "zoomify=q/z" and got["p1/a"] == "p1/a" and got[None] is None and len(got["/" + "s" * 200_000]) == 200_008
 
 
 def test_equal_requests_are_rendered_once(spark):
