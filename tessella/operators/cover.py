@@ -67,7 +67,8 @@ def prune_tiles(tiles: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A level halves its image, so there are at most as many as a size has bits, and their list can be broadcast.
     """
-    return tiles.join(F.broadcast(wanted.select("level").distinct()), "level", "left_semi")
+    # the comparison, always true of a level, tells the optimiser that this side is worth pruning by
+    return tiles.join(F.broadcast(wanted.where("level >= 0").select("level").distinct()), "level", "left_semi")
 
 
 def get_region(regions: DataFrame, tiles: DataFrame, keys: list[str], tile_w: int, tile_h: int, out_tile: int, mode: str = "nearest", before=None, using: tuple[str, ...] = ()) -> DataFrame:
