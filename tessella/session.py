@@ -8,8 +8,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Side tables up to this many rows are broadcast; above it they are joined by shuffle.
+# Side tables up to this many rows and bytes (of their rows as text) are broadcast; above either they are joined by shuffle.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "tessella", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,16 +55,19 @@ def join_side_table(
     spread_by: list[str] | None = None,
     max_rows: int = BROADCAST_ROWS,
     spread: int = 32,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join a small per-image table to a large tile or request table.
 
-    The side table is cached and counted.  Up to ``max_rows`` rows it is broadcast, so the large
-    side does not move.  Above, both sides are hashed on ``on`` plus a salt taken from
+    The side table is cached and measured.  Up to ``max_rows`` rows and ``max_bytes`` bytes it is broadcast, so the
+    large side does not move.  Above, both sides are hashed on ``on`` plus a salt taken from
     ``spread_by`` (tile position, say), so that one image holding a third of all tiles is spread
     over ``spread`` tasks.  The side rows are repeated per salt, the large rows never.
     """
     side = side.persist()
-    if side.count() <= max_rows:
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{n}`") for n in side.columns])))
+    rows, size = side.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    if rows <= max_rows and size <= max_bytes:
         return tiles.join(F.broadcast(side), on, how)
     if not spread_by:
         return tiles.join(side, on, how)
