@@ -167,7 +167,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             for batch in batches:
                 names = batch.column("doc_id").to_pylist()
                 _, offsets = text_bytes(batch.column("text"))
-                for a, b in row_blocks(offsets):
+                for a, b in row_blocks(offsets, 1 << 21):
                     for lo, hi, ids, counts in encode_all(tokenizer, batch.column("text").slice(a, b - a).to_pylist()):
                         ends = np.cumsum(counts)
                         yield names[a + lo : a + hi], np.insert(ids, ends, end_id), counts + 1

@@ -142,7 +142,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, s
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             _, offsets = text_bytes(batch.column("text"))
-            for a, b in row_blocks(offsets):
+            for a, b in row_blocks(offsets, 1 << 21):
                 for lo, hi, ids, counts in encode_all(tokenizer, batch.column("text").slice(a, b - a).to_pylist()):
                     ends = np.cumsum(counts)
                     ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)

@@ -20,11 +20,14 @@ _FIRST = "\0"
 _ENCODERS: dict[str, Encoder] = {}
 
 
-class _Codes(dict):
-    """Text to number; an unknown text gets the next number and is noted."""
+class _Memory(dict):
+    """Text to number, and each number's ids.  An unknown text gets the next number and is noted in ``fresh``."""
 
     def __init__(self) -> None:
         self.fresh: list[str] = []
+        self.flat, self.start, self.known = np.zeros(1024, np.uint32), np.zeros(1024, np.int64), 0
+        self.uses = np.zeros(0, np.int64)
+        self.size = 0
 
     def __missing__(self, text: str) -> int:
         self[text] = code = len(self)
@@ -32,25 +35,46 @@ class _Codes(dict):
         return code
 
     def of(self, texts: Iterable[str], count: int) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, texts), np.int64, count)
+        codes = np.fromiter(map(self.__getitem__, texts), np.int64, count)
+        uses = np.bincount(codes, minlength=len(self))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        return codes
+
+    def learn(self, flat: np.ndarray, counts: np.ndarray) -> None:
+        """The ids of the texts in ``fresh``; arrays grow by doubling."""
+        used, known = int(self.start[self.known]), self.known + len(counts)
+        if used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:used], np.zeros(used + len(flat), np.uint32)])
+        if known >= len(self.start):
+            self.start = np.concatenate([self.start[: self.known + 1], np.zeros(known + 1, np.int64)])
+        self.flat[used : used + len(flat)] = flat
+        self.start[self.known + 1 : known + 1] = used + np.cumsum(counts)
+        self.known = known
+        self.size += sum(map(len, self.fresh))
+        self.fresh = []
 
+    def take(self, codes: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _take(self.flat, self.start, codes, groups)
 
-class _Lists:
-    """Integer lists in one flat array."""
+    def renewed(self) -> _Memory:
+        """What was used more than once, unless that is most of it."""
+        out = _Memory()
+        often = np.flatnonzero(self.uses > 1)
+        if 2 * len(often) < len(self):
+            texts = list(self)
+            out.of([texts[i] for i in often.tolist()], len(often))
+            out.learn(*self.take(often, np.ones(len(often), np.int64)))
+        return out
 
-    def __init__(self) -> None:
-        self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def add(self, flat: np.ndarray, counts: np.ndarray) -> None:
-        self.flat = np.concatenate([self.flat, flat])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
-
-    def take(self, codes: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The lists of ``codes`` one after another; and the summed length of each run of codes, ``groups`` long."""
-        lengths = self.start[codes + 1] - self.start[codes]
-        last = np.cumsum(lengths)
-        flat = self.flat[np.repeat(self.start[codes] - last + lengths, lengths) + np.arange(int(last[-1]) if len(last) else 0)]
-        return flat, np.diff(np.concatenate([[0], last])[np.concatenate([[0], np.cumsum(groups)])])
+def _take(flat: np.ndarray, start: np.ndarray, codes: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of ``codes`` one after another; and the summed length of each run of codes, ``groups`` long."""
+    first = start[codes]
+    lengths = start[codes + 1] - first
+    last = np.cumsum(lengths)
+    ids = flat[np.repeat(first - last + lengths, lengths) + np.arange(int(last[-1]) if len(last) else 0)]
+    return ids, np.diff(np.concatenate([[0], last])[np.concatenate([[0], np.cumsum(groups)])])
 
 
 class Encoder:
@@ -68,11 +92,10 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.pieces, self.parts, self.size = _Codes(), _Codes(), 0
-        self.piece_ids, self.part_ids = _Lists(), _Lists()
+        self.pieces, self.parts = _Memory(), _Memory()
+        # where the vocabulary has no capitals, texts of ASCII characters are looked up in lower case
+        capital, small = self._whole(["A", "a"])[0].reshape(2, -1)
+        self.lowers = bool((capital == small).all())
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -80,21 +103,21 @@ class Encoder:
         return np.fromiter(chain.from_iterable(lists), np.uint32, int(counts.sum())), counts
 
     def _learn(self) -> None:
-        fresh, self.pieces.fresh = self.pieces.fresh, []
-        split = [(m[1], m[2]) if (m := _TAIL.match(p)) else (p,) for p in fresh]
+        split = [(m[1], m[2]) if (m := _TAIL.match(p)) else (p,) for p in self.pieces.fresh]
         split = [(s[0][1:] if s[0][:1] == _FIRST else " " + s[0], *s[1:]) for s in split]
         groups = np.fromiter(map(len, split), np.int64, len(split))
-        codes = self.parts.of(chain.from_iterable(split), int(groups.sum()))
+        parts = chain.from_iterable(split)
+        if self.lowers:
+            parts = (p.lower() if p.isascii() else p for p in parts)
+        codes = self.parts.of(parts, int(groups.sum()))
         if self.parts.fresh:
-            self.part_ids.add(*self._whole(self.parts.fresh))
-            self.parts.fresh = []
-        self.piece_ids.add(*self.part_ids.take(codes, groups))
-        self.size += sum(map(len, fresh))
+            self.parts.learn(*self._whole(self.parts.fresh))
+        self.pieces.learn(*self.parts.take(codes, groups))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and the number of ids of each text."""
-        if self.size > REMEMBERED:
-            self._forget()
+        if self.pieces.size > REMEMBERED:
+            self.pieces, self.parts = self.pieces.renewed(), self.parts.renewed()
         groups, rows, whole = np.ones(len(texts), np.int64), [], []
         for i, text in enumerate(texts):
             if text[:1] == " " or _FIRST in text or _JOINED.search(text):
@@ -110,13 +133,14 @@ class Encoder:
         codes[np.repeat(cut, groups)] = self.pieces.of(chain.from_iterable(rows), int(groups[cut].sum()))
         if self.pieces.fresh:
             self._learn()
-        lists = self.piece_ids
-        if whole:
-            lists = _Lists()
-            lists.flat, lists.start = self.piece_ids.flat, self.piece_ids.start
-            codes[np.cumsum(groups)[whole] - 1] = len(lists.start) - 1 + np.arange(len(whole))
-            lists.add(*self._whole([texts[i] for i in whole]))
-        return lists.take(codes, groups)
+        if not whole:
+            return self.pieces.take(codes, groups)
+        known = self.pieces.known
+        ids, counts = self._whole([texts[i] for i in whole])
+        codes[np.cumsum(groups)[whole] - 1] = known + np.arange(len(whole))
+        used = self.pieces.start[: known + 1]
+        table, start = np.concatenate([self.pieces.flat[: used[-1]], ids]), np.concatenate([used, used[-1] + np.cumsum(counts)])
+        return _take(table, start, codes, groups)
 
 
 def encoder(path: str) -> Encoder:
