@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.session import shared_dir
+from tessella.sources.storage import qualified
 
 #: A word: a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,7 +39,7 @@ def kept(df: DataFrame) -> DataFrame:
 
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A folder of its own under the shared one."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, shared_dir(spark))}/{kind}-{uuid.uuid4().hex}"
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +54,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[first:last], offsets - first
 
 
-def row_blocks(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def row_blocks(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows of up to ``limit`` bytes together; a longer row comes alone."""
     row, rows = 0, len(offsets) - 1
     while row < rows:
@@ -62,7 +63,7 @@ def row_blocks(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int,
         row = min(end, rows)
 
 
-def text_blocks(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First and last row, bytes and offsets of blocks of a text column, so that arrays made from it stay small."""
     data, offsets = text_bytes(column)
     for lo, hi in row_blocks(offsets, limit):

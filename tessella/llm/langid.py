@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import kept
+from tessella.llm.common import kept, row_blocks, text_bytes
 
 SIZE, LONGEST = 1 << 15, 4
 UNKNOWN = "und"
@@ -29,7 +29,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 _FACTORS = [[(0x9E3779B1 * (n * 7 + k + 1) | 1) & 0xFFFFFFFF for k in range(n)] for n in range(1, LONGEST + 1)]
 
 
-def presences(texts: list[str | None], rows: int = 128, chars: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray]]:
+def presences(texts: list[str | None], rows: int = 64, chars: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray]]:
     """First and last row, and the matrix (rows, SIZE) of which hashed n-grams each lower-cased text has.
 
     Work goes by up to ``chars`` characters; a longer text is taken in pieces that overlap by LONGEST - 1.
@@ -68,6 +68,13 @@ def _mark(found: np.ndarray, pieces: list[tuple[int, str]]) -> None:
         flat[place if n == 1 else place[piece[:count] == piece[n - 1 :]]] = 1.0
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that only a few megabytes of text are Python strings at a time."""
+    for batch in batches:
+        for lo, hi in row_blocks(text_bytes(batch.column("text"))[1], 1 << 21):
+            yield batch.slice(lo, hi - lo)
+
+
 @dataclass(frozen=True)
 class Model:
     labels: list[str]
@@ -122,7 +129,7 @@ def fit(docs: DataFrame, per_class: int = 400, landmarks: int = 160, ridge: floa
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "nth")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             texts = batch.column("text").to_pylist()
             bits = [np.packbits(row.astype(bool)).tobytes() if _LETTER.search(text or "") else None for lo, hi, found in presences(texts) for text, row in zip(texts[lo:hi], found, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_lang"), batch.column("nth"), pa.array(bits, pa.binary())], names=["lang", "nth", "bits"])
@@ -140,7 +147,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             names, scores = shared.value.decide(batch.column("text").to_pylist())
             arrays = [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "lang_pred", "score"])
@@ -154,7 +161,7 @@ def of_known_language(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             names, _ = shared.value.decide(batch.column("text").to_pylist())
             yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
 

@@ -94,12 +94,14 @@ def sketches(docs: DataFrame, words: int, similarity: float, rows: int, miss: fl
                     classes.append(int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True))
                     marks = min_max(values, factors, shifts)[: bands * rows].reshape(bands, rows)
                     keys = mixed((mixed(marks) * spread).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
-                    found.append(keys.view(np.int64).tolist())
+                    found.append(keys.view(np.int64))
                 else:
                     classes.append(None)
-                    found.append(None)
+                    found.append(np.zeros(0, np.int64))
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("h"), batch.column("g"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                [batch.column("doc_id"), batch.column("h"), batch.column("g"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists],
                 names=["doc_id", "h", "g", "n_shingles", "cls", "bands"],
             )
 
