@@ -4,7 +4,7 @@ A text is cut into paragraphs (lines; a long line also after words that a hash p
 paragraph is digested together with how often it came before.  A sketch adds every digest to one cell in each of
 three parts: a count, the sum of digests, the sum of check values.  Two sketches subtract cell by cell, and cells
 with a single digest left are peeled off until nothing remains: that recovers the digests in which two versions
-differ.  If peeling gets stuck, both versions are sketched again with four times the cells.
+differ.  If peeling gets stuck, both versions are sketched again with at least four times the cells.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ def difference(a: np.ndarray, b: np.ndarray, first: Sketch | None = None, second
         found = one.minus(two).peel()
         if found is not None:
             return found
-        cells *= 4
+        cells = max(4 * cells, (len(a) + len(b) + 1) // 2)  # the latter holds them all, were they all different
 
 
 def likeness(a: np.ndarray, b: np.ndarray, first: Sketch | None = None, second: Sketch | None = None) -> float:
