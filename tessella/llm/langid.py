@@ -7,13 +7,16 @@ batches are scored by one matrix product: presences times (landmark presences ti
 
 N-grams are hashed into ``SIZE`` places.  Fitting takes at most ``per_class`` texts of each language (the first in
 hashed order of doc_id); what comes to the driver are their presence bits, SIZE / 8 bytes a text, not the texts.
+
+A decision is trusted if its margin, the lead over the next language, reaches a bound that depends on the size of the
+text.  Bounds are measured on held-out texts that were decided as labelled, and on their beginnings for short texts.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,9 @@ from tessella.llm.common import kept, row_blocks, text_bytes
 
 SIZE, LONGEST = 1 << 15, 4
 UNKNOWN = "und"
+#: For the bounds: beginnings of held-out texts that are measured, in characters; how many margins a size needs; the
+#: quantile of clean margins, and the part of it that is enough.
+BEGINNINGS, LEAST, RARE, ENOUGH = (32, 128, 512), 20, 0.01, 0.5
 _LETTER = re.compile(r"[^\W\d_]")
 _FACTORS = [[(0x9E3779B1 * (n * 7 + k + 1) | 1) & 0xFFFFFFFF for k in range(n)] for n in range(1, LONGEST + 1)]
 
@@ -75,25 +81,78 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(lo, hi - lo)
 
 
+def _size_class(sizes: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(sizes, 1)).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class Model:
     labels: list[str]
     weights: np.ndarray  # (SIZE, labels)
+    bounds: np.ndarray | None = None  # least margin by size class; None if there was too little to measure them on
+
+    def values(self, texts: list[str | None]) -> Iterator[tuple[str | None, np.ndarray, int]]:
+        """Each text, its decisions (labels), and how many places its n-grams have."""
+        for lo, hi, found in presences(texts):
+            sizes = found.sum(axis=1)
+            yield from zip(texts[lo:hi], (found @ self.weights) / np.sqrt(np.maximum(sizes, 1))[:, None], sizes.astype(int), strict=True)
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score (softmax of the decisions) of each text; UNKNOWN and 0 without any letter."""
         names, scores = [], []
-        for lo, hi, found in presences(texts):
-            for text, value in zip(texts[lo:hi], (found @ self.weights) / np.sqrt(np.maximum(found.sum(axis=1, keepdims=True), 1)), strict=True):
-                if text is None or not self.labels or not _LETTER.search(text):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                else:
-                    chance = np.exp(4 * (value - value.max()))
-                    names.append(self.labels[int(value.argmax())])
-                    scores.append(float(chance.max() / chance.sum()))
+        for text, value, _ in self.values(texts):
+            if text is None or not self.labels or not _LETTER.search(text):
+                names.append(UNKNOWN)
+                scores.append(0.0)
+            else:
+                chance = np.exp(4 * (value - value.max()))
+                names.append(self.labels[int(value.argmax())])
+                scores.append(float(chance.max() / chance.sum()))
         return names, scores
 
+    def margins(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
+        """Language, margin and size class of each text.  The margin of a single language is its decision."""
+        out = []
+        for _, value, size in self.values(texts):
+            high = np.sort(value)[::-1]
+            out.append((self.labels[int(value.argmax())], float(high[0] - high[1] if len(high) > 1 else high[0]), int(_size_class(size))))
+        return out
+
+    def settle(self, texts: list[str | None], langs: list[str | None]) -> tuple[list[bool], list[str | None]]:
+        """Whether each text stays, and its language.
+
+        A text without a letter goes, and one whose margin is below the bound.  The language decided replaces a null or
+        another one.  Without bounds no text goes for its margin and only nulls are filled; without a model nothing
+        but the letter counts.
+        """
+        stay = [bool(text and _LETTER.search(text)) for text in texts]
+        if not self.labels:
+            return stay, langs
+        out = []
+        for i, (name, margin, size) in enumerate(self.margins(texts)):
+            if self.bounds is None:
+                out.append(name if langs[i] is None else langs[i])
+            else:
+                stay[i] = stay[i] and margin >= self.bounds[size]
+                out.append(name)
+        return stay, out
+
+
+def measured(margins: list[float], sizes: list[int]) -> np.ndarray | None:
+    """Bounds by size class from the margins of clean texts: ENOUGH of their RARE quantile.  A class with fewer than
+    LEAST texts has the bound of the next smaller one, whose margins are lower; with none such it has no bound."""
+    if len(margins) < LEAST:
+        return None
+    found, of = np.array(margins), np.array(sizes)
+    bounds, last = np.full(int(_size_class(np.array(SIZE))) + 1, -np.inf), -np.inf
+    for size in range(len(bounds)):
+        own = found[of == size]
+        if len(own) >= LEAST:
+            low = float(np.quantile(own, RARE))
+            last = ENOUGH * low if low > 0 else -np.inf
+        bounds[size] = last
+    return bounds
+
 
 def regression(bits: np.ndarray, labels: list[str], landmarks: int, ridge: float) -> Model:
     """Fit on presences (texts, SIZE): landmarks are taken in turn from every language."""
@@ -121,12 +180,21 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_class: int = 400, landmarks: int = 160, ridge: float = 1e-4) -> Model:
-    """Learn from text and lang of documents with a doc_id, a lang and a letter that are not held out."""
-    known = docs.select("doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
+def _chosen(docs: DataFrame, per_class: int) -> DataFrame:
+    """The first ``per_class`` rows of each language in hashed order of doc_id: _id, _lang, nth."""
+    known = docs.select("doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = kept(known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_class))
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "nth")
+    return chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "nth")
+
+
+def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    near = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    return near.select("text", "_lang", "nth")
+
+
+def fit(docs: DataFrame, per_class: int = 400, landmarks: int = 160, ridge: float = 1e-4) -> Model:
+    """Learn from text and lang of documents with a doc_id, a lang and a letter that are not held out."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
@@ -135,12 +203,31 @@ def fit(docs: DataFrame, per_class: int = 400, landmarks: int = 160, ridge: floa
             yield pa.RecordBatch.from_arrays([batch.column("_lang"), batch.column("nth"), pa.array(bits, pa.binary())], names=["lang", "nth", "bits"])
 
     # at most per_class rows of each language
-    near = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
-    rows = near.select("text", "_lang", "nth").mapInArrow(build, "lang string, nth int, bits binary").where("bits IS NOT NULL").orderBy("lang", "nth", "bits").collect()
+    near = _texts(docs, _chosen(docs.where(~held_out()), per_class))
+    rows = near.mapInArrow(build, "lang string, nth int, bits binary").where("bits IS NOT NULL").orderBy("lang", "nth", "bits").collect()
     bits = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in rows]).astype(np.float32) if rows else np.zeros((0, SIZE), np.float32)
     return regression(bits, [r["lang"] for r in rows], landmarks, ridge)
 
 
+def with_bounds(docs: DataFrame, model: Model, per_class: int = 400) -> Model:
+    """``model`` with bounds from at most ``per_class`` held-out texts of each language."""
+    if not model.labels:
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            pairs = [(t, lang) for t, lang in zip(batch.column("text").to_pylist(), batch.column("_lang").to_pylist(), strict=True) if t]
+            pairs += [(t[:n], lang) for t, lang in pairs for n in BEGINNINGS if len(t) > n]
+            pairs = [(t, lang) for t, lang in pairs if _LETTER.search(t)]
+            clean = [(margin, size) for (_, lang), (name, margin, size) in zip(pairs, shared.value.margins([t for t, _ in pairs]), strict=True) if name == lang]
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in clean], pa.float64()), pa.array([s for _, s in clean], pa.int32())], names=["margin", "size"])
+
+    near = _texts(docs, _chosen(docs.where(held_out()), per_class))
+    rows = near.mapInArrow(look, "margin double, size int").collect()
+    return replace(model, bounds=measured([r["margin"] for r in rows], [r["size"] for r in rows]))
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score.  A null text, or one without a letter, is UNKNOWN; with
     nothing to learn from every text is."""
@@ -157,12 +244,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def of_known_language(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows whose language is UNKNOWN."""
+    """``docs`` that stay by ``Model.settle``, with their language in ``lang``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            names, _ = shared.value.decide(batch.column("text").to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+            stay, langs = shared.value.settle(batch.column("text").to_pylist(), batch.column("lang").to_pylist())
+            arrays = [pa.array(langs, f.type) if f.name == "lang" else a for f, a in zip(batch.schema, batch.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array(stay, pa.bool_()))
 
     return docs.mapInArrow(look, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]))

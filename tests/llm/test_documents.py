@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessella.llm import fingerprints, idfiles, langid, licenses, mixing, neardup, packing, pii
@@ -323,6 +324,32 @@ def test_language(spark, odd, none):
     assert langid.identify(none, empty).count() == 0 and {r.lang_pred for r in langid.identify(odd, empty).collect()} == {"und"}
 
 
+def test_language_decisions_take_effect(spark):
+    rng = random.Random(12)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    clean = docs.collect()
+    junk = [(10**6 + i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789 ", k=600)), None, "a", 600) for i in range(40)]
+    some = [r for r in clean if r.lang is not None and len(r.text or "") > 300][:40]
+    unseen = [d for d in range(2 * 10**6, 2 * 10**6 + 1000) if zlib.crc32(str(d).encode()) % 4 == 2]
+    wrong = [(unseen[i], r.text, None if i % 2 else "en" if r.lang == "de" else "de", "a", r.n_chars) for i, r in enumerate(some)]
+    every = spark.createDataFrame([*map(tuple, clean), *junk, *wrong], docs.schema)
+    model = langid.with_bounds(every, langid.fit(every))
+    got = {r.doc_id: r.lang for r in langid.of_known_language(every, model).collect()}
+    assert not any(d in got for d, *_ in junk)
+    assert sum(r.doc_id in got for r in clean) >= 0.995 * sum(bool(re.search(r"[^\W\d_]", r.text or "")) for r in clean)
+    assert sum(got.get(w[0]) == r.lang for w, r in zip(wrong, some, strict=True)) >= 39
+    # a language the model has not seen
+    foreign = docs.where("lang = 'fr'")
+    rest = docs.where("lang <> 'fr'")
+    model = langid.with_bounds(rest, langid.fit(rest))
+    long = foreign.where("n_chars > 300")
+    assert langid.of_known_language(long, model).count() <= 0.05 * long.count()
+    # nothing to learn from
+    bare = docs.withColumn("lang", F.lit(None).cast("string")).where("text rlike '[a-z]'")
+    left = langid.of_known_language(bare, langid.with_bounds(bare, langid.fit(bare)))
+    assert left.count() == bare.count() and left.where("lang IS NOT NULL").count() == 0
+
+
 def test_presences_of_long_texts_are_whole():
     text = "".join(random.Random(6).choices("abcdefgh ", k=5000))
     (whole,) = (f for *_, f in langid.presences([text]))
