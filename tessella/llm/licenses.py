@@ -1,7 +1,7 @@
 """License scans: ordered signature rules with a keyword prefilter and interval containment.
 
-A rule is a pattern over lower-cased text, a label, a priority and a weight.  The keyword, a literal that every match
-of the rule holds, is searched first, in the bytes of a whole block of documents; only rules whose keyword a document
+A rule is a pattern over lower-cased text, a label, a priority and a weight.  The keyword, one word (or the beginning
+of one) that every match of the rule holds whatever lies between its words, is searched first, in the bytes of a whole block of documents; only rules whose keyword a document
 has are tried on it.  Where detections overlap, one whose span lies inside that of a detection of higher priority
 (or of equal priority and longer) is suppressed.  The plain phrases of ``BASE`` are rules too; they are never suppressed.
 """
@@ -89,18 +89,18 @@ CREATIVE = [("by", "attribution"), ("by-sa", "attribution sharealike"), ("by-nd"
 #: Hand-written sentences: label, keyword, words.
 NOTICES = [
     ("cc0", "cc0", "cc0"),
-    ("cc0", "no rights reserved", "no rights reserved"),
-    ("public-domain", "public domain", "(?:placed|released|dedicated) (?:in|into|to) the public domain"),
-    ("public-domain", "public domain", "in the public domain"),
-    ("reserved", "some rights reserved", "some rights reserved"),
+    ("cc0", "reserved", "no rights reserved"),
+    ("public-domain", "domain", "(?:placed|released|dedicated) (?:in|into|to) the public domain"),
+    ("public-domain", "domain", "in the public domain"),
+    ("reserved", "reserved", "some rights reserved"),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]"),
     ("proprietary", "proprietary", "proprietary and confidential"),
-    ("proprietary", "may not be", "may not be (?:reproduced|copied|distributed) without (?:the )?(?:prior )?(?:written )?permission"),
-    ("permission", "hereby granted", "permission is hereby granted free of charge"),
-    ("permission", "permission to use", "permission to use copy modify and(?: or)? distribute"),
-    ("redistribution", "redistribution and use", "redistribution and use in source and binary forms"),
-    ("warranty", "without warranty", "without warranty of any kind"),
-    ("warranty", "provided as is", "(?:is|are) provided as is"),
+    ("proprietary", "permission", "may not be (?:reproduced|copied|distributed) without (?:the )?(?:prior )?(?:written )?permission"),
+    ("permission", "hereby", "permission is hereby granted free of charge"),
+    ("permission", "modify", "permission to use copy modify and(?: or)? distribute"),
+    ("redistribution", "redistribution", "redistribution and use in source and binary forms"),
+    ("warranty", "warranty", "without warranty of any kind"),
+    ("warranty", "provided", "(?:is|are) provided as is"),
 ]
 
 _WORD, _EDGE, _END = "[0-9a-z\\x80-\\xff]", "(?<![0-9a-z\\x80-\\xff])", "(?![0-9a-z\\x80-\\xff])"
@@ -140,7 +140,8 @@ def rules() -> tuple[Rule, ...]:
         # short names are parts of common words; there the rule's other fixed word is the keyword
         word = lambda other, longest=longest: longest if len(longest) > 4 else other
         out.append(_rule("spdx", f"spdx license identifier {label.replace('-', ' ')}(?: [0-9]+)*(?: only| or later)?", label, 90, 1.0))
-        out.append(_rule(url, re.sub(r"[^0-9a-z]+", " ", url), label, 80, 0.95))
+        address = re.sub(r"[^0-9a-z]+", " ", url)
+        out.append(_rule(max(address.split(), key=len), address, label, 80, 0.95))
         for number in versions.split():
             exact, plain = f"{label}-{number}", number.replace(".", " ")
             out.append(_rule(word("licen"), f"{words} licen[cs]e(?: version)? v?{plain}(?: or later| or any later version)?", exact, 70, 0.95))
@@ -153,7 +154,7 @@ def rules() -> tuple[Rule, ...]:
         for number in ("1.0", "2.0", "2.5", "3.0", "4.0"):
             out.append(_rule("cc", f"cc {short} {number.replace('.', ' ')}", f"cc-{terms}-{number}", 70, 0.95, gate="cc by"))
         out.append(_rule("cc", f"cc {short}", f"cc-{terms}", 50 + len(terms), 0.8, gate="cc by"))
-        out.append(_rule("creativecommons.org", f"creativecommons org licenses {short} [0-9](?: [0-9])?", f"cc-{terms}", 80, 0.95))
+        out.append(_rule("creativecommons", f"creativecommons org licenses {short} [0-9](?: [0-9])?", f"cc-{terms}", 80, 0.95))
         out.append(_rule("commons", f"creative commons {named}(?: [0-9] [0-9])?(?: international| unported)?(?: public)? licen[cs]e", f"cc-{terms}", 65, 0.9))
     out += [_rule(keyword, words, label, 40, 0.6) for label, keyword, words in NOTICES]
     out += [_rule(max(words.split(), key=len), words, label, 30, 0.7, base=True, gate=words) for words, label in BASE]

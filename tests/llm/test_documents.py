@@ -249,6 +249,28 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(none).count() == 0
 
 
+def test_keywords_lose_no_match():
+    assert all(re.fullmatch(b"[0-9a-z]+", r.keyword) for r in licenses.rules())
+    notices = [
+        'THE SOFTWARE IS PROVIDED "AS IS"', "permission is hereby granted, free of charge", "without warranty of any kind", "redistribution and use in source and binary forms",
+        "permission to use, copy, modify, and distribute", "it may not be copied without the prior written permission", "placed in the public domain", "in the public domain",
+        "no rights reserved", "some rights reserved", "all rights reserved", "general public license", "proprietary and confidential", "copyright (c) 2001", "cc0",
+    ]
+    families = [t for label, name, versions, url in licenses.FAMILIES for n in [re.sub(r"[][]", "", name)] for t in (
+        f"http://{url}/", f"spdx-license-identifier: {label}", f"{n} license", f"licensed under the {n} licence version {(versions.split() or [''])[0]}", f"released under the terms of the {n}")]
+    terms = [t for short, named in licenses.CREATIVE for t in (f"creativecommons.org/licenses/{short}/4.0", f"cc {short} 3.0", f"creative commons {named} 4.0 international license")]
+    plain = [*notices, *families, *terms]
+    texts = [re.sub("[ ./:]+", gap, t) for t in plain for gap in ("\n", "  ", "\r\n * ", ' "', " / ")] + plain
+    data = np.frombuffer(lower("".join(texts)).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    got = licenses.scan_block(data, offsets)
+    for i, text in enumerate(texts):
+        low = lower(text).encode()
+        want = {(m.start(), m.end(), r.label) for r in licenses.rules() for m in r.pattern.finditer(low)}
+        assert {(s, e, r.label) for s, e, r in got.get(i, [])} == want, text
+        assert want or not any(t == text for t in notices), text
+
+
 def test_containment():
     rule = lambda label, priority: licenses.Rule(b"", re.compile(b""), label, priority, 0.5)
     random.seed(2)
