@@ -78,6 +78,33 @@ EXAMPLES = [
     "room 12-14 and 15-18 are free",
     "the value 3.14159 is pi and 2.71828 is e",
     "hash 4f9a8b is short",
+    "set <secret>password=correcthorse</secret> now",
+    "<secret>password=applebananacherry</secret>",
+    "log in with <secret>passwd=QwertzUiopAsdf</secret> today",
+    "his secret = <secret>\"kjhgfdsapoiu\"</secret> leaked",
+    "secret = <secret>\"plmoknijbuhv\"</secret>",
+    "token = <secret>\"mnbvcxzlkjhgfd\"</secret> was set",
+    "pwd = <secret>letmeinplease</secret> for all",
+    "password: <secret>swordfishes</secret> works",
+    "das passwort: <secret>geheimnisvoll</secret> gilt",
+    "pwd: <secret>LetMeInPlease</secret> for the door",
+    'title = "introduction" and name = "something" follow',
+    'x = "kjhgfdsapoiu" is a name',
+    "page=introduction lang=portuguese rest",
+    "subject: introduction and author: somebody",
+    "the secret garden was beautiful in september",
+    "password reset instructions were forwarded",
+    "the key: it was small and old",
+    "the password is case sensitive everywhere",
+    "a phone conversation about everything",
+    "das passwort vergessen bedeutet arbeit",
+    "la clave secreta importante",
+    'key = "a" or key = "b" here',
+    "a key=value pair and key=name too",
+    "key=value",
+    "tel <phone>+1 (459) 555-9246</phone> enzukeit unvorhersehbarkeiten einge",
+    "die sehenswürdigkeiten und verantwortlichkeiten am 3 tag",
+    "verantwortlichkeiten",
 ]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -89,7 +116,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"<(secret|phone)>(.*?)</\1>")
 #: What belongs to a word but not to the value in it.
 _LEAD = re.compile(r"""[^=:"']*[=:]["']?|["'(<\[]+""")
-_TRAIL = re.compile(r"""["'.,;:!?)>\]]+\Z""")
+_TRAIL = re.compile(r"""[\s"'.,;:!?)>\]]+\Z""")
+_AROUND = re.compile(r"""[\s"'.,;:!?)>\]]+""")
 
 Span = tuple[str, int, int]
 
@@ -131,6 +159,21 @@ def fixed_spans(text: str) -> list[Span]:
     return in_order(out)
 
 
+def outside(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a stretch that no span of ``taken``, which is sorted, covers."""
+    out = []
+    for s, e in taken:
+        if s >= end:
+            break
+        if e > start:
+            if s > start:
+                out.append((start, s))
+            start = max(start, e)
+    if start < end:
+        out.append((start, end))
+    return out
+
+
 def in_order(spans: list[Span]) -> list[Span]:
     rank = {k: i for i, k in enumerate(KINDS)}
     return sorted(spans, key=lambda s: (s[1], rank.get(s[0], len(KINDS)), s[0], s[2]))
@@ -147,7 +190,7 @@ for _i, _chars in enumerate([range(48, 58), range(65, 91), range(97, 123), b"=",
     _CLASSES[list(_chars), _i] = 1
 _HEX = np.zeros(256, np.int64)
 _HEX[[*range(48, 58), *range(97, 103)]] = 1
-SHAPES = 16
+SHAPES = 17
 
 
 @lru_cache(maxsize=1)
@@ -160,8 +203,10 @@ def _cues() -> tuple[np.ndarray, np.ndarray]:
     return hashes(SECRET_CUES), hashes(PHONE_CUES)
 
 
-def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Features of words, 0 or 1 each: what characters they hold and how many, and whether they are or begin with a cue."""
+def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Features of words, 0 or 1 each: what characters they hold and how many, whether they are or begin with a cue, and
+    whether they announce a secret (a cue ending in = or :, or that sign alone after a cue).  ``first``: where each
+    row's words begin (and the end)."""
     if not len(starts):
         return np.zeros((0, SHAPES), np.float32)
     lengths = ends - starts
@@ -182,10 +227,13 @@ def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     key = span_hashes(low, starts, named)
     secret, phone = (np.isin(key, c) for c in _cues())
     value = np.maximum(lengths - (stop - starts) - cut, 0)
+    after = np.concatenate([[False], secret[:-1] & ~cut[:-1]])
+    after[first[first < len(starts)]] = False
+    announces = cut & (value == 0) & (secret | (after & (lengths == 1)))
     rows = [
         np.ones(len(starts)), digits > 0, (digits > 0) & (letters > 0), (digits > 0) & (letters == 0), upper > 0,
         (hexes >= 10) & (digits > 1), quotes > 0, signs > 0, marks > 0, lengths >= 8, lengths >= 16,
-        equals > 0, (lengths == 1) & (equals == 1), secret, phone, secret & cut & (value >= 6),
+        equals > 0, (lengths == 1) & (equals == 1), secret, phone, secret & cut & (value >= 6), announces,
     ]
     return np.stack(rows, axis=1).astype(np.float32)
 
@@ -286,7 +334,7 @@ def train(rows: list[str], steps: int = 400, decay: float = 0.02, rate: float =
     for base, spans in zip(offsets, marks, strict=False):
         for lo, hi, tag in spans:
             gold[(starts < base + hi) & (ends > base + lo)] = tag
-    x, start, lengths = _sequences(shapes(data, starts, ends), first[:-1], first[1:])
+    x, start, lengths = _sequences(shapes(data, starts, ends, first), first[:-1], first[1:])
     n, steps_, k = len(lengths), int(lengths.max()), len(TAGS)
     place = start[:, None] + np.minimum(np.arange(steps_), lengths[:, None] - 1)
     valid = np.arange(steps_) < lengths[:, None]
@@ -327,11 +375,11 @@ def train(rows: list[str], steps: int = 400, decay: float = 0.02, rate: float =
 
 
 def block_spans(data: np.ndarray, offsets: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[list[Span], list[Span]]]:
-    """Per row of a block: spans of the fixed patterns, and all spans, in code points.  A span of the field that
-    overlaps one of a pattern is dropped."""
+    """Per row of a block: spans of the fixed patterns, and all spans, in code points.  Of a span of the field, the
+    parts outside those of the patterns are left."""
     starts, ends = word_spans(~BLANK_BYTES[data], offsets)
-    features = shapes(data, starts, ends)
     first = np.searchsorted(starts, offsets)
+    features = shapes(data, starts, ends, first)
     active = features[:, 1] + features[:, 11] + features[:, 13] + features[:, 14] > 0
     lo, hi = stretches(active, first)
     tags = decode(features, lo, hi, model)
@@ -342,11 +390,11 @@ def block_spans(data: np.ndarray, offsets: np.ndarray, model: tuple[np.ndarray,
         base: list[Span] = []
         found: list[Span] = []
         a, b = int(offsets[row]), int(offsets[row + 1])
-        if matters[row + 1] > matters[row]:
+        mine = hot[np.searchsorted(of_row, row) : np.searchsorted(of_row, row, "right")]
+        if len(mine) or matters[row + 1] > matters[row]:
             raw = data[a:b].tobytes()
             text = raw.decode("utf-8", "replace")
             base = fixed_spans(text)
-            mine = hot[np.searchsorted(of_row, row) : np.searchsorted(of_row, row, "right")]
             if len(mine):
                 taken = sorted((s, e) for _, s, e in base)
                 runs = np.split(mine, np.flatnonzero((np.diff(mine) > 1) | (np.diff(tags[mine]) != 0)) + 1)
@@ -357,10 +405,14 @@ def block_spans(data: np.ndarray, offsets: np.ndarray, model: tuple[np.ndarray,
                     kind = TAGS[tags[run[0]]]
                     if kind == "secret" and (m := _LEAD.match(piece)):
                         s += m.end()
-                    if m := _TRAIL.search(text[s:e]):
-                        e = s + m.start()
-                    if s < e and any(c.isdigit() for c in text[s:e]) and not any(x < e and s < y for x, y in taken):
-                        found.append((kind, s, e))
+                    for x, y in outside(s, e, taken):
+                        if x > s and (m := _AROUND.match(text[x:y])):
+                            x += m.end()
+                        if m := _TRAIL.search(text[x:y]):
+                            y = x + m.start()
+                        # beside a pattern, marks alone are no value
+                        if x < y and ((x, y) == (s, e) or any(c.isalnum() for c in text[x:y])):
+                            found.append((kind, x, y))
         yield base, in_order(base + found)
 
 

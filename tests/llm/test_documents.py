@@ -329,6 +329,24 @@ def test_field_finds_what_patterns_miss(spark, odd, none):
     assert left.columns == odd.columns and left.count() == len(ODD) and left.where("text IS NULL").count() == 2
 
 
+def test_secrets_of_letters_and_beside_patterns(spark):
+    cases = [
+        ("password=correcthorse", "password=<secret>", "secret:9:21"), ('secret = "kjhgfdsapoiu"', 'secret = "<secret>"', "secret:10:22"), ("set pwd: swordfishes now", "set pwd: <secret> now", "secret:9:20"),
+        ("pwd=abc@d.com,hunter2secret99 and", "pwd=<email>,<secret> and", "email:4:13,secret:14:29"), ("password=me@corp.example.com tail", "password=<email> tail", "email:9:28"),
+    ]
+    cases += [(t, t, "") for t in ("a password is needed", "the secret garden was beautiful", "the token = value pair", 'name = "something" here', "key=value", "verantwortlichkeiten", "password reset instructions")]
+    docs = frame(spark, [(i, t, None, None) for i, (t, *_) in enumerate(cases)]).coalesce(1)
+    spans, texts = ({r.doc_id: r[name] for r in df.collect()} for df, name in ((pii.find(docs), "spans"), (pii.without_personal_data(docs), "text")))
+    for i, (text, masked, listed) in enumerate(cases):
+        assert (spans[i], texts[i]) == (listed, masked), text
+    # what a word announces ends with its row
+    raw = [b"the password", b"= correcthorsebattery"]
+    first = np.array([0, 2, 4])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    starts, ends = pii.word_spans(~pii.BLANK_BYTES[data], np.array([0, len(raw[0]), len(data)]))
+    assert pii.shapes(data, starts, ends, first)[:, -1].sum() == 0
+
+
 # language
 
 
