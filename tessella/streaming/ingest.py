@@ -27,6 +27,8 @@ def refresh_tiles(tiles: DataFrame, images: DataFrame, rebuild) -> DataFrame:
     return kept.unionByName(rebuild(images.join(stale, "image_id", "left_semi")), allowMissingColumns=True)
 
 
+#: Longer than any file is old: Spark passes over files this much older than the newest one it has seen.
+MAX_FILE_AGE = "36500d"
 BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
 
 
@@ -34,11 +36,11 @@ def ingest_stream(spark: SparkSession, directory: str, table: str, checkpoint: s
     """Follow a folder: new files are decoded to tiles and added to the tile table at ``table``.
 
     ``to_tiles`` maps a batch of binary files to tiles with ``level``.  Each micro-batch is written to
-    a folder named by its number, so a batch that is run again replaces its own output.
+    a folder named by its number, so a batch that is run again replaces its own output.  A file counts as new by its path,
+    however old its modification time is; Spark keeps all paths it has seen.
     """
-    files = (
-        spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(directory)
-    )
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFileAge", MAX_FILE_AGE)
+    files = reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(directory)
 
     def write(batch: DataFrame, number: int) -> None:
         to_tiles(batch).write.mode("overwrite").partitionBy("level").parquet(f"{table}/batch={number}")
