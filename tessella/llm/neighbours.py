@@ -5,7 +5,9 @@ perturbed ones (one cell further in some projections) in the order of the estima
 usual distance lies there, until each table has its share of the ``target`` chance of finding it.  The usual distance
 is the median distance of the k-th neighbour over a bounded sample of queries, measured exactly on all rows; the
 width follows from it, the number of projections from the number of rows.  Candidates of all tables are ranked
-by their exact distance; a query with too few candidates is answered by an exact search in blocks.
+by their exact distance.  A query whose k-th candidate is further than the usual distance visits more cells, with
+chances at the distance found, which is no less than that of its true k-th neighbour.  A query with too few candidates,
+or whose chances at its distance do not add up within ``CELLS`` cells a table, is answered by an exact search in blocks.
 
 Work on a bucket is dealt out in blocks of rows and queries, so a bucket with most of the rows is many groups.
 Vectors that are equal come once as a query, and as candidates only with their k + 1 smallest ids: no other of them
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import kept, mixed
 
 ROWS, QUERIES = 4096, 1024  # of a block
+CELLS = 4096  # of a table, for a query at its own distance
 _erf = np.vectorize(math.erf)
 
 
@@ -81,11 +84,12 @@ class Tables:
         whole = cells.astype(np.int64).astype(np.uint64)
         return mixed((whole * self.marks[table]).sum(axis=1, dtype=np.uint64) + np.uint64(table)).view(np.int64)
 
-    def visits(self, place: np.ndarray) -> np.ndarray:
+    def visits(self, place: np.ndarray, distance: float | None = None) -> np.ndarray | None:
         """Steps (visits, projections) from the cell of a query at ``place`` within it, likeliest first, until the
-        chances add up to the share.  A set of steps is grown from likelier ones by a heap."""
+        chances add up to the share.  A set of steps is grown from likelier ones by a heap.  With a ``distance`` the
+        chances are those at it, and None is returned if CELLS cells do not make up the share."""
         count = self.projections
-        cuts = np.stack([-1 - place, -place, 1 - place, 2 - place]) / self.spread
+        cuts = np.stack([-1 - place, -place, 1 - place, 2 - place]) / (self.spread if distance is None else distance / self.width)
         level = 0.5 * (1 + _erf(cuts / math.sqrt(2)))
         below, own, above = np.maximum(np.diff(level, axis=0), 1e-300)
         loss = np.log(np.concatenate([own / below, own / above]))
@@ -93,8 +97,10 @@ class Tables:
         loss = loss[order]
         chance = float(np.prod(own))
         total, out = chance, [np.zeros(count, np.int64)]
+        if distance is not None and float(np.prod(below + own + above)) < self.share:
+            return None
         heap = [(float(loss[0]), (0,))]
-        while heap and total < self.share:
+        while heap and total < self.share and (distance is None or len(out) < CELLS):
             lost, steps = heapq.heappop(heap)
             last = steps[-1]
             if last + 1 < len(loss):
@@ -106,7 +112,7 @@ class Tables:
                 move[chosen % count] = np.where(chosen < count, -1, 1)
                 out.append(move)
                 total += chance * math.exp(-lost)
-        return np.array(out)
+        return np.array(out) if distance is None or total >= self.share else None
 
 
 def _usual_distance(rows: DataFrame, sample: np.ndarray, dims: int, k: int) -> float:
@@ -202,14 +208,37 @@ def search(rows: DataFrame, is_query, k: int = 10, tables: int = 3, target: floa
                     keys = hashing.keys(own[i] + hashing.visits(cells[i] - own[i]), table)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), batch.column("id")[i].as_py()))], names=["key", "id"])
 
+    def probe_further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a null key asks for the exact search
+        for batch in batches:
+            vectors = _matrix(batch.column("v"), dims)
+            every_table = [hashing.cells(vectors, table) for table in range(tables)]
+            for i, (number, far) in enumerate(zip(batch.column("id").to_pylist(), batch.column("d").to_pylist(), strict=True)):
+                steps = []
+                for cells in every_table:
+                    steps.append(hashing.visits(cells[i] - np.floor(cells[i]), far))
+                    if steps[-1] is None:
+                        break
+                keys = [None] if steps[-1] is None else np.concatenate([hashing.keys(np.floor(every_table[t][i]) + s, t) for t, s in enumerate(steps)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([number] * len(keys), pa.int64())], names=["key", "id"])
+
     placed = base.mapInArrow(place, "key long, id long, v array<double>")
     probes = kept(queries.select("id", "v").mapInArrow(probe, "key long, id long").distinct())
     parts = placed.groupBy("key").agg(F.count("*").alias("rows"))
-    sides = probes.groupBy("key").agg(F.count("*").alias("asked"))
-    sizes = parts.join(sides, "key").select("key", F.expr(f"(rows + {ROWS} - 1) div {ROWS}").alias("parts"), F.expr(f"(asked + {QUERIES} - 1) div {QUERIES}").alias("sides"))
-    asked = probes.join(queries.select("id", "v"), "id")
-    found = kept(_best(_compare(_blocks(placed, asked, kept(sizes)), dims, wanted), wanted))
-    short = queries.join(found.groupBy("q").agg(F.count("*").alias("n")), F.col("id") == F.col("q"), "left").where(F.coalesce("n", F.lit(0)) < min(wanted, count)).select("id", "v")
+
+    def candidates(probes: DataFrame) -> DataFrame:
+        sides = probes.groupBy("key").agg(F.count("*").alias("asked"))
+        sizes = parts.join(sides, "key").select("key", F.expr(f"(rows + {ROWS} - 1) div {ROWS}").alias("parts"), F.expr(f"(asked + {QUERIES} - 1) div {QUERIES}").alias("sides"))
+        return _compare(_blocks(placed, probes.join(queries.select("id", "v"), "id"), kept(sizes)), dims, wanted)
+
+    found = kept(_best(candidates(probes), wanted).drop("rank"))
+    served = queries.join(found.groupBy("q").agg(F.count("*").alias("n"), F.max("score").alias("d")), F.col("id") == F.col("q"), "left")
+    enough = F.coalesce("n", F.lit(0)) >= min(wanted, count)
+    again = kept(served.where(enough & (F.col("d") > distance)).select("id", "v", "d").mapInArrow(probe_further, "key long, id long").distinct())
+    further = kept(again.where("key IS NOT NULL").join(probes, ["key", "id"], "left_anti"))
+    short = served.where(~enough).select("id", "v").unionByName(queries.select("id", "v").join(again.where("key IS NULL").select("id"), "id", "left_semi"))
+    if not further.isEmpty():
+        found = kept(_best(found.unionByName(candidates(further)), wanted).drop("rank"))
     short = kept(short)
     missing = short.count()
     if missing:
@@ -217,7 +246,7 @@ def search(rows: DataFrame, is_query, k: int = 10, tables: int = 3, target: floa
         blocks, sides_ = -(-count // ROWS), -(-missing // QUERIES)
         one = lambda df: df.withColumn("key", F.lit(0).cast("long"))
         sizes = rows.sparkSession.range(1).select(F.col("id").alias("key"), F.lit(blocks).cast("long").alias("parts"), F.lit(sides_).cast("long").alias("sides"))
-        exact = _best(_compare(_blocks(one(base.select(F.col("vec_id").alias("id"), "v")), one(short), sizes), dims, wanted), wanted)
+        exact = _best(_compare(_blocks(one(base.select(F.col("vec_id").alias("id"), "v")), one(short), sizes), dims, wanted), wanted).drop("rank")
         found = found.join(short.select(F.col("id").alias("q")), "q", "left_anti").unionByName(exact)
     out = members.join(found.select("q", "vec_id", "score"), "q").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -34,6 +34,22 @@ def test_recall(spark, folder):
     assert sum(len({x[1] for x in got[q]} & set(w)) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_recall_in_every_density(spark):
+    rng = np.random.default_rng(3)
+    scales = [1.0] * 2500 + [1.5] * 700 + [4.0] * 100 + [0.05] * 700
+    rows = [(i * 10, [float(x) for x in rng.normal(0, scale, 12)], scale) for i, scale in enumerate(rng.permutation(scales).tolist())]
+    want = brute([r[:2] for r in rows])
+    got = {}
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, scale double"), QUERY).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = {}
+    for number, _, scale in rows:
+        if number in want:
+            hits.setdefault(scale, []).append(len(got[number] & set(want[number])) / 10)
+    recall = {scale: round(float(np.mean(x)), 3) for scale, x in hits.items()}
+    assert len(recall) == 4 and min(recall.values()) >= 0.9, recall
+
+
 def test_odd_vectors(spark):
     random.seed(8)
     same = [1.0, 2.0, 3.0]
