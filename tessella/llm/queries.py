@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import fingerprints, idfiles, langid, licenses, mixing, neardup, neighbours, packing, pii, urls
+from tessella.llm import divergence, fingerprints, idfiles, langid, licenses, mixing, neardup, negatives, neighbours, packing, pii, tokencount, urls
 from tessella.llm.common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,59 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_nearest_vectors")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op11_count_tokens")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query(
+    "op12_source_divergence",
+    r"""WITH words AS (
+      SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM documents),
+    kept AS (SELECT lang, term, count(*)::bigint AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+    counts AS (SELECT lang, source, term, count(*)::bigint AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    size AS (SELECT lang, count(*)::bigint AS v, sum(n)::bigint AS n FROM kept GROUP BY lang),
+    groups AS (
+      SELECT g.lang, g.source, coalesce(sum(c.n), 0)::bigint AS n
+      FROM (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents) g LEFT JOIN counts c USING (lang, source) GROUP BY ALL),
+    shares AS (
+      SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (g.n + 2 * s.v) AS p, 1 + (1000000000 * (k.n + 2)) // (s.n + 2 * s.v) AS whole
+      FROM groups g JOIN kept k USING (lang) JOIN size s USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    prices AS (
+      SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::bigint AS value
+      FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::bigint AS value
+      FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN prices p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - whole) * (p - whole)) // (p + whole))::bigint AS value FROM shares WHERE n > 0 AND p > whole),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::int AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_hard_negatives",
+    r"""WITH r AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::double)) AS v
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::bigint AS score
+      FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, positive_id, (row_number() OVER w)::int AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+    FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+    WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 10""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabel = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabel=relabel)
