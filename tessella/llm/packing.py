@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import row_blocks, text_blocks, text_bytes
+from tessella.llm.common import text_blocks
 from tessella.llm.tokens import encode_all
 
 #: Places of the hashed vector, dimensions of the projection, bits of each coordinate.
@@ -141,15 +141,13 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, s
         packer = Packer(TaskContext.get().partitionId() * sequences_per_task, length)
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
-            _, offsets = text_bytes(batch.column("text"))
-            for a, b in row_blocks(offsets, 1 << 21):
-                for lo, hi, ids, counts in encode_all(tokenizer, batch.column("text").slice(a, b - a).to_pylist()):
-                    ends = np.cumsum(counts)
-                    ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
-                    pieces = [p for doc, x, y in zip(names[a + lo : a + hi], np.concatenate([[0], ends[:-1]]), ends, strict=True) for p in packer.add(doc, ids[x:y])]
-                    packer.open = [(d, s, i.copy(), t) for d, s, i, t in packer.open]
-                    if pieces:
-                        yield _batch(pieces)
+            for lo, hi, ids, counts in encode_all(tokenizer, batch.column("text")):
+                ends = np.cumsum(counts)
+                ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+                pieces = [p for doc, x, y in zip(names[lo:hi], np.concatenate([[0], ends[:-1]]), ends, strict=True) for p in packer.add(doc, ids[x:y])]
+                packer.open = [(d, s, i.copy(), t) for d, s, i, t in packer.open]
+                if pieces:
+                    yield _batch(pieces)
         last = list(packer.finish())
         if last:
             yield _batch(last)

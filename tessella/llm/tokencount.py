@@ -24,14 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import row_blocks, text_bytes
+from tessella.llm.tokens import ByteCutter, distinct_spans
 
-LETTER, NUMBER, OTHER, SPACE, UNSEEN = range(5)
 NEVER = np.int64(1 << 40)
 LONG = 512
 #: Bytes of distinct pre-tokens whose counts a worker remembers before it starts anew.
 REMEMBERED = 16 << 20
-#: What follows an apostrophe in a piece of its own.
-ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 _COUNTERS: dict[str, Counter] = {}
 
 
@@ -166,53 +164,10 @@ class Counter:
         self.merges = Merges(model["vocab"], model["merges"])
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("|".join(re.escape(t).encode().decode() for t in added).encode()) if added else None
-        self.cutter = Tokenizer.from_file(path).pre_tokenizer
-        self.classes = np.full(0x110000, UNSEEN, np.uint8)
+        self.cutter = ByteCutter(Tokenizer.from_file(path))
         self.known: dict[bytes, int] = {}
         self.size = 0
 
-    def _class(self, code: int) -> int:
-        """The class of a character, by the Unicode tables of the library: which known character it stays with."""
-        for kind, sample in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")):
-            if len(self.cutter.pre_tokenize_str(sample + chr(code))) == 1:
-                return kind
-        return SPACE
-
-    def _starts(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Byte offsets where pre-tokens start; ``begins`` are the bytes at which a new text begins, the first included.
-
-        A run of letters, of digits or of other characters is a piece, with one blank before it.  White space before
-        it is a piece but for its last character; at the end of a text it is a piece as a whole.  An apostrophe
-        that starts a run and one of ENDINGS after it are a piece.
-        """
-        places = np.flatnonzero((data & 0xC0) != 0x80)
-        code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        kind = self.classes[code]
-        if (kind == UNSEEN).any():
-            fresh = np.unique(code[kind == UNSEEN])
-            self.classes[fresh] = [self._class(c) for c in fresh.tolist()]
-            kind = self.classes[code]
-        n = len(code)
-        fresh_text = np.zeros(n + 1, bool)
-        fresh_text[np.searchsorted(places, begins)] = True
-        fresh_text[n] = True
-        start = fresh_text[:n].copy()
-        start[1:] |= kind[1:] != kind[:-1]
-        last_blank = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~fresh_text[1:n]) if n > 1 else np.zeros(0, np.int64)
-        start[last_blank] = True
-        start[last_blank[code[last_blank] == 32] + 1] = False
-        marks = np.flatnonzero(start & (code == 39))
-        padded = np.concatenate([code, np.zeros(3, np.uint32)])
-        ended = np.concatenate([fresh_text, np.ones(3, bool)])
-        for ending in ENDINGS:
-            fits = np.ones(len(marks), bool)
-            for k, letter in enumerate(ending, 1):
-                fits &= (padded[marks + k] == ord(letter)) & ~ended[marks + k]
-            found, behind = marks[fits], marks[fits] + len(ending) + 1
-            start[found + 1] = False
-            start[behind[behind < n]] = True
-        return places[start]
-
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text of a block; an added token's string counts once and parts the text."""
         rows = len(offsets) - 1
@@ -235,11 +190,9 @@ class Counter:
                 cuts = cuts[cuts < len(data)]
         if not len(data):
             return out
-        starts = self._starts(data, cuts)
-        borders = np.concatenate([starts, [len(data)]]).astype(np.int64)
-        data = np.ascontiguousarray(data)
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(borders), pa.py_buffer(data)]).dictionary_encode()
-        tokens = self._known(pieces.dictionary)[pieces.indices.to_numpy()]
+        _, starts = self.cutter.cut(data, cuts)
+        distinct, index = distinct_spans(data, starts)
+        tokens = self._known(distinct)[index]
         row = np.searchsorted(offsets, starts, "right") - 1
         return out + np.bincount(row, tokens, rows).astype(np.int64)
 
