@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import kept, row_blocks, text_bytes
-from tessella.llm.tokens import encode_all
+from tessella.llm.common import kept, row_blocks
+from tessella.llm.tokens import encode_all, encoder
 from tessella.sources.storage import locate
 
 MAGIC, SAMPLE = b"TSIDS1", 512
@@ -121,6 +121,8 @@ class Shard:
 def write_shard(path: str, blocks: Iterator[tuple[list[int | None], np.ndarray, np.ndarray]], wide: bool) -> tuple[int, int]:
     """Write blocks of (doc_ids, ids, counts), null doc_ids last; documents and ids written.
 
+    Ids take 4 bytes if ``wide``, else 2; an id that does not fit is an error.
+
     Ids go out block by block, only boundaries and doc_ids stay in memory.  The file is written under a hidden name
     and moved, so a task that is run again leaves a whole file.
     """
@@ -133,6 +135,8 @@ def write_shard(path: str, blocks: Iterator[tuple[list[int | None], np.ndarray,
     counts: list[np.ndarray] = [np.zeros(0, np.int64)]
     with where.open_output_stream(draft) as out:
         for docs, ids, sizes in blocks:
+            if not wide and len(ids) and int(ids.max()) > 0xFFFF:
+                raise ValueError(f"id {int(ids.max())} does not fit two bytes")
             out.write(ids.astype(kind).tobytes())
             names += docs
             counts.append(sizes)
@@ -148,10 +152,10 @@ def write_shard(path: str, blocks: Iterator[tuple[list[int | None], np.ndarray,
     return len(names), int(ends[-1]) if len(ends) else 0
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, wide: bool = False) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Encode every text, append ``end_id``, and write shards in ascending doc_id order; returns the shard table.
 
-    A null text is empty.  Rows with equal doc_ids follow each other by the hash of their text; rows without doc_id
+    Ids take 2 bytes if the vocabulary and ``end_id`` allow, else 4.  A null text is empty.  Rows with equal doc_ids follow each other by the hash of their text; rows without doc_id
     come last.  Range partitioning by (doc_id, hash) also splits a doc_id that very many rows share.
     The shard table (shard, path, documents, ids, before: ids of all shards before it) has a row per file.
     """
@@ -166,13 +170,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         def blocks():
             for batch in batches:
                 names = batch.column("doc_id").to_pylist()
-                _, offsets = text_bytes(batch.column("text"))
-                for a, b in row_blocks(offsets, 1 << 21):
-                    for lo, hi, ids, counts in encode_all(tokenizer, batch.column("text").slice(a, b - a).to_pylist()):
-                        ends = np.cumsum(counts)
-                        yield names[a + lo : a + hi], np.insert(ids, ends, end_id), counts + 1
+                for lo, hi, ids, counts in encode_all(tokenizer, batch.column("text")):
+                    yield names[lo:hi], np.insert(ids, np.cumsum(counts), end_id), counts + 1
 
-        documents, ids = write_shard(path, blocks(), wide)
+        documents, ids = write_shard(path, blocks(), max(encoder(tokenizer).largest, end_id) > 0xFFFF)
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "documents": [documents], "ids": [ids]})
 
     shards = kept(rows.mapInArrow(write, "shard long, path string, documents long, ids long").where("documents > 0"))
