@@ -154,8 +154,17 @@ def measured(margins: list[float], sizes: list[int]) -> np.ndarray | None:
     return bounds
 
 
-def regression(bits: np.ndarray, labels: list[str], landmarks: int, ridge: float) -> Model:
-    """Fit on presences (texts, SIZE): landmarks are taken in turn from every language."""
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    """Presences as unit vectors (rows, SIZE) from packed bits (rows, SIZE / 8)."""
+    found = np.unpackbits(bits, axis=1).astype(np.float32)
+    return found / np.sqrt(np.maximum(found.sum(axis=1, keepdims=True), 1))
+
+
+def regression(bits: np.ndarray, labels: list[str], landmarks: int, ridge: float, rows: int = 64) -> Model:
+    """Fit on packed presences (texts, SIZE / 8): landmarks are taken in turn from every language.
+
+    Only the landmarks and ``rows`` texts at a time are unpacked; what is kept of a text is its kernel with the landmarks.
+    """
     names = sorted(set(labels))
     if not names:
         return Model([], np.zeros((SIZE, 0), np.float32))
@@ -165,14 +174,14 @@ def regression(bits: np.ndarray, labels: list[str], landmarks: int, ridge: float
         own = np.flatnonzero(np.array(labels) == name)
         turn[own] = np.arange(len(own))
     chosen = np.argsort(turn, kind="stable")[:landmarks]
-    unit = bits / np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1))
-    marks = unit[chosen]
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    marks = unpacked(bits[chosen])
+    kernel = np.concatenate([unpacked(bits[lo : lo + rows]) @ marks.T for lo in range(0, len(bits), rows)]).astype(np.float64)
+    values, vectors = np.linalg.eigh(kernel[chosen])
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    mapped = (unit @ marks.T).astype(np.float64) @ root
+    mapped = kernel @ root
     fit = np.linalg.solve(mapped.T @ mapped + ridge * len(labels) * np.eye(mapped.shape[1]), mapped.T @ target)
-    return Model(names, (marks.T.astype(np.float64) @ (root @ fit)).astype(np.float32))
+    return Model(names, marks.T @ (root @ fit).astype(np.float32))
 
 
 def held_out() -> Column:
@@ -180,21 +189,33 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _chosen(docs: DataFrame, per_class: int) -> DataFrame:
-    """The first ``per_class`` rows of each language in hashed order of doc_id: _id, _lang, nth."""
-    known = docs.select("doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = kept(known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_class))
+def _chosen(docs: DataFrame, per_class: int, parts: int = 64) -> DataFrame:
+    """The first ``per_class`` rows of each language in hashed order of doc_id: _id, _lang, nth.
+
+    A language's rows are first cut down in ``parts`` groups, so that the last order is over few rows of it.
+    """
+    known = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    known = known.withColumn("_part", F.pmod("_h", F.lit(parts)))
+    first = lambda df, *by: df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "doc_id"))).where(F.col("nth") <= per_class)
+    chosen = kept(first(first(known, "lang", "_part"), "lang"))
     return chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "nth")
 
 
-def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, chosen: DataFrame, per_class: int) -> DataFrame:
+    """text, _lang, nth of the chosen rows.  Rows that repeat a doc_id are ordered by the hash of their text and cut
+    again, so a language has ``per_class`` texts at most."""
     near = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
-    return near.select("text", "_lang", "nth")
+    near = near.select("text", "_lang", "nth", F.xxhash64("text").alias("_h"), F.pmod(F.xxhash64("nth", "text"), F.lit(64)).alias("_part"))
+    first = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("nth", "_h"))).where(F.col("_n") <= per_class)
+    return first(first(near, "_lang", "_part"), "_lang").select("text", "_lang", F.col("_n").alias("nth"))
 
 
 def fit(docs: DataFrame, per_class: int = 400, landmarks: int = 160, ridge: float = 1e-4) -> Model:
-    """Learn from text and lang of documents with a doc_id, a lang and a letter that are not held out."""
+    """Learn from text and lang of documents with a doc_id, a lang and a letter that are not held out.
+
+    At most ``per_class`` texts of a language are taken, also where many rows share a doc_id; other columns are not
+    read, and with nothing to learn from the model has no labels.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
@@ -203,9 +224,9 @@ def fit(docs: DataFrame, per_class: int = 400, landmarks: int = 160, ridge: floa
             yield pa.RecordBatch.from_arrays([batch.column("_lang"), batch.column("nth"), pa.array(bits, pa.binary())], names=["lang", "nth", "bits"])
 
     # at most per_class rows of each language
-    near = _texts(docs, _chosen(docs.where(~held_out()), per_class))
+    near = _texts(docs, _chosen(docs.where(~held_out()), per_class), per_class)
     rows = near.mapInArrow(build, "lang string, nth int, bits binary").where("bits IS NOT NULL").orderBy("lang", "nth", "bits").collect()
-    bits = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in rows]).astype(np.float32) if rows else np.zeros((0, SIZE), np.float32)
+    bits = np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), SIZE // 8)
     return regression(bits, [r["lang"] for r in rows], landmarks, ridge)
 
 
@@ -223,7 +244,7 @@ def with_bounds(docs: DataFrame, model: Model, per_class: int = 400) -> Model:
             clean = [(margin, size) for (_, lang), (name, margin, size) in zip(pairs, shared.value.margins([t for t, _ in pairs]), strict=True) if name == lang]
             yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in clean], pa.float64()), pa.array([s for _, s in clean], pa.int32())], names=["margin", "size"])
 
-    near = _texts(docs, _chosen(docs.where(held_out()), per_class))
+    near = _texts(docs, _chosen(docs.where(held_out()), per_class), per_class)
     rows = near.mapInArrow(look, "margin double, size int").collect()
     return replace(model, bounds=measured([r["margin"] for r in rows], [r["size"] for r in rows]))
 
