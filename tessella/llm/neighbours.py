@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,7 @@ _erf = np.vectorize(math.erf)
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """vec_id and v (array<double>) of vectors that take part: with an id, of the greatest length that occurs, without
-    null or non-finite components, not zero."""
+    """vec_id and v (array<double>) of vectors that take part: with an id, without null or non-finite components, not zero."""
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").where(good)
     return rows
@@ -167,26 +167,29 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def search(rows: DataFrame, is_query, k: int = 10, tables: int = 3, target: float = 0.93, sample: int = 64, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the k nearest rows found for each row with ``is_query``.
 
-    Every other usable row is a candidate; ``is_query`` is a condition on vec_id.  Rows that repeat a vec_id count
-    once, with their nearest vector as a candidate and the smallest as a query.  Vectors that take no part give no
-    rows; an empty table gives none.
+    Every other usable row with as many components is a candidate; ``is_query`` is a condition on vec_id.  Vectors of
+    each length have tables of their own and are searched for themselves, one length after the other.  Rows that repeat a vec_id
+    count once, with their nearest vector as a candidate and the smallest (of the shortest length) as a query.  Vectors
+    that take no part give no rows; an empty table gives none.
     """
-    every = usable(rows, key, vector)
-    dims = every.agg(F.max(F.size("v"))).first()[0]
-    empty = "query_id long, rank int, vec_id long, score double"
-    if dims is None:
-        return rows.sparkSession.createDataFrame([], empty)
-    every = kept(every.where(F.size("v") == dims).withColumn("h", F.xxhash64("v")))
+    every = kept(usable(rows, key, vector).withColumn("n", F.size("v")).withColumn("h", F.xxhash64("v")))
+    asking = every.where(is_query).groupBy("vec_id").agg(F.min(F.struct("n", "h", "v")).alias("s")).select("vec_id", "s.n", "s.h", "s.v")
+    lengths = [r["n"] for r in asking.select("n").distinct().orderBy("n").collect()]
+    found = [_search(every.where(F.col("n") == n).drop("n"), asking.where(F.col("n") == n).drop("n"), n, k, tables, target, sample) for n in lengths]
+    if not found:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(every: DataFrame, asking: DataFrame, dims: int, k: int, tables: int, target: float, sample: int) -> DataFrame:
+    """The search among vectors with ``dims`` components: ``every`` (vec_id, v, h), and of them the queries."""
     order = Window.partitionBy("h", "v").orderBy("vec_id")
     distinct = every.select("h", "v", "vec_id").distinct()
     base = kept(distinct.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1).select("vec_id", "v"))
-    asking = every.where(is_query).groupBy("vec_id").agg(F.min(F.struct("h", "v")).alias("s")).select("vec_id", "s.h", "s.v")
     queries = kept(asking.groupBy("h", "v").agg(F.min("vec_id").alias("id")))
     members = asking.join(queries, ["h", "v"]).select(F.col("vec_id").alias("query_id"), F.col("id").alias("q"))
     count = base.count()
     some = queries.orderBy(F.xxhash64("id")).limit(sample).collect()
-    if not some:
-        return rows.sparkSession.createDataFrame([], empty)
     distance = _usual_distance(base, np.array([r["v"] for r in some]), dims, k + 1)
     hashing = Tables(dims, count, distance, tables, target)
     wanted = k + 1
@@ -245,7 +248,7 @@ def search(rows: DataFrame, is_query, k: int = 10, tables: int = 3, target: floa
         # exactly, in blocks of rows and queries
         blocks, sides_ = -(-count // ROWS), -(-missing // QUERIES)
         one = lambda df: df.withColumn("key", F.lit(0).cast("long"))
-        sizes = rows.sparkSession.range(1).select(F.col("id").alias("key"), F.lit(blocks).cast("long").alias("parts"), F.lit(sides_).cast("long").alias("sides"))
+        sizes = every.sparkSession.range(1).select(F.col("id").alias("key"), F.lit(blocks).cast("long").alias("parts"), F.lit(sides_).cast("long").alias("sides"))
         exact = _best(_compare(_blocks(one(base.select(F.col("vec_id").alias("id"), "v")), one(short), sizes), dims, wanted), wanted).drop("rank")
         found = found.join(short.select(F.col("id").alias("q")), "q", "left_anti").unionByName(exact)
     out = members.join(found.select("q", "vec_id", "score"), "q").where("vec_id <> query_id")
