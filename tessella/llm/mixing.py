@@ -17,23 +17,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import WORD, kept
+from tessella.session import join_side_table
 
 #: Points are n * GOLDEN modulo ONE: 2^31 divided by the golden ratio, made odd so that no point comes twice.
 ONE, GOLDEN = 2**31, 1327217885
 RUN = 4096
 
 
+def _numbered(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns of ``docs`` as the column doc, and a row_id."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.monotonically_increasing_id().alias("row_id"))
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    size = F.coalesce(F.regexp_count("doc.text", F.lit(WORD)), F.lit(0)).cast("long")
+    sk = F.coalesce(F.concat(F.lit("0"), F.col("doc.source").cast("string")), F.lit("1"))
+    key = F.md5(F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("")))
+    return kept(rows.select("doc.doc_id", "doc.source", sk.alias("sk"), size.alias("size"), key.alias("key"), F.xxhash64("doc.text").alias("h"), "row_id"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, source, sk (orders sources by code point, null last), size in words, order key.
 
     A null text has size 0.  Rows that repeat a doc_id stay rows of their own (row_id); a null doc_id is ordered
     as if it were the empty text.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sk = F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1"))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.select("doc_id", "source", sk.alias("sk"), size.alias("size"), key.alias("key"), F.xxhash64("text").alias("h"))
-    return kept(rows.withColumn("row_id", F.monotonically_increasing_id()))
+    return _measured(_numbered(docs, ["doc_id", "source", "text"]))
 
 
 def targets(rows: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -97,7 +106,7 @@ def schedule(per: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
     # a stride without a common divisor visits every block once
     stride = F.when(F.col("slots") % 1_000_003 == 0, F.lit(998_244_353)).otherwise(F.lit(1_000_003)).cast("long")
     rank = F.col("base") + F.col("nth")
-    return ranked.join(wide, "sk").select("slot", "sk", ((rank * stride) % F.col("slots")).alias("block")), wide
+    return join_side_table(ranked, wide, ["sk"], "inner", ["slot"]).select("slot", "sk", ((rank * stride) % F.col("slots")).alias("block")), wide
 
 
 def mix(rows: DataFrame, per: DataFrame, block_words: int = 256) -> DataFrame:
@@ -106,7 +115,8 @@ def mix(rows: DataFrame, per: DataFrame, block_words: int = 256) -> DataFrame:
     rows: ``sized``; per: ``targets``.  An empty table gives no pieces; documents without words are in none.
     """
     slots, wide = schedule(per, block_words)
-    placed = positions(rows).where("size > 0").join(wide.select("sk", "taken", "width"), "sk").join(per.select("sk", "source_size"), "sk")
+    of_source = wide.select("sk", "taken", "width").join(per.select("sk", "source_size"), "sk")
+    placed = join_side_table(positions(rows).where("size > 0"), of_source, ["sk"], "inner", ["row_id"])
     turn = F.explode(F.expr("sequence(0L, (taken - 1) div source_size)")).alias("repeat")
     turns = placed.select("row_id", "doc_id", "source", "sk", "taken", "width", "source_size", "begin", "size", turn)
     turns = turns.withColumn("from", F.col("begin") + F.col("repeat") * F.col("source_size")).where("from < taken")
@@ -122,26 +132,24 @@ def mix_report(docs: DataFrame, block_words: int = 256, most: int = 3) -> DataFr
     rows = sized(docs)
     per = kept(targets(rows, most))
     taken = mix(rows, per, block_words).groupBy("row_id").agg(F.sum("words").alias("taken"))
-    out = rows.join(taken, "row_id", "left").join(per, "sk")
+    out = join_side_table(rows.join(taken, "row_id", "left"), per, ["sk"], "inner", ["row_id"])
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, block_words: int = 256, most: int = 3) -> DataFrame:
     """``docs`` as the mix takes them: a document comes once for each whole turn, and once more, cut to its first
-    words, if its source's last turn ends inside it; documents that are not taken go.
+    words, if its source's last turn ends inside it; documents that are not taken go.  Rows that repeat are rows of their own.
 
     The columns stay; n_chars of a cut document is counted anew.
     """
-    rows = sized(docs)
+    base = kept(_numbered(docs, docs.columns))
+    rows = _measured(base)
     per = kept(targets(rows, most))
-    turns = mix(rows, per, block_words).groupBy("row_id", "doc_id", "repeat").agg(F.sum("words").alias("words"))
-    full = rows.select("row_id", "size", "h")
-    turns = turns.join(full, "row_id").groupBy("doc_id", "h").agg(F.sum((F.col("words") == F.col("size")).cast("int")).alias("whole"), F.max(F.when(F.col("words") < F.col("size"), F.col("words"))).alias("part"), F.countDistinct("row_id").alias("rows"))
-    names = {c: f"_{c}" for c in ("doc_id", "h", "whole", "part", "rows")}
-    turns = turns.withColumnsRenamed(names)
-    near = docs.withColumn("_text_hash", F.xxhash64("text")).join(turns, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text_hash") == F.col("_h")))
-    copies = F.concat(F.array_repeat(F.lit(None).cast("long"), F.expr("cast(_whole div _rows as int)")), F.when(F.col("_part").isNotNull(), F.array("_part")).otherwise(F.array().cast("array<bigint>")))
-    out = near.withColumn("_words", F.explode(copies))
+    turns = mix(rows, per, block_words).groupBy("row_id", "repeat").agg(F.sum("words").alias("words")).join(rows.select("row_id", "size"), "row_id")
+    whole, part = F.col("words") == F.col("size"), F.when(F.col("words") < F.col("size"), F.col("words"))
+    turns = turns.groupBy("row_id").agg(F.sum(whole.cast("int")).cast("int").alias("whole"), F.max(part).alias("part"))
+    copies = F.concat(F.array_repeat(F.lit(None).cast("long"), F.col("whole")), F.when(F.col("part").isNotNull(), F.array("part")).otherwise(F.array().cast("array<bigint>")))
+    out = base.join(turns, "row_id").select("doc", F.explode(copies).alias("words")).select("doc.*", F.col("words").alias("_words"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_words").cast("int")), " ")
     out = out.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:

@@ -8,12 +8,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessella.llm import fingerprints, idfiles, langid, licenses, mixing, neardup, packing, pii
-from tessella.llm.common import new_folder
+from tessella.llm.common import new_folder, text_bytes
 from tessella.llm.tokens import Encoder
 from tests.llm.conftest import ODD, frame
 
@@ -40,8 +41,10 @@ def test_encoder_equals_the_library(path, texts):
     some = [t for _, t in texts[:80]] + [t or "" for _, t, *_ in ODD]
     some += ["", " ", " a", "a ", "a  b", "a\n b", "a \nb", "don't! stop' 'it it's", "\u0301 e\u0301 x", "<|endoftext|> a", "\0a b", "a\u00a0 b", "x|y | z", "ΟΔΟΣ Σ!"]
     coder = Encoder(path)
-    ids, counts = coder.encode(some)
-    again, _ = coder.encode(some)
+    some += [f"a{chr(c)}b {chr(c)}1'S{chr(c)} 'll{chr(c)}\u0301" for c in [*range(1, 0x250), *range(0x250, 0x30000, 61)] if not 0xD800 <= c < 0xE000]
+    block = text_bytes(pa.array(some))
+    ids, counts = coder.encode(*block)
+    again, _ = coder.encode(*block)
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
     want = [library.encode(t, add_special_tokens=False).ids for t in some]
@@ -103,6 +106,17 @@ def test_mix_of_odd_tables(odd, none):
     assert mixing.mixed_documents(none).count() == 0
 
 
+def test_mixed_documents_take_what_the_report_says(spark):
+    random.seed(9)
+    rows = [(1, "a b c d", "en", "s1")] * 3 + [(2, "one two three", "en", "s1"), (1, "a b c d", "en", "s2"), (1, None, "en", "s2"), (None, "x y", "en", None), (None, "x y", "en", None)]
+    rows += [(10 + i % 7, " ".join("w" * random.randint(1, 3) for _ in range(random.randint(0, 9))), "en", random.choice(["s1", "s2", "s3", "s4"])) for i in range(60)]
+    for table in (rows[:3], rows[:6], rows):
+        docs = frame(spark, table).repartition(3)
+        report = mixing.mix_report(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()
+        made = mixing.mixed_documents(docs).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n")).collect()
+        assert {r.source: r.n for r in report if r.n} == {r.source: r.n for r in made}
+
+
 # near duplicates
 
 
@@ -188,6 +202,15 @@ def test_token_files(spark, odd, none, texts):
     assert idfiles.read_token_files(idfiles.write_token_files(none, new_folder(spark, "ids"), BYTES)).count() == 0
 
 
+def test_wide_ids(spark, tmp_path):
+    docs = frame(spark, [(1, "some words", None, None), (2, None, None, None)])
+    got = idfiles.read_token_files(idfiles.write_token_files(docs, new_folder(spark, "ids"), BYTES, end_id=70_000)).collect()
+    some = [*Tokenizer.from_file(BYTES).encode("some words").ids, 70_000]
+    assert {r.doc_id: r.ids_crc32 for r in got} == {1: zlib.crc32(np.array(some, "<u4").tobytes()), 2: zlib.crc32(np.array([70_000], "<u4").tobytes())}
+    with pytest.raises(ValueError):
+        idfiles.write_shard(str(tmp_path / "x.tsids"), iter([([1], np.array([70_000], np.uint32), np.array([1]))]), False)
+
+
 # fingerprints
 
 
@@ -390,6 +413,39 @@ def test_language_decisions_take_effect(spark):
     assert left.count() == bare.count() and left.where("lang IS NOT NULL").count() == 0
 
 
+def test_exact_kernel_ridge(spark, texts):
+    """With every text a landmark the decisions are those of kernel ridge regression without approximation."""
+    rows = [(d, t, "en" if i % 3 else "de", None) for i, (d, t) in enumerate(texts[:60])]
+    docs = frame(spark, rows)
+    model = langid.fit(docs, landmarks=1000, ridge=1e-3)
+    learned = [(r.text, r.lang) for r in docs.where(~langid.held_out()).collect()]
+    unit = lambda some: np.concatenate([langid.unpacked(np.packbits(f.astype(bool), axis=1)) for _, _, f in langid.presences(some)]).astype(np.float64)
+    known = unit([t for t, _ in learned])
+    target = np.where(np.array([lang for _, lang in learned])[:, None] == np.array(["de", "en"]), 1.0, -1.0)
+    weights = np.linalg.solve(known @ known.T + 1e-3 * len(learned) * np.eye(len(learned)), target)
+    exact = unit([t for _, t, *_ in rows]) @ known.T @ weights
+    found = np.array([v for _, v, _ in model.values([t for _, t, *_ in rows])])
+    assert model.labels == ["de", "en"] and np.abs(exact - found).max() < 1e-3
+    assert (exact.argmax(axis=1) == found.argmax(axis=1)).all()
+
+
+def test_fit_with_many_rows_of_one_document(spark):
+    rows = [(1, f"one text number {i}", "en", None) for i in range(300)] + [(i, f"ein Text {i}", "de", None) for i in range(40)]
+    docs = frame(spark, rows)
+    chosen = langid._texts(docs, langid._chosen(docs, 5), 5)
+    assert {r["_lang"]: r["count"] for r in chosen.groupBy("_lang").count().collect()} == {"en": 5, "de": 5}
+    assert set(langid.fit(docs, per_class=5).labels) <= {"en", "de"}
+
+
+def test_fit_unpacks_few_texts_at_a_time(monkeypatch):
+    held = []
+    plain = langid.unpacked
+    monkeypatch.setattr(langid, "unpacked", lambda bits: held.append(len(bits)) or plain(bits))
+    bits = np.random.default_rng(1).integers(0, 256, (500, langid.SIZE // 8), dtype=np.uint8)
+    langid.regression(bits, ["a", "b"] * 250, landmarks=20, ridge=1e-3)
+    assert max(held) <= 64
+
+
 def test_presences_of_long_texts_are_whole():
     text = "".join(random.Random(6).choices("abcdefgh ", k=5000))
     (whole,) = (f for *_, f in langid.presences([text]))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import neighbours, urls
 from tessella.llm.queries import RULES
@@ -81,6 +82,20 @@ def reference(url, rules):
     return host, path, best and best[2], best[3] if best else "allow"
 
 
+def test_mixed_lengths(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.standard_normal(6 if i % 3 else 9).tolist()) for i in range(300)] + [(500, rng.standard_normal(20).tolist()), (501, [1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(table, F.col("vec_id") % 50 == 0, target=0.999).collect()
+    every = {i: np.array(v) for i, v in rows}
+    exact = {}
+    for q in [i for i in every if i % 50 == 0]:
+        near = sorted((float(np.sqrt(((every[q] - v) ** 2).sum())), i) for i, v in every.items() if i != q and len(v) == len(every[q]))
+        exact[q] = [i for _, i in near[:10]]
+    hits = sum(r.vec_id in exact[r.query_id] for r in got)
+    assert hits >= 0.95 * sum(map(len, exact.values())) and {r.query_id for r in got} == {q for q, near in exact.items() if near}
+
+
 def test_urls(spark):
     random.seed(9)
     names, parts = ["net", "example.net", "a.example.net", "b.org", "org", "x.b.org", "EXAMPLE.Net", "myexample.net", "", "net."], ["", "/", "/en/", "/en", "/en/x/y", "/de/?q=/en/", "/fr/#a", "/énx/é/", "?/en/"]
