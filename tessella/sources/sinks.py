@@ -48,29 +48,67 @@ def png(block: np.ndarray, level: int = 1, dpm: tuple[int, int] | None = None) -
     return out + chunk(b"IDAT", zlib.compress(lines, level)) + chunk(b"IEND", b"")
 
 
-def tiff(block: np.ndarray, deflate: bool = True) -> bytes:
-    """One-strip little-endian TIFF; the last of 2 or 4 channels is alpha."""
-    h, w, channels = block.shape
-    body = np.ascontiguousarray(block.astype(block.dtype.newbyteorder("<"))).tobytes()
-    body = zlib.compress(body, 1) if deflate else body
-    bits = block.dtype.itemsize * 8
-    fields = [(256, 4, (w,)), (257, 4, (h,)), (258, 3, (bits,) * channels), (259, 3, (8 if deflate else 1,)), (262, 3, (2 if channels > 2 else 1,)),
-              (273, 4, (8,)), (277, 3, (channels,)), (278, 4, (h,)), (279, 4, (len(body),)), (284, 3, (1,))]
-    if channels in (2, 4):
-        fields.append((338, 3, (2,)))
-    fields.append((339, 3, ((3 if block.dtype.kind == "f" else 1),) * channels))
-    start = 8 + len(body) + len(body) % 2
-    extra, entries = b"", b""
-    data_at = start + 2 + 12 * len(fields) + 4
+def _directory(fields: list[tuple[int, int, tuple | bytes]], start: int, following: int = 0) -> bytes:
+    """A little-endian TIFF directory to stand at ``start``, with the values that do not fit into it behind it."""
+    fields = sorted(fields)
+    data_at, extra, entries = start + 2 + 12 * len(fields) + 4, b"", b""
     for tag, kind, values in fields:
-        packed = struct.pack("<" + {3: "H", 4: "I"}[kind] * len(values), *values)
+        packed = values if isinstance(values, bytes) else struct.pack("<" + {3: "H", 4: "I", 5: "I", 12: "d"}[kind] * len(values), *values)
+        count = len(values) // 2 if kind == 5 else len(values)
         if len(packed) > 4:
-            entries += struct.pack("<HHII", tag, kind, len(values), data_at + len(extra))
+            entries += struct.pack("<HHII", tag, kind, count, data_at + len(extra))
             extra += packed + b"\0" * (len(packed) % 2)
         else:
-            entries += struct.pack("<HHI", tag, kind, len(values)) + packed.ljust(4, b"\0")
-    directory = struct.pack("<H", len(fields)) + entries + struct.pack("<I", 0)
-    return struct.pack("<2sHI", b"II", 42, start) + body + b"\0" * (len(body) % 2) + directory + extra
+            entries += struct.pack("<HHI", tag, kind, count) + packed.ljust(4, b"\0")
+    return struct.pack("<H", len(fields)) + entries + struct.pack("<I", following) + extra
+
+
+def _sample_fields(block: np.ndarray, deflate: bool) -> list[tuple[int, int, tuple]]:
+    h, w, channels = block.shape
+    fields = [(256, 4, (w,)), (257, 4, (h,)), (258, 3, (block.dtype.itemsize * 8,) * channels), (259, 3, (8 if deflate else 1,)),
+              (262, 3, (2 if channels > 2 else 1,)), (277, 3, (channels,)), (284, 3, (1,)), (339, 3, ((3 if block.dtype.kind == "f" else 1),) * channels)]
+    return [*fields, (338, 3, (2,))] if channels in (2, 4) else fields
+
+
+def tiff(block: np.ndarray, deflate: bool = True, extra: list[tuple[int, int, tuple | bytes]] | None = None) -> bytes:
+    """One-strip little-endian TIFF; the last of 2 or 4 channels is alpha.  ``extra`` are further fields (tag, type, values)."""
+    body = np.ascontiguousarray(block.astype(block.dtype.newbyteorder("<"))).tobytes()
+    body = zlib.compress(body, 1) if deflate else body
+    fields = [*_sample_fields(block, deflate), (273, 4, (8,)), (278, 4, (block.shape[0],)), (279, 4, (len(body),)), *(extra or [])]
+    start = 8 + len(body) + len(body) % 2
+    return struct.pack("<2sHI", b"II", 42, start) + body + b"\0" * (len(body) % 2) + _directory(fields, start)
+
+
+def tiff_stack(layers: list[tuple[str, float, list[np.ndarray]]], tile: int, deflate: bool = True) -> bytes:
+    """Tiled TIFF of layers (name, scale, levels from full size down); smaller levels are SubIFDs of their layer."""
+    out = bytearray(struct.pack("<2sHI", b"II", 42, 0))
+    link = 4
+
+    def put(level: np.ndarray, more: list) -> int:
+        """Tiles and directory of one level; where the directory stands."""
+        offsets, counts = [], []
+        for ty in range(-(-level.shape[0] // tile)):
+            for tx in range(-(-level.shape[1] // tile)):
+                full = np.zeros((tile, tile, level.shape[2]), level.dtype.newbyteorder("<"))
+                part = level[ty * tile : (ty + 1) * tile, tx * tile : (tx + 1) * tile]
+                full[: part.shape[0], : part.shape[1]] = part
+                raw = zlib.compress(full.tobytes(), 1) if deflate else full.tobytes()
+                offsets.append(len(out))
+                counts.append(len(raw))
+                out.extend(raw)
+        out.extend(b"\0" * (len(out) % 2))
+        place = len(out)
+        grid = [(322, 4, (tile,)), (323, 4, (tile,)), (324, 4, tuple(offsets)), (325, 4, tuple(counts))]
+        out.extend(_directory([*_sample_fields(level, deflate), *grid, *more], place))
+        return place
+
+    for name, scale, levels in layers:
+        smaller = tuple(put(level, [(254, 4, (1,))]) for level in levels[1:])
+        nested = [(330, 4, smaller)] if smaller else []
+        place = put(levels[0], [(254, 4, (2 if len(layers) > 1 else 0,)), (269, 2, name.encode() + b"\0"), (37439, 12, (scale,)), *nested])
+        out[link : link + 4] = struct.pack("<I", place)
+        link = place + 2 + 12 * struct.unpack("<H", out[place : place + 2])[0]
+    return bytes(out)
 
 
 def encode_tiles(tiles: DataFrame, fmt: str = "png", deflate: bool = True) -> DataFrame:

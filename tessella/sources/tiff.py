@@ -1,8 +1,11 @@
 """Tiled TIFF pyramids and stacks as tables.
 
-Files are listed by Spark, without their content, and each file is cut into byte ranges: a task reads
-the header of its file and the tiles whose data starts in its range.  One very large file is thus read
-by many tasks, and no header is read on the driver.
+Files are listed without their content, and a file of many bytes is read in parts: a part has a run of the wanted
+tiles of each directory and reads the directories, its run of the offset tables and these tiles.  One very large file
+is thus read by many tasks, an offset table is read once altogether, and no header is read on the driver.
+
+``read_tiff`` reads a table of files.  ``tiff_tiles`` is a data source: filters on h_seq, v_seq, level, tile, tx, ty, path and
+image_id are pushed into it, so that files, directories and tiles that are not wanted are not touched.
 """
 
 from __future__ import annotations
@@ -10,14 +13,29 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from fnmatch import fnmatch
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+)
 
 from tessella.functions.pixelops import unpack_bits
-from tessella.sources.storage import open_path
+from tessella.sources.storage import locate, open_path, qualified
 from tessella.streaming.ingest import BINARY_FILE
 
 # TIFF field types as (struct code, bytes).
@@ -89,6 +107,18 @@ class Header:
     def one(self, page: dict, tag: int, default=0):
         return self.get(page, tag, (default,))[0]
 
+    def run(self, page: dict, tag: int, lo: int, hi: int) -> np.ndarray:
+        """Values lo to hi of a field of whole numbers; only they are read."""
+        kind, count, inline = page[tag]
+        code, width = TYPES[kind]
+        hi = min(hi, count)
+        if width * count > len(inline):
+            start = struct.unpack(self.order + ("Q" if self.big else "I"), inline)[0]
+            raw = self._at(start + lo * width, max(hi - lo, 0) * width)
+        else:
+            raw = inline[lo * width : hi * width]
+        return np.frombuffer(raw, np.dtype(code).newbyteorder(self.order)).astype(np.int64)
+
     def text(self, page: dict, tag: int) -> str | None:
         value = self.get(page, tag)
         return None if value is None else value.split(b"\0")[0].decode("utf-8", "replace")
@@ -100,11 +130,7 @@ class Header:
         pages are, unless they have the same size: then they are layers.
         """
         first = self.pages[0]
-        levels = [first]
-        for pointer in self.get(first, SUB_IFDS, ()):
-            page, _ = self._directory(pointer)
-            if self.one(page, SUBFILE) == 1:
-                levels.append(page)
+        levels = [first, *self.reduced(first)]
         nested = len(levels) > 1
         if not nested:
             levels += [p for p in self.pages[1:] if TILE_W in p]
@@ -113,6 +139,25 @@ class Header:
         pages = [p for p in self.pages if self.one(p, SUBFILE) == 2] if nested or same else []
         return (levels[:1] if same and pages else levels), pages
 
+    def reduced(self, page: dict) -> list[dict]:
+        """Smaller images of a page, from its SubIFDs."""
+        pages = [self._directory(pointer)[0] for pointer in self.get(page, SUB_IFDS, ())]
+        return [p for p in pages if self.one(p, SUBFILE) == 1]
+
+    def directories(self) -> list[tuple[int, int, dict]]:
+        """(h_seq, level, page) of all levels of all layers.
+
+        A layer is numbered by its directory and has a pyramid of its own, whose levels count like those of the first
+        layer: full size is the highest number.
+        """
+        pyramid, layers = self.layout()
+        top = len(pyramid) - 1
+        found = [(0, top - i, p) for i, p in enumerate(pyramid)]
+        for number, page in enumerate(self.pages):
+            if number and any(page is p for p in layers):
+                found += [(number, top - i, p) for i, p in enumerate([page, *self.reduced(page)]) if i <= top]
+        return found
+
     def shape(self, page: dict) -> dict:
         tiled = TILE_W in page
         w, h = self.one(page, WIDTH), self.one(page, HEIGHT)
@@ -176,6 +221,91 @@ _TILE_DDL = (
 )
 
 
+_NAMES = [f.split()[0] for f in _TILE_DDL.split(", ")]
+_ARROW = [pa.int64(), pa.string()] + [pa.int32()] * 10 + [pa.string(), pa.binary(), pa.string()]
+
+
+class Wanted:
+    """Conditions (column, operator, value) on h_seq, v_seq, level, tile, tx and ty; all of them hold for a wanted tile."""
+
+    TESTS = {"=": np.equal, "<": np.less, "<=": np.less_equal, ">": np.greater, ">=": np.greater_equal, "in": np.isin}
+    COLUMNS = ("h_seq", "v_seq", "level", "tile", "tx", "ty")
+
+    def __init__(self, conditions: list[tuple[str, str, object]] | None = None) -> None:
+        self.conditions = conditions or []
+
+    def holds(self, **values) -> np.ndarray | bool:
+        """Whether the conditions on the columns that are given hold."""
+        out = True
+        for column, test, value in self.conditions:
+            if column in values:
+                out = out & self.TESTS[test](values[column], value)
+        return out
+
+    def bounds(self, shape: dict) -> tuple[int, int]:
+        """A range of tile numbers of a directory with all wanted tiles in it."""
+        lo, hi = 0, shape["ntx"] * shape["nty"]
+        for column, test, value in self.conditions:
+            step = {"tile": 1, "ty": shape["ntx"]}.get(column)
+            values = list(value) if test == "in" else [value]
+            if step and values:
+                if test in ("=", "in", ">", ">="):
+                    lo = max(lo, (min(values) + (test == ">")) * step)
+                if test in ("=", "in", "<", "<="):
+                    hi = min(hi, (max(values) + (test != "<")) * step)
+        return lo, max(lo, hi)
+
+    def tiles(self, shape: dict, part: int, parts: int) -> np.ndarray:
+        """Numbers of the wanted tiles of a directory that fall to one of ``parts`` parts."""
+        lo, hi = self.bounds(shape)
+        tile = np.arange(lo + (hi - lo) * part // parts, lo + (hi - lo) * (part + 1) // parts)
+        return tile[np.broadcast_to(self.holds(tile=tile, tx=tile % shape["ntx"], ty=tile // shape["ntx"]), tile.shape)]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(columns, _ARROW, strict=True)], names=_NAMES)
+
+
+def read_part(path: str, image_id: int, part: int, parts: int, wanted: Wanted) -> Iterator[pa.RecordBatch]:
+    """One part of a file's wanted tiles, in batches of a few megabytes."""
+    with open_path(path) as stream:
+        try:
+            header = Header(stream)
+            pages = [d for d in header.directories() if wanted.holds(h_seq=d[0], v_seq=90, level=d[1])]
+        except UNREADABLE as problem:
+            if part == 0 and not wanted.conditions:
+                yield _batch([(image_id, path, *[None] * (len(_NAMES) - 3), f"unreadable file: {problem}")])
+            return
+        rows, size = [], 0
+        for h_seq, level, page in pages:
+            try:
+                shape = header.shape(page)
+                tiles = wanted.tiles(shape, part, parts)
+                if not len(tiles):
+                    continue
+                lo, hi = int(tiles[0]), int(tiles[-1]) + 1
+                offsets = header.run(page, TILE_OFFSETS if shape["tiled"] else STRIP_OFFSETS, lo, hi)
+                counts = header.run(page, TILE_COUNTS if shape["tiled"] else STRIP_COUNTS, lo, hi)
+            except UNREADABLE as problem:
+                if part == 0:
+                    rows.append((image_id, path, h_seq, 90, level, *[None] * (len(_NAMES) - 6), f"unreadable directory: {problem}"))
+                continue
+            for tile in tiles.tolist():
+                try:
+                    stream.seek(int(offsets[tile - lo]))
+                    out = (*decode(header, page, shape, tile, stream.read(int(counts[tile - lo]))), None)
+                except UNREADABLE as problem:
+                    out = (*[None] * 6, f"unreadable tile: {problem}")
+                rows.append((image_id, path, h_seq, 90, level, tile, tile % shape["ntx"], tile // shape["ntx"], *out))
+                size += len(out[-2] or b"")
+                if size > 8 << 20:
+                    yield _batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _batch(rows)
+
+
 def scan_tiff(spark: SparkSession, path: str, pattern: str = "*.tif*", levels: list[int] | None = None, split_bytes: int = 64 << 20) -> DataFrame:
     """Tiles of all TIFF files under ``path``."""
     return read_tiff(list_files(spark, path, pattern), levels, split_bytes)
@@ -184,56 +314,137 @@ def scan_tiff(spark: SparkSession, path: str, pattern: str = "*.tif*", levels: l
 def read_tiff(files: DataFrame, levels: list[int] | None = None, split_bytes: int = 64 << 20) -> DataFrame:
     """Tiles of a table of files (path, length).  A file or tile that cannot be read is a row with ``error`` and no data.
     Levels not in ``levels`` (0 is the smallest) are not read."""
-    ranges = files.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(F.col("length") / split_bytes).cast("int"))))
-    ranges = ranges.select(F.xxhash64("path").alias("image_id"), "path", "part").repartition("path", "part")
-    names = [f.split()[0] for f in _TILE_DDL.split(", ")]
-    source = ranges.select("image_id", "path", "part")
+    wanted = Wanted(None if levels is None else [("level", "in", list(levels))])
+    parts = files.withColumn("parts", (F.floor(F.col("length") / split_bytes) + 1).cast("int"))
+    parts = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    source = parts.select(F.xxhash64("path").alias("image_id"), "path", "part", "parts").repartition("path", "part")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.string()] + [pa.int32()] * 10 + [pa.string(), pa.binary(), pa.string()]
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [()] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(columns, types)], names=names)
-
         for batch in batches:
             for item in batch.to_pylist():
-                rows, size = [], 0
-                with open_path(item["path"]) as stream:
-                    try:
-                        header = Header(stream)
-                        pyramid, layers = header.layout()
-                    except UNREADABLE as problem:
-                        if item["part"] == 0:
-                            yield batch_of([(item["image_id"], item["path"], *[None] * (len(names) - 3), f"unreadable file: {problem}")])
-                        continue
-                    pages = [(0, len(pyramid) - 1 - i, p) for i, p in enumerate(pyramid)]
-                    # a layer is numbered by its directory
-                    numbered = [(next(k for k, q in enumerate(header.pages) if q is p), p) for p in layers]
-                    pages += [(k, len(pyramid) - 1, p) for k, p in numbered if k > 0]
-                    for h_seq, level, page in pages:
-                        if levels is not None and level not in levels:
-                            continue
-                        shape = header.shape(page)
-                        offsets = header.get(page, TILE_OFFSETS if shape["tiled"] else STRIP_OFFSETS)
-                        counts = header.get(page, TILE_COUNTS if shape["tiled"] else STRIP_COUNTS)
-                        first_plane = np.asarray(offsets[: shape["ntx"] * shape["nty"]], np.int64)
-                        for tile in np.flatnonzero(first_plane // split_bytes == item["part"]).tolist():
-                            stream.seek(offsets[tile])
-                            try:
-                                out = (*decode(header, page, shape, tile, stream.read(counts[tile])), None)
-                            except UNREADABLE as problem:
-                                out = (*[None] * 6, f"unreadable tile: {problem}")
-                            place = (tile, tile % shape["ntx"], tile // shape["ntx"])
-                            rows.append((item["image_id"], item["path"], h_seq, 90, level, *place, *out))
-                            size += len(out[-2] or b"")
-                            if size > 8 << 20:
-                                yield batch_of(rows)
-                                rows, size = [], 0
-                yield batch_of(rows)
-
-    tiles = source.mapInArrow(read, _TILE_DDL)
-    return tiles.withColumn("encoding", F.lit("RAW"))
+                yield from read_part(wanted=wanted, **item)
+
+    return source.mapInArrow(read, _TILE_DDL).withColumn("encoding", F.lit("RAW"))
+
+
+@dataclass
+class FilePart(InputPartition):
+    path: str
+    image_id: int
+    part: int
+    parts: int
+
+
+class TiffReader(DataSourceReader):
+    """Reader of ``tiff_tiles``; the filters it takes are exact, the others go back to Spark."""
+
+    _TESTS = {EqualTo: "=", LessThan: "<", LessThanOrEqual: "<=", GreaterThan: ">", GreaterThanOrEqual: ">=", In: "in"}
+
+    def __init__(self, options: dict) -> None:
+        self.path, self.pattern = options["path"], options.get("pathglobfilter", "*.tif*")
+        self.split_bytes = int(options.get("splitbytes", 64 << 20))
+        self.conditions: list[tuple[str, str, object]] = []
+        self.files: list[tuple[str, str, object]] = []
+
+    def pushFilters(self, filters):
+        for f in filters:
+            column, test = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None, self._TESTS.get(type(f))
+            if column in Wanted.COLUMNS and test:
+                self.conditions.append((column, test, list(f.value) if test == "in" else f.value))
+            elif column in Wanted.COLUMNS and isinstance(f, IsNotNull):
+                self.conditions.append((column, ">=", -(1 << 31)))
+            elif column in ("path", "image_id") and test in ("=", "in"):
+                self.files.append((column, test, list(f.value) if test == "in" else [f.value]))
+            else:
+                yield f
+
+    def partitions(self) -> list[FilePart]:
+        """Parts of the files below the path whose path and image_id are wanted."""
+        where, name = locate(self.path)
+        found = where.get_file_info(name)
+        if found.type == fs.FileType.Directory:
+            infos = [f for f in where.get_file_info(fs.FileSelector(name, recursive=True)) if f.type == fs.FileType.File]
+        else:
+            infos = [found] if found.type == fs.FileType.File else []
+        prefix = "file:" if isinstance(where, fs.LocalFileSystem) else self.path[: len(self.path) - len(self.path.partition("://")[2].partition("/")[2]) - 1]
+        out = []
+        for info in sorted(infos, key=lambda f: f.path):
+            path = prefix + ("" if info.path.startswith("/") else "/") + info.path
+            leaf = info.base_name
+            if fnmatch(leaf, self.pattern) and not leaf.startswith(("_", ".")):
+                values = {"path": path, "image_id": image_key(path)}
+                if all(values[column] in wanted for column, _, wanted in self.files):
+                    parts = info.size // self.split_bytes + 1
+                    out += [FilePart(path, values["image_id"], part, parts) for part in range(parts)]
+        return out
+
+    def read(self, partition: FilePart | None) -> Iterator[pa.RecordBatch]:
+        if partition is not None:
+            yield from read_part(partition.path, partition.image_id, partition.part, partition.parts, Wanted(self.conditions))
+
+
+def image_key(path: str) -> int:
+    """image_id of a path, as xxhash64 in Spark."""
+    from xxhash import xxh64_intdigest
+
+    key = xxh64_intdigest(path.encode(), 42)
+    return key - (1 << 64) if key >> 63 else key
+
+
+class TiffTiles(DataSource):
+    """``spark.read.format("tiff_tiles").load(folder)``; options pathGlobFilter and splitBytes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tiff_tiles"
+
+    def schema(self) -> str:
+        return _TILE_DDL
+
+    def reader(self, schema) -> TiffReader:
+        return TiffReader({k.lower(): v for k, v in self.options.items()})
+
+
+def tiff_tiles(spark: SparkSession, path: str, pattern: str = "*.tif*", split_bytes: int = 64 << 20) -> DataFrame:
+    """Tiles of all TIFF files under ``path`` by the data source, with filters pushed into it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(TiffTiles)
+    return spark.read.format("tiff_tiles").option("pathGlobFilter", pattern).option("splitBytes", str(split_bytes)).load(qualified(spark, path))
+
+
+def scan_directories(spark: SparkSession, path: str, pattern: str = "*.tif*") -> DataFrame:
+    """The directory tree of TIFF files: a row for every level of every layer.
+
+    image_id, path, h_seq, level, native_level (0 is full size), width, height, tile_w, tile_h, ntx, nty, bits, channels,
+    compression, name and scale of the layer, error.  A file that cannot be read is a row with only ``error``.
+    """
+    names = ["h_seq", "level", "native_level", "width", "height", "tile_w", "tile_h", "ntx", "nty", "bits", "channels", "compression"]
+    ddl = "image_id long, path string, " + ", ".join(f"{n} int" for n in names) + ", name string, scale double, error string"
+    files = list_files(spark, path, pattern).select(F.xxhash64("path").alias("image_id"), "path")
+
+    def describe(path: str) -> Iterator[tuple]:
+        with open_path(path) as stream:
+            try:
+                header = Header(stream)
+                found = header.directories()
+                top = max(level for _, level, _ in found)
+                for h_seq, level, page in found:
+                    shape = header.shape(page)
+                    layer = header.pages[h_seq]
+                    facts = [header.one(page, BITS, 1), header.one(page, SAMPLES, 1), header.one(page, COMPRESSION, NONE)]
+                    yield (h_seq, level, top - level, *[shape[n] for n in names[3:9]], *facts, header.text(layer, TEXT_TAGS["title"]), float(header.one(layer, STONITS, 1.0)), None)
+            except UNREADABLE as problem:
+                yield (*[None] * (len(names) + 2), f"unreadable file: {problem}")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(key, path, *row) for key, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in describe(path)]
+            if rows:
+                types = [pa.int64(), pa.string(), *[pa.int32()] * len(names), pa.string(), pa.float64(), pa.string()]
+                arrays = [pa.array(col, t) for col, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["image_id", "path", *names, "name", "scale", "error"])
+
+    return files.mapInArrow(read, ddl)
 
 
 def scan_headers(spark: SparkSession, path: str, pattern: str = "*.tif*") -> DataFrame:
