@@ -22,6 +22,7 @@ def build_session(app: str = "tessella", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.python.filterPushdown.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -47,6 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def kept_once(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that later steps neither repeat it nor depend on an executor
+    that may be gone.  Sessions of `build_session` remove the files when the frame is no longer used."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def join_side_table(
     tiles: DataFrame,
     side: DataFrame,
@@ -59,12 +69,12 @@ def join_side_table(
 ) -> DataFrame:
     """Join a small per-image table to a large tile or request table.
 
-    The side table is cached and measured.  Up to ``max_rows`` rows and ``max_bytes`` bytes it is broadcast, so the
+    The side table is written down once and measured; nothing stays in the executors' memory.  Up to ``max_rows`` rows and ``max_bytes`` bytes it is broadcast, so the
     large side does not move.  Above, both sides are hashed on ``on`` plus a salt taken from
     ``spread_by`` (tile position, say), so that one image holding a third of all tiles is spread
     over ``spread`` tasks.  The side rows are repeated per salt, the large rows never.
     """
-    side = side.persist()
+    side = kept_once(side)
     size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{n}`") for n in side.columns])))
     rows, size = side.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     if rows <= max_rows and size <= max_bytes:

@@ -111,6 +111,38 @@ def tiff_stack(layers: list[tuple[str, float, list[np.ndarray]]], tile: int, def
     return bytes(out)
 
 
+def encode_pyramids(tiles: DataFrame, tile: int, deflate: bool = True) -> DataFrame:
+    """image_id, encoded: each image as one tiled TIFF, with a layer for every h_seq and its levels as SubIFDs.
+
+    An image with all its levels is put together in one task, so this is for pictures of ordinary size; a
+    collection of very large ones is written tile by tile (`encode_tiles`).  Layers take ``name`` and ``scale`` from columns
+    of the tiles, if there are any.  Absent tiles are black.
+    """
+    more = [n for n in ("name", "scale") if n in tiles.columns]
+    read = ["h_seq", "level", "tx", "ty", "width", "height", "channels", "bpc", "sample_type", "data", *more]
+
+    def build(group: pa.Table) -> pa.Table:
+        planes: dict[int, dict[int, list]] = {}
+        for row in group.select(read).to_pylist():
+            planes.setdefault(row["h_seq"], {}).setdefault(row["level"], []).append(row)
+        layers = []
+        for h_seq, levels in sorted(planes.items()):
+            pictures = [_assembled(rows, tile) for _, rows in sorted(levels.items(), reverse=True)]
+            first = next(iter(levels.values()))[0]
+            layers.append((first.get("name") or f"layer {h_seq}", float(first.get("scale") or 1.0), pictures))
+        return pa.table({"image_id": pa.array([group.column("image_id")[0].as_py()], pa.int64()), "encoded": pa.array([tiff_stack(layers, tile, deflate)], pa.binary())})
+
+    return tiles.select("image_id", *read).groupBy("image_id").applyInArrow(build, "image_id long, encoded binary")
+
+
+def _assembled(rows: list[dict], tile: int) -> np.ndarray:
+    blocks = [(r["ty"] * tile, r["tx"] * tile, block_of(r)) for r in rows]
+    out = np.zeros((max(y + b.shape[0] for y, _, b in blocks), max(x + b.shape[1] for _, x, b in blocks), blocks[0][2].shape[2]), blocks[0][2].dtype)
+    for y, x, block in blocks:
+        out[y : y + block.shape[0], x : x + block.shape[1]] = block
+    return out
+
+
 def encode_tiles(tiles: DataFrame, fmt: str = "png", deflate: bool = True) -> DataFrame:
     """Add ``encoded``: each tile as a PNG or TIFF file."""
     names = tiles.columns

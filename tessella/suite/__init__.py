@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["statistics", "color", "views", "catalogue", "resampling", "rendering", "requests", "files"]
+MODULES = ["statistics", "color", "views", "catalogue", "resampling", "rendering", "requests", "files", "stores"]
 
 
 def load() -> None:
