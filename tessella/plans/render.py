@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import pixelops as P
 from tessella.operators import color, stats
-from tessella.operators.cover import get_region, prune_tiles
+from tessella.operators.cover import completeness, get_region, join_wanted
 from tessella.operators.geometry import rotated_tile
 from tessella.operators.tiles import GEOMETRY, convolve_block, map_blocks, padded, regrid, with_halo
 from tessella.operators.watermark import stamp
@@ -154,6 +154,7 @@ def prepare(requests: DataFrame) -> DataFrame:
             "v_seq": c("v_seq") if "v_seq" in requests.columns else F.lit(90),
             "level": c("lv_level"),
             "ntx": c("lv_ntx"),
+            "nty": c("lv_nty"),
             "src_x": c("pixels_left"),
             "src_y": c("pixels_top"),
             "src_w": c("pixels_width"),
@@ -183,7 +184,7 @@ def render_regions(requests: DataFrame, tiles: DataFrame, statistics: DataFrame,
     ``requests`` come from `prepare`; join its render_key with the result to serve each request.
     """
     keys = ["render_key"]
-    needed = [*keys, "image_id", "h_seq", "v_seq", "level", "ntx", *GEOMETRY, *OPS]
+    needed = [*keys, "image_id", "h_seq", "v_seq", "level", "ntx", "nty", *GEOMETRY, *OPS]
     distinct = requests.select(*needed).dropDuplicates(keys)
     work = with_ranges(join_side_table(distinct, statistics, ["image_id"], "left", spread_by=["render_key"]))
     carried = [*keys, *OPS, *IMAGE, "hist"]
@@ -220,6 +221,18 @@ def render_regions(requests: DataFrame, tiles: DataFrame, statistics: DataFrame,
     return done.drop(*[k for k in carried if k not in (*keys, "format")], "image_id")
 
 
+def render_all(requests: DataFrame, tiles: DataFrame, statistics: DataFrame, tile: int, out_tile: int, **how) -> DataFrame:
+    """`render_regions`, and of every request at least a row: wanted and found tiles, complete, error.
+
+    A request of which nothing can be rendered has a row without data.
+    """
+    rendered = render_regions(requests.where("ntx IS NOT NULL"), tiles, statistics, tile, out_tile, **how)
+    places = ["render_key", "image_id", "h_seq", "v_seq", "level", "ntx", "nty", *GEOMETRY]
+    report = completeness(requests.select(*places).dropDuplicates(["render_key"]), tiles, ["render_key"], tile, tile)
+    shown = rendered.join(report.where("found > 0"), "render_key")
+    return shown.unionByName(report.where("found = 0"), allowMissingColumns=True)
+
+
 def tile_key(requests: DataFrame) -> Column:
     """Digest of a tile request, in the same way."""
     parts = ["image_id", "h_seq", "v_seq", "level", "tile", *OPS]
@@ -230,17 +243,26 @@ def render_tiles(requests: DataFrame, tiles: DataFrame, statistics: DataFrame, l
     """One output per (image, h_seq, v_seq, level, tile) request; every step stays inside the tile.
 
     ``tile`` is a number in the grid of the turned image; the stored tile behind it follows from the level's ntx and
-    nty in ``levels``.  Equal requests are rendered once; the rows carry ``render_key`` (see ``tile_key``).
+    nty in ``levels``.  Equal requests are rendered once; the rows carry ``render_key`` (see ``tile_key``).  A request for
+    an unknown level, a tile beyond the grid or a tile that is not stored has a row with ``error`` and no data.
     """
     shared = mark if mark is None else tiles.sparkSession.sparkContext.broadcast(mark)
     key = ["image_id", "h_seq", "v_seq", "level", "tile"]
     r = with_defaults(requests)
     r = r.withColumn("render_key", tile_key(r))
     distinct = r.select("render_key", *key, *OPS).dropDuplicates(["render_key"])
-    grid = join_side_table(distinct, levels.select("image_id", "level", "ntx", "nty"), ["image_id", "level"], "inner", spread_by=["render_key"])
-    distinct = grid.withColumn("tile", rotated_tile(c("tile"), c("rot"), c("ntx"), c("nty"))).drop("ntx", "nty")
-    work = with_ranges(join_side_table(distinct, statistics, ["image_id"], "left", spread_by=["render_key"]))
-    joined = work.join(prune_tiles(tiles, distinct), key)
+    grid = join_side_table(distinct, levels.select("image_id", "level", "ntx", "nty"), ["image_id", "level"], "left", spread_by=["render_key"])
+    inside = (c("tile") >= 0) & (c("tile") < c("ntx") * c("nty"))
+    error = F.when(c("ntx").isNull(), "level not found").when(~inside, "tile not in the grid")
+    grid = grid.withColumn("error", error).withColumn("tile", F.when(inside, rotated_tile(c("tile"), c("rot"), c("ntx"), c("nty"))).otherwise(c("tile")))
+    placed = grid.withColumns({"tx": F.expr("int(tile % ntx)"), "ty": F.expr("int(tile div ntx)")}).drop("ntx", "nty")
+    work = with_ranges(join_side_table(placed, statistics, ["image_id"], "left", spread_by=["render_key"]))
+    good = work.where("error IS NULL").drop("error")
+    joined = join_wanted(good, tiles, ["render_key"])
+    # the same join without tile data tells what is not stored
+    stored = tiles.select(*key, *[n for n in ("curve",) if n in tiles.columns])
+    present = join_wanted(good.select("render_key", *key, "tx", "ty"), stored, ["render_key"]).select("render_key").distinct()
+    lost = placed.join(present, "render_key", "left_anti").select("render_key", *key, F.coalesce("error", F.lit("tile not found")).alias("error"))
 
     def run(block: np.ndarray, row: dict) -> np.ndarray:
         block = before_kernel(block, row)
@@ -255,7 +277,8 @@ def render_tiles(requests: DataFrame, tiles: DataFrame, statistics: DataFrame, l
             block = stamp(block, shared.value, 0, 0, block.shape[1], block.shape[0], side, row["image_id"] * 1_000_003 + row["tile"], probability)
         return block
 
-    return map_blocks(joined, run, using=(*_USE, "hist", "image_id", "tile"), drop=tuple(k for k in (*OPS, *IMAGE, "hist") if k != "format"))
+    done = map_blocks(joined, run, using=(*_USE, "hist", "image_id", "tile"), drop=tuple(k for k in (*OPS, *IMAGE, "hist") if k != "format"))
+    return done.withColumn("error", F.lit(None).cast("string")).unionByName(lost, allowMissingColumns=True)
 
 
 def serve(requests: DataFrame, rendered: DataFrame) -> DataFrame:

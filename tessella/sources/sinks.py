@@ -15,7 +15,7 @@ from tessella.operators.tiles import block_of
 from tessella.sources.storage import qualified, write_path
 
 
-def write_tiles(tiles: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_tiles(tiles: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Parquet tile table: a folder per level; files hold runs of neighbouring tiles.
 
     The range partitioning is by image and tile, so one large image is spread over many files and
@@ -25,6 +25,19 @@ def write_tiles(tiles: DataFrame, path: str, mode: str = "overwrite") -> None:
     ordered.write.mode(mode).partitionBy("level").parquet(path)
 
 
+def write_curve_store(tiles: DataFrame, path: str, mode: str = "errorifexists", row_group: int = 8 << 20) -> None:
+    """Parquet tile table for reading regions: a folder per level, tiles of an image along a Morton curve.
+
+    A region is a few runs of ``curve`` keys; with small row groups, statistics of image_id and curve skip all others
+    (cover.join_wanted makes the filters).
+    """
+    from tessella.operators.cover import curve
+
+    key = ["level", "image_id", "curve", "h_seq", "v_seq"]
+    ordered = tiles.withColumn("curve", curve(tiles["tx"], tiles["ty"])).repartitionByRange(*key).sortWithinPartitions(*key)
+    ordered.write.mode(mode).option("parquet.block.size", row_group).partitionBy("level").parquet(path)
+
+
 def save_tile_table(tiles: DataFrame, name: str, buckets: int = 256) -> None:
     """Bucketed table: joins on the tile key then leave the tiles where they are."""
     key = ["image_id", "h_seq", "v_seq", "level", "tile"]

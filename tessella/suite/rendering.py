@@ -187,3 +187,27 @@ def _(spark, sf):
     rows = log.select("event_id", "image_id", c("turn").alias("rot"), "h_seq", "v_seq", "level", "tile", "format", "minmax_channel", "minmax_lo", "minmax_hi")
     tiles = stored(spark, sf)
     return tile_sums(rows, RE.render_tiles(rows, tiles, statistics(tiles), tile_levels(spark, sf)))
+
+
+@query("render_missing", """WITH cells AS (SELECT w.k, w.image_id, n, unnest(range(t // 16, (t + ph + 15) // 16)) AS ty, l, pw FROM rwin w),
+    every AS (SELECT k, image_id, n, ty, unnest(range(l // 16, (l + pw + 15) // 16)) AS tx FROM cells),
+    held AS (SELECT k, count(*) AS wanted, count(*) FILTER (NOT (image_id % 4 = 3 OR (tx + ty + image_id) % 3 = 0)) AS found FROM every GROUP BY k)
+    SELECT k, wanted, found, wanted = found AS complete, CASE WHEN found = 0 THEN 'no tile found' WHEN found < wanted THEN (wanted - found) || ' tiles not found' END AS error, found > 0 AS rendered FROM held
+    UNION ALL SELECT k + 1000000, 0, 0, false, 'level not found', false FROM rreq WHERE k % 50 = 0""")
+def _(spark, sf):
+    """All requests over a curve-ordered store with holes and without every fourth image; some ask for unknown images."""
+    import uuid
+
+    from tessella.session import shared_dir
+    from tessella.sources.sinks import write_curve_store
+
+    whole = stored(spark, sf)
+    folder = f"{shared_dir(spark)}/curve-{uuid.uuid4().hex}"
+    write_curve_store(whole.where("NOT (image_id % 4 = 3 OR (tx + ty + image_id) % 3 = 0)"), folder)
+    tiles = spark.read.parquet(folder)
+    views = requests(spark, sf)
+    unknown = views.where("k % 50 = 0").withColumns({"k": c("k") + 1_000_000, "image_id": F.lit(-1).cast("long"), "lv_ntx": F.lit(None).cast("int")})
+    prepared = RE.prepare(views.unionByName(unknown))
+    out = RE.render_all(prepared, tiles, statistics(whole), fx.TILE, 32)
+    per = out.groupBy("render_key").agg(F.first("wanted").alias("wanted"), F.first("found").alias("found"), F.first("complete").alias("complete"), F.first("error").alias("error"), F.max(c("data").isNotNull()).alias("rendered"))
+    return RE.serve(prepared.select("k", "render_key"), per).drop("render_key")
