@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessella.operators.cover import join_stack
 from tessella.operators.tiles import block_of
 from tessella.schema import FIXED
+from tessella.session import join_side_table
 
 c = F.col
 _SPOT = ["image_id", "level", "tile"]
@@ -32,13 +33,14 @@ def locate(points: DataFrame, tile_w: int, tile_h: int, ntx: Column) -> DataFram
 def sample_tiles(points: DataFrame, tiles: DataFrame) -> DataFrame:
     """(image_id, level, tile, px, py, h_seq, v_seq, c, v, bpc, sample_type) for located points.
 
-    Wanted places are made distinct and gathered per tile first: at most one entry per pixel of a
-    tile, however many requests ask for it.  Each tile is then read once, and the values go back to
-    the requests by a join on the place.
+    Wanted places are made distinct and gathered per tile first: a sorted array with at most one entry per pixel of
+    a tile, however many requests ask for it.  These arrays go to the tiles: by a broadcast of measured size, so that
+    tile data stays where it is, else by a shuffle in which the bands of a tile are spread.  Each tile is read once, and
+    the values go back to the requests by a join on the place.
     """
-    spots = points.select(*_SPOT, "px", "py").distinct()
-    per_tile = spots.groupBy(*_SPOT).agg(F.collect_list(F.struct("px", "py")).alias("spots"))
-    joined = tiles.join(per_tile, _SPOT)
+    spot = c("py") * F.lit(1 << 16) + c("px")
+    per_tile = points.groupBy(*_SPOT).agg(F.sort_array(F.collect_set(spot)).alias("spots"))
+    joined = join_side_table(tiles, per_tile, _SPOT, "inner", spread_by=["h_seq", "v_seq"])
     fields = [*_SPOT, "h_seq", "v_seq"]
     types = {f.name: f.dataType.simpleString() for f in joined.schema}
     schema = ", ".join(f"{f} {types[f]}" for f in fields) + ", px int, py int, c int, v double, bpc int, sample_type string"
@@ -51,8 +53,7 @@ def sample_tiles(points: DataFrame, tiles: DataFrame) -> DataFrame:
             for i, row in enumerate(batch.to_pylist()):
                 block = block_of(row)
                 h, w, channels = block.shape
-                px = np.array([s["px"] for s in row["spots"]])
-                py = np.array([s["py"] for s in row["spots"]])
+                py, px = np.divmod(np.array(row["spots"]), 1 << 16)
                 inside = (px < w) & (py < h)
                 px, py = px[inside], py[inside]
                 values = block[py, px].astype(np.float64)
@@ -99,14 +100,13 @@ def band_positions(values: DataFrame) -> DataFrame:
 def spectrum(points: DataFrame, tiles: DataFrame, images: DataFrame, tile_w: int, tile_h: int, ntx: Column) -> DataFrame:
     """Reflectance through all bands at many points at once, with band names from the stack."""
     values = read_points(points, tiles, tile_w, tile_h, ntx)
-    # Position by the stored bands of the tile table, not by the rows found.
-    positions = F.broadcast(band_positions(tiles)) if _few_bands(tiles) else band_positions(tiles)
-    named = join_stack(values.join(positions, ["image_id", "h_seq"]), images)
+    named = join_stack(_with_positions(values, tiles), images)
     return named.withColumn("reflectance", reflectance(c("v"), c("bpc"), c("sample_type"))).drop("pos", "scale")
 
 
-def _few_bands(tiles: DataFrame, limit: int = 100_000) -> bool:
-    return tiles.select("image_id", "h_seq").distinct().limit(limit + 1).count() <= limit
+def _with_positions(values: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Position of each value's band among the stored bands of the tile table, not among the rows found."""
+    return join_side_table(values, band_positions(tiles), ["image_id", "h_seq"], "inner", spread_by=["x", "y"])
 
 
 def profile(lines: DataFrame, tiles: DataFrame, images: DataFrame, tile_w: int, tile_h: int, ntx: Column) -> DataFrame:
@@ -121,8 +121,7 @@ def profile(lines: DataFrame, tiles: DataFrame, images: DataFrame, tile_w: int,
         {"x": c("x1") + F.when(across, c("i")).otherwise(0), "y": c("y1") + F.when(~across & down, c("i")).otherwise(0)}
     )
     values = read_points(points, tiles, tile_w, tile_h, ntx)
-    positions = F.broadcast(band_positions(tiles)) if _few_bands(tiles) else band_positions(tiles)
-    named = join_stack(values.join(positions, ["image_id", "h_seq"]), images)
+    named = join_stack(_with_positions(values, tiles), images)
     return named.withColumn("intensity", c("v") * c("scale")).drop("pos", "v", "scale")
 
 

@@ -67,21 +67,13 @@ def resize(tiles: DataFrame, tile: int, width: int | Column, height: int | Colum
 def build_pyramid(tiles: DataFrame, tile: int, rule: str = "floor", include_full: bool = True) -> DataFrame:
     """All smaller levels by pixel skipping, in one pass over the full level.
 
-    Every full-size tile is scanned once and gives its share of each level (a third of its size in
+    Every full-size tile is scanned and decoded once and gives its share of each level (a third of its size in
     all); there is no level-by-level chain.  ``level`` counts up from the smallest.
     """
     from tessella.operators.geometry import pyramid
 
-    levels = pyramid(c("img_w"), c("img_h"), F.lit(tile), F.lit(tile), rule)
-    smaller = tiles.withColumn("lv", F.explode(levels))
-    if not include_full:
-        smaller = smaller.where("lv.native_level > 0")
-    geometry = {
-        **whole_image(c("img_w"), c("img_h")),
-        "level": c("lv.level"),
-        "step": F.pow(F.lit(2.0), c("lv.native_level")).cast("int"),
-        "dst_w": c("lv.width"),
-        "dst_h": c("lv.height"),
-    }
-    prepared = smaller.where("lv.width > 0 AND lv.height > 0").withColumns(geometry).drop("lv")
-    return _finish(regrid(prepared, PLANE_KEY, tile, tile, tile, tile))
+    levels = F.filter(pyramid(c("img_w"), c("img_h"), F.lit(tile), F.lit(tile), rule), lambda v: (v["width"] > 0) & (v["height"] > 0) & (F.lit(include_full) | (v["native_level"] > 0)))
+    step = lambda v: F.pow(F.lit(2.0), v["native_level"]).cast("int").alias("step")
+    moves = F.transform(levels, lambda v: F.struct(v["level"].cast("int").alias("level"), step(v), v["width"].cast("int").alias("dst_w"), v["height"].cast("int").alias("dst_h")))
+    prepared = tiles.withColumns({**whole_image(c("img_w"), c("img_h")), "level": c("level").cast("int") if "level" in tiles.columns else F.lit(0), "moves": moves})
+    return _finish(regrid(prepared, PLANE_KEY, tile, tile, tile, tile, each="moves"))

@@ -243,17 +243,22 @@ def regrid(
     mode: str = "nearest",
     before: BlockFn | None = None,
     using: tuple[str, ...] = (),
+    each: str | None = None,
 ) -> DataFrame:
     """Move samples to an output grid: crop, resize, flip, turn and re-tile in one step.
 
     ``tiles`` carries the GEOMETRY columns; rows with the same ``keys`` belong to one output image.
     A source tile is reduced where it lies to the samples (or partial weighted sums) it adds to each
     output tile, so the shuffle moves output-sized data.  A group is one output tile.
+
+    ``each`` names an array of structs; a source tile, read and decoded once, is moved once for every entry, whose fields
+    take the place of keys and geometry (the levels of a pyramid, say).
     """
     linear = mode == "bilinear"
+    changed = [f.name for f in tiles.schema[each].dataType.elementType if f.name in keys] if each else []
     names = [*keys, "out_w", "out_h", "tx", "ty", "oy", "ox", "ph", "pw", "channels", "bpc", "sample_type", "data"]
     schema = _ddl(tiles.select(*keys).schema) + ", " + _PIECE
-    read = [*dict.fromkeys([*keys, "tx", "ty", *GEOMETRY, *_SHAPE, *using])]
+    read = [*dict.fromkeys([*keys, "tx", "ty", *GEOMETRY, *_SHAPE, *using, *([each] if each else [])])]
     source = tiles.select(*read)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,14 +266,20 @@ def regrid(
 
         def made(batch: pa.RecordBatch, taken: list[int], cells: dict[str, list]) -> pa.RecordBatch:
             index = pa.array(taken, pa.int64())
-            columns = [batch.column(batch.schema.get_field_index(k)).take(index) for k in keys]
-            columns += [pa.array(v, types.get(k, pa.int32())) for k, v in cells.items()]
+            columns = []
+            for k in keys:
+                own = batch.column(batch.schema.get_field_index(k))
+                columns.append(pa.array(cells[f"key {k}"], own.type) if k in changed else own.take(index))
+            columns += [pa.array(cells[k], types.get(k, pa.int32())) for k in names[len(keys) :]]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
+        empty = [f"key {k}" for k in changed] + names[len(keys) :]
         for batch in batches:
-            taken, cells, size = [], {k: [] for k in names[len(keys) :]}, 0
-            for i, row in enumerate(batch.to_pylist()):
-                block, x0, y0 = block_of(row), row["tx"] * tile_w, row["ty"] * tile_h
+            taken, cells, size = [], {k: [] for k in empty}, 0
+            moves = ((i, block_of(row), row, change) for i, row in enumerate(batch.to_pylist()) for change in (row[each] if each else [{}]))
+            for i, block, row, change in moves:
+                row = {**row, **change}
+                x0, y0 = row["tx"] * tile_w, row["ty"] * tile_h
                 if before is not None:
                     if row["step"] is None:
                         block, x0, y0 = _window(block, row, x0, y0)
@@ -281,10 +292,8 @@ def regrid(
                 for tx, ty, oy, ox, part in _pieces(row, block, x0, y0, out_tile_w, out_tile_h, linear):
                     bpc, kind = type_of(part)
                     taken.append(i)
-                    for key, value in zip(
-                        cells,
-                        (w, h, tx, ty, oy, ox, part.shape[0], part.shape[1], part.shape[2], bpc, kind, to_bytes(part)),
-                    ):
+                    place = (w, h, tx, ty, oy, ox, part.shape[0], part.shape[1], part.shape[2], bpc, kind, to_bytes(part))
+                    for key, value in zip(empty, (*[row[k] for k in changed], *place), strict=True):
                         cells[key].append(value)
                     size += part.nbytes
                     if size > OUTPUT_BYTES:

@@ -4,12 +4,15 @@ The order of steps is fixed: statistics, region, CIELAB to sRGB, then either the
 (normalise, shade, twist, gamma or log, invert, colour map, convolve, contrast) or a shift to 8 bit,
 then resize, band reduction, grey, binary, equalise, flip, turn, watermark.
 
-A batch is split only where the plan differs: requests with a kernel need an exchange of borders, all
-others do their pixel work on the source tiles before the one shuffle to output tiles.
+A batch is split only where the plan differs: requests for one whole stored tile with nothing done to it take its
+bytes as they are; requests with a kernel need an exchange of borders; all others do their pixel work on the source
+tiles before the one shuffle to output tiles.  Histograms are made for images that a request needs them for.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +23,8 @@ from tessella.operators.cover import completeness, get_region, join_wanted
 from tessella.operators.geometry import rotated_tile
 from tessella.operators.tiles import GEOMETRY, convolve_block, map_blocks, padded, regrid, with_halo
 from tessella.operators.watermark import stamp
-from tessella.session import join_side_table
+from tessella.schema import FIXED
+from tessella.session import join_side_table, kept_once
 
 c = F.col
 
@@ -124,6 +128,43 @@ def image_statistics(tiles: DataFrame, ranges: DataFrame, spaces: DataFrame, sco
     return ranges.join(spaces, "image_id").join(derived, "image_id", "left")
 
 
+def statistics_for(requests: DataFrame, tiles: DataFrame, ranges: DataFrame, spaces: DataFrame, scope: str = "thumbnail") -> DataFrame:
+    """`image_statistics`, with histograms only of images that a request equalises, stretches or makes binary; the others
+    have nulls.  A batch without such requests counts nothing."""
+    asks = c("equalize") | (c("contrast") == -1) | F.coalesce(c("colorspace") == "BINARY", F.lit(False))
+    ids = kept_once(with_defaults(requests).where(asks).select("image_id").distinct())
+    plain = ranges.join(spaces, "image_id")
+    if ids.isEmpty():
+        return plain.withColumns({"hist": F.lit(None).cast("array<long>"), "bin_lo": F.lit(None).cast("int"), "bin_hi": F.lit(None).cast("int"), "threshold": F.lit(None).cast("int")})
+    wanted = join_side_table(tiles, ids, ["image_id"], "inner", spread_by=["tile"])
+    counted = image_statistics(wanted, ranges.join(ids, "image_id", "left_semi"), spaces, scope)
+    return counted.unionByName(plain.join(ids, "image_id", "left_anti"), allowMissingColumns=True)
+
+
+def is_plain_tile(tile: int) -> Column:
+    """Whether a prepared request is one whole stored tile with nothing done to it (see geometry.is_pure_tile)."""
+    edge = lambda start, size: F.least(F.lit(tile), size - start)
+    place = (c("src_x") % tile == 0) & (c("src_y") % tile == 0) & (c("src_w") == edge(c("src_x"), c("lv_width"))) & (c("src_h") == edge(c("src_y"), c("lv_height")))
+    same = (c("dst_w") == c("src_w")) & (c("dst_h") == c("src_h")) & ~c("flip_x") & ~c("flip_y") & ~c("transpose")
+    still = (c("contrast") == 1) & (c("gamma") == 1) & ~c("inverted") & ~c("equalize")
+    unset = [c(k).isNull() for k in ("cmap", "shade", "matrix", "kernel", "minmax_channel", "colorspace")]
+    return F.coalesce(reduce(Column.__and__, [place, same, still, *unset]), F.lit(False))
+
+
+def _plain_tiles(work: DataFrame, tiles: DataFrame, keys: list[str], tile: int) -> DataFrame:
+    """Renderings of `is_plain_tile` requests: 8-bit grey or RGB tiles go through as they are stored, their bytes are not
+    looked at; others (deeper samples, CIELAB, alpha) take the pixel steps, but are not moved."""
+    ntx = F.ceil(c("lv_width") / tile)
+    wanted = work.withColumns({"tx": F.expr(f"int(src_x div {tile})"), "ty": F.expr(f"int(src_y div {tile})")})
+    wanted = wanted.withColumn("tile", (c("ty") * ntx + c("tx")).cast("int"))
+    found = join_wanted(wanted, tiles, keys).withColumns({"out_w": c("dst_w"), "out_h": c("dst_h"), "tile": F.lit(0), "tx": F.lit(0), "ty": F.lit(0)})
+    shown = [*keys, "out_w", "out_h", "tx", "ty", "tile", "width", "height", "channels", "bpc", "sample_type", "data", "format"]
+    stored = (c("bpc") == 8) & (c("sample_type") == FIXED) & c("channels").isin(1, 3) & F.coalesce(c("image_space") != "CIELAB", F.lit(True))
+    steps = lambda block, row: after_resize(pixel_stage(block, row), row)
+    moved = map_blocks(found.where(~stored), steps, using=(*_USE, "hist", "out_w", "out_h"))
+    return found.where(stored).select(*shown).unionByName(moved.select(*shown))
+
+
 def with_ranges(work: DataFrame) -> DataFrame:
     """Requests with statistics; the range of a request with MINMAX replaces the image's.  A channel that the image
     does not have changes nothing."""
@@ -184,8 +225,12 @@ def render_regions(requests: DataFrame, tiles: DataFrame, statistics: DataFrame,
     ``requests`` come from `prepare`; join its render_key with the result to serve each request.
     """
     keys = ["render_key"]
-    needed = [*keys, "image_id", "h_seq", "v_seq", "level", "ntx", "nty", *GEOMETRY, *OPS]
+    sizes = [n for n in ("lv_width", "lv_height") if n in requests.columns]
+    needed = [*keys, "image_id", "h_seq", "v_seq", "level", "ntx", "nty", *GEOMETRY, *OPS, *sizes]
     distinct = requests.select(*needed).dropDuplicates(keys)
+    whole = is_plain_tile(tile) if sizes and mark is None and tile <= out_tile else F.lit(False)
+    plain_tiles = distinct.where(whole)
+    distinct = distinct.where(~whole)
     work = with_ranges(join_side_table(distinct, statistics, ["image_id"], "left", spread_by=["render_key"]))
     carried = [*keys, *OPS, *IMAGE, "hist"]
     plain = work.where("kernel IS NULL")
@@ -218,7 +263,11 @@ def render_regions(requests: DataFrame, tiles: DataFrame, statistics: DataFrame,
             lambda b, r: stamp(b, shared.value, r["tx"] * out_tile, r["ty"] * out_tile, r["out_w"], r["out_h"], 2 * tile, r["image_id"], probability),
             using=("tx", "ty", "out_w", "out_h", "image_id"),
         )
-    return done.drop(*[k for k in carried if k not in (*keys, "format")], "image_id")
+    done = done.drop(*[k for k in carried if k not in (*keys, "format")], "image_id")
+    if plain_tiles.isEmpty():
+        return done
+    whole_work = with_ranges(join_side_table(plain_tiles, statistics, ["image_id"], "left", spread_by=["render_key"]))
+    return done.unionByName(_plain_tiles(whole_work, tiles, keys, tile).select(*done.columns))
 
 
 def render_all(requests: DataFrame, tiles: DataFrame, statistics: DataFrame, tile: int, out_tile: int, **how) -> DataFrame:
