@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import posixpath
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from tessella.operators.tiles import block_of
-from tessella.sources.storage import qualified, write_path
+from tessella.session import join_side_table
+from tessella.sources.storage import locate, qualified, write_path
 
 
 def write_tiles(tiles: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -44,7 +49,7 @@ def save_tile_table(tiles: DataFrame, name: str, buckets: int = 256) -> None:
     tiles.write.mode("overwrite").bucketBy(buckets, *key).sortBy(*key).saveAsTable(name)
 
 
-def png(block: np.ndarray, level: int = 1, dpm: tuple[int, int] | None = None) -> bytes:
+def png(block: np.ndarray, level: int = 1, dpm: tuple[int, int] | None = None, icc: bytes | None = None, xmp: bytes | None = None) -> bytes:
     """PNG of 1 to 4 channels, 8 or 16 bit; ``dpm`` is the resolution in pixels per metre."""
     h, w, channels = block.shape
     color = {1: 0, 2: 4, 3: 2, 4: 6}[channels]
@@ -56,11 +61,39 @@ def png(block: np.ndarray, level: int = 1, dpm: tuple[int, int] | None = None) -
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
     out = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, wide.dtype.itemsize * 8, color, 0, 0, 0))
+    if icc:
+        out += chunk(b"iCCP", b"ICC profile\0\0" + zlib.compress(icc))
     if dpm:
         out += chunk(b"pHYs", struct.pack(">IIB", *dpm, 1))
+    if xmp:
+        out += chunk(b"iTXt", b"XML:com.adobe.xmp\0\0\0\0\0" + xmp)
     return out + chunk(b"IDAT", zlib.compress(lines, level)) + chunk(b"IEND", b"")
 
 
+def _described(row: dict) -> tuple[tuple[int, int] | None, list]:
+    """Resolution of a row in pixels per metre, and the TIFF fields of its resolution, profile and XMP."""
+    x, y, units = row.get("dpi_x") or 0, row.get("dpi_y") or 0, row.get("dpi_units") or 0
+    per_metre = {1: 1 / 0.0254, 2: 100.0}.get(units)
+    dpm = (round(x * per_metre), round(y * per_metre)) if per_metre and x > 0 and y > 0 else None
+    ratio = lambda v: (round(v * 10_000), 10_000)
+    fields = [(282, 5, ratio(x)), (283, 5, ratio(y)), (296, 3, (units + 1,))] if x > 0 and y > 0 else []
+    fields += [(34675, 7, row["icc"])] if row.get("icc") else []
+    return dpm, fields + ([(700, 1, row["xmp"])] if row.get("xmp") else [])
+
+
+_TILE = ("width", "height", "channels", "bpc", "sample_type", "data")
+#: Columns that the encoders take besides the tile, where a table has them.
+DESCRIBING = ("icc", "xmp", "dpi_x", "dpi_y", "dpi_units")
+
+
+def encode_row(row: dict, fmt: str, deflate: bool = True) -> bytes:
+    """The tile of a row as a PNG or TIFF file, with its profile, XMP and resolution."""
+    dpm, fields = _described(row)
+    if fmt == "png":
+        return png(block_of(row), dpm=dpm, icc=row.get("icc"), xmp=row.get("xmp"))
+    return tiff(block_of(row), deflate, fields)
+
+
 def _directory(fields: list[tuple[int, int, tuple | bytes]], start: int, following: int = 0) -> bytes:
     """A little-endian TIFF directory to stand at ``start``, with the values that do not fit into it behind it."""
     fields = sorted(fields)
@@ -157,19 +190,108 @@ def _assembled(rows: list[dict], tile: int) -> np.ndarray:
 
 
 def encode_tiles(tiles: DataFrame, fmt: str = "png", deflate: bool = True) -> DataFrame:
-    """Add ``encoded``: each tile as a PNG or TIFF file."""
+    """Add ``encoded``: each tile as a PNG or TIFF file, with profile, XMP and resolution from the columns DESCRIBING."""
+    read = [*_TILE, *[n for n in DESCRIBING if n in tiles.columns]]
     names = tiles.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.schema) + ", encoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.select(["width", "height", "channels", "bpc", "sample_type", "data"]).to_pylist()
-            files = [png(block_of(r)) if fmt == "png" else tiff(block_of(r), deflate) for r in rows]
+            files = [encode_row(r, fmt, deflate) for r in batch.select(read).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(files, pa.binary())], names=[*names, "encoded"])
 
     return tiles.mapInArrow(run, schema)
 
 
+def with_description(tiles: DataFrame, images: DataFrame, max_icc: int = -1, is_region: bool = False, processed: Column | None = None) -> DataFrame:
+    """Tiles with the columns DESCRIBING by the rules for output: resolution of the level, a profile of up to ``max_icc``
+    bytes (-1: any, 0: none) unless the colours are ``processed``, XMP with regions only.
+
+    ``images`` has image_id, width, levels, colorspace, icc, xmp, dpi_x, dpi_y and dpi_units; it is joined by measured size.
+    """
+    from tessella.operators import catalog as B
+
+    c, no = F.col, F.lit(False)
+    head = images.select("image_id", "width", "height", "colorspace", "icc", "xmp", "dpi_x", "dpi_y", "dpi_units", F.explode("levels").alias("lv"))
+    x, y = B.dpi_for_level(c("lv"))
+    head = head.select("image_id", c("lv.level").alias("level"), "colorspace", "icc", "xmp", x.alias("dpi_x"), y.alias("dpi_y"), "dpi_units")
+    joined = join_side_table(tiles, head, ["image_id", "level"], "left", spread_by=["tile"])
+    icc = B.embed_icc(F.octet_length("icc"), max_icc, no if processed is None else processed, no, no, c("colorspace"))
+    xmp = B.embed_xmp(F.octet_length("xmp"), F.lit(is_region))
+    return joined.withColumns({"icc": F.when(icc, c("icc")), "xmp": F.when(xmp, c("xmp"))}).drop("colorspace")
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    names: list[str]
+
+
+class EncodedWriter(DataSourceArrowWriter):
+    """Files of a job: tasks put them under a hidden folder beside the target, the commit moves them in.
+
+    A new folder appears with all its files at once, by one move.  A job that fails leaves nothing.  A task that is run
+    again writes the same names.
+    """
+
+    def __init__(self, options: dict) -> None:
+        self.path, self.format = options["path"].rstrip("/"), options.get("format", "png")
+        self.deflate, self.name = options.get("deflate", "true") == "true", options.get("name", "file")
+        folder, leaf = posixpath.split(self.path)
+        self.draft = posixpath.join(folder, f".{leaf}.{uuid.uuid4().hex}")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        names = []
+        for batch in iterator:
+            wanted = [self.name, *_TILE, *[n for n in DESCRIBING if n in batch.schema.names]]
+            for row in batch.select(wanted).to_pylist():
+                leaf = row[self.name].lstrip("/")
+                write_path(posixpath.join(self.draft, leaf), encode_row(row, self.format, self.deflate))
+                names.append(leaf)
+        return Written(names)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        where, draft = locate(self.draft)
+        _, target = locate(self.path)
+        where.create_dir(draft, recursive=True)
+        if where.get_file_info(target).type.name == "NotFound":
+            where.move(draft, target)
+            return
+        for name in (n for m in messages if m for n in m.names):
+            where.create_dir(posixpath.dirname(posixpath.join(target, name)), recursive=True)
+            where.move(posixpath.join(draft, name), posixpath.join(target, name))
+        where.delete_dir(draft)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        where, draft = locate(self.draft)
+        if where.get_file_info(draft).type.name != "NotFound":
+            where.delete_dir(draft)
+
+
+class EncodedTiles(DataSource):
+    """``tiles.write.format("encoded_tiles").mode("append")``: a PNG or TIFF file for every row, named by a column.
+
+    Options: format (png or tiff), name (the column, file), deflate.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "encoded_tiles"
+
+    def writer(self, schema, overwrite: bool) -> EncodedWriter:
+        if overwrite:
+            raise ValueError("encoded_tiles adds files to a folder or makes a new one; it does not overwrite")
+        return EncodedWriter({k.lower(): v for k, v in self.options.items()})
+
+
+def save_encoded(tiles: DataFrame, directory: str, fmt: str = "png", name: str = "file", deflate: bool = True) -> None:
+    """Write every row as a file under ``directory``; all files appear when the job has succeeded."""
+    spark = tiles.sparkSession
+    spark.dataSource.register(EncodedTiles)
+    shown = tiles.select(name, *_TILE, *[n for n in DESCRIBING if n in tiles.columns])
+    writer = shown.write.format("encoded_tiles").mode("append").option("format", fmt).option("name", name).option("deflate", str(deflate).lower())
+    writer.save(qualified(spark, directory))
+
+
 def write_files(encoded: DataFrame, directory: str, name: str = "file") -> DataFrame:
     """Write the ``encoded`` bytes of each row from the tasks; returns (name, bytes) of what was written.
 

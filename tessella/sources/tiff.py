@@ -104,6 +104,11 @@ class Header:
         values = struct.unpack(self.order + code * count, inline[:size])
         return tuple(a / b if b else 0.0 for a, b in zip(values[::2], values[1::2])) if len(code) == 2 else values
 
+    def raw(self, page: dict, tag: int) -> bytes | None:
+        """A field as bytes; files give profiles and XMP as bytes or as undefined values."""
+        value = self.get(page, tag)
+        return value if value is None or isinstance(value, bytes) else bytes(value)
+
     def one(self, page: dict, tag: int, default=0):
         return self.get(page, tag, (default,))[0]
 
@@ -485,7 +490,7 @@ def scan_headers(spark: SparkSession, path: str, pattern: str = "*.tif*") -> Dat
             "dpi_units": header.one(first, RES_UNIT, 1) - 1, "levels": shapes,
             "stack": [{"name": header.text(p, TEXT_TAGS["title"]) or "", "scale": scale(p)} for p in layers],
             "metadata": [(k, v) for k, v in text.items() if v is not None],
-            "icc": header.get(first, ICC), "xmp": header.get(first, XMP),
+            "icc": header.raw(first, ICC), "xmp": header.raw(first, XMP),
         }
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,3 +82,30 @@ def _(spark, sf):
     VE.replace_images(spark, store, tiles)
     VE.replace_images(spark, store, _inverted(tiles.where("image_id % 3 = 1 AND tx < 2")))
     return _pixels(VE.read_store(spark, store), fx.TILE)
+
+
+@query(
+    "encoded_metadata",
+    """SELECT image_id, level, CASE WHEN image_id % 2 = 0 THEN 'profile ' || image_id END AS icc, '<x:xmpmeta>' || image_id || '</x:xmpmeta>' AS xmp,
+      round((72 + image_id) * (64 >> (2 - level)) / 64.0::double, 4) AS dpi_x, 1 AS dpi_units FROM vec_size, (SELECT unnest([0, 1, 2]) AS level)""",
+)
+def _(spark, sf):
+    """Colour profile, XMP and resolution of written files: one tile of every level, profiles of up to 20 bytes."""
+    from tessella.suite.files import _heads
+    from tessella.suite.rendering import stored
+
+    profile = F.concat(F.lit("profile "), c("image_id").cast("string"), F.when(c("image_id") % 2 == 1, F.lit(" of many bytes")).otherwise(F.lit("")))
+    images = _heads(spark, sf).withColumns(
+        {
+            "icc": F.encode(profile, "UTF-8"),
+            "xmp": F.encode(F.format_string("<x:xmpmeta>%d</x:xmpmeta>", "image_id"), "UTF-8"),
+            "colorspace": F.lit("sRGB"), "dpi_x": 72 + c("image_id"), "dpi_y": 72 + c("image_id"), "dpi_units": F.lit(1),
+        }
+    )
+    tiles = SI.with_description(stored(spark, sf).where("tile = 0"), images, max_icc=20, is_region=True)
+    folder = _folder(spark, "described")
+    SI.save_encoded(tiles.withColumn("file", F.format_string("%d/%d.tif", "level", "image_id")), folder, "tiff")
+    found = _by_name(TF.scan_headers(spark, folder))
+    text = lambda name: F.decode(name, "UTF-8").alias(name)
+    level = F.regexp_extract("path", r"/(\d+)/\d+\.tif$", 1).cast("int").alias("level")
+    return found.select("image_id", level, text("icc"), text("xmp"), F.round(c("dpi_x").cast("double"), 4).alias("dpi_x"), "dpi_units")
