@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import pixelops as P
 from tessella.operators import color, stats
-from tessella.operators.cover import completeness, get_region, join_wanted
+from tessella.operators.cover import completeness, get_region, join_wanted, prune_tiles
 from tessella.operators.geometry import rotated_tile
 from tessella.operators.tiles import GEOMETRY, convolve_block, map_blocks, padded, regrid, with_halo
 from tessella.operators.watermark import stamp
@@ -304,14 +304,13 @@ def render_tiles(requests: DataFrame, tiles: DataFrame, statistics: DataFrame, l
     inside = (c("tile") >= 0) & (c("tile") < c("ntx") * c("nty"))
     error = F.when(c("ntx").isNull(), "level not found").when(~inside, "tile not in the grid")
     grid = grid.withColumn("error", error).withColumn("tile", F.when(inside, rotated_tile(c("tile"), c("rot"), c("ntx"), c("nty"))).otherwise(c("tile")))
-    placed = grid.withColumns({"tx": F.expr("int(tile % ntx)"), "ty": F.expr("int(tile div ntx)")}).drop("ntx", "nty")
+    placed = kept_once(grid.withColumns({"tx": F.expr("int(tile % ntx)"), "ty": F.expr("int(tile div ntx)")}).drop("ntx", "nty"))
     work = with_ranges(join_side_table(placed, statistics, ["image_id"], "left", spread_by=["render_key"]))
     good = work.where("error IS NULL").drop("error")
     joined = join_wanted(good, tiles, ["render_key"])
-    # the same join without tile data tells what is not stored
-    stored = tiles.select(*key, *[n for n in ("curve",) if n in tiles.columns])
-    present = join_wanted(good.select("render_key", *key, "tx", "ty"), stored, ["render_key"]).select("render_key").distinct()
-    lost = placed.join(present, "render_key", "left_anti").select("render_key", *key, F.coalesce("error", F.lit("tile not found")).alias("error"))
+    # keys without tile data tell what is not stored
+    absent = placed.where("error IS NULL").join(prune_tiles(tiles, placed).select(*key), key, "left_anti")
+    lost = placed.where("error IS NOT NULL").unionByName(absent.withColumn("error", F.lit("tile not found"))).select("render_key", *key, "error")
 
     def run(block: np.ndarray, row: dict) -> np.ndarray:
         block = before_kernel(block, row)
