@@ -112,25 +112,29 @@ def triplicate(tiles: DataFrame) -> DataFrame:
     return apply(tiles, P.triplicate)
 
 
-def unpack_samples(tiles: DataFrame, min_is_white: bool = False) -> DataFrame:
-    """Widen packed tiles (``bpc`` 1, 2, 4, 6, 10, 12, 14) to 8 or 16 bit."""
+def unpack_samples(tiles: DataFrame, min_is_white: bool | Column = False) -> DataFrame:
+    """Widen packed tiles (``bpc`` 1, 2, 4, 6, 10, 12, 14) to 8 or 16 bit, whatever depths the table mixes.
+
+    ``min_is_white`` is one answer for all tiles or a column with each tile's own; null counts as false.
+    """
     import pyarrow as pa
     from pyspark.sql import types as T
 
     names = tiles.columns
+    white = min_is_white if isinstance(min_is_white, Column) else F.lit(min_is_white)
 
     def run(batches):
         for batch in batches:
             depths, blocks = [], []
-            for r in batch.select(["width", "height", "channels", "bpc", "data"]).to_pylist():
+            for r in batch.select(["width", "height", "channels", "bpc", "data", "_white"]).to_pylist():
                 if r["bpc"] in (8, 16, 32, 64):
                     depths.append(r["bpc"])
                     blocks.append(r["data"])
                 else:
-                    wide = P.unpack_bits(r["data"], r["height"], r["width"], r["channels"], r["bpc"], min_is_white)
+                    wide = P.unpack_bits(r["data"], r["height"], r["width"], r["channels"], r["bpc"], r["_white"])
                     depths.append(wide.dtype.itemsize * 8)
                     blocks.append(wide.tobytes())
             done = {"bpc": pa.array(depths, pa.int32()), "data": pa.array(blocks, pa.binary())}
             yield pa.RecordBatch.from_arrays([done.get(n, batch.column(i)) for i, n in enumerate(names)], names=names)
 
-    return tiles.mapInArrow(run, T.StructType(list(tiles.schema)))
+    return tiles.withColumn("_white", F.coalesce(white, F.lit(False))).mapInArrow(run, T.StructType(list(tiles.schema)))

@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -372,8 +373,8 @@ def whole_image(width: Column, height: Column) -> dict[str, Column]:
 def with_halo(tiles: DataFrame, radius: int, keys: list[str]) -> DataFrame:
     """Give each tile the border strips of its up to 8 neighbours, as an array column ``halo``.
 
-    Only the strips are exchanged for this; a group has at most 8 of them.  When the tile table is
-    bucketed by its key the tiles themselves stay where they are.
+    A group has at most 8 strips.  The tiles are read twice and joined to their strips; `map_neighbourhoods` reads them
+    once, for functions that do not need further columns joined in between.
     """
     sent = tiles.select(*keys, "tx", "ty", *_SHAPE)
     cut_schema = _ddl(tiles.select(*keys).schema) + ", tx int, ty int, dx int, dy int, sh int, sw int, strip binary"
@@ -405,22 +406,148 @@ def with_halo(tiles: DataFrame, radius: int, keys: list[str]) -> DataFrame:
 
 def padded(block: np.ndarray, halo: list[dict] | None, radius: int) -> np.ndarray:
     """The block with ``radius`` more samples on each side: neighbours, else the edge repeated."""
+    channels = block.shape[2]
+    return extended(block, {(p["dx"], p["dy"]): np.frombuffer(p["strip"], block.dtype).reshape(p["sh"], p["sw"], channels) for p in halo or []}, radius)
+
+
+def extended(block: np.ndarray, near: dict[tuple[int, int], np.ndarray], radius: int) -> np.ndarray:
+    """The block with ``radius`` more samples on each side, from the strips ``near`` by direction.
+
+    Where the grid has a hole the nearest samples are repeated: an edge without neighbour takes the block's own, a corner
+    without neighbour the strip beside it; a corner strip counts only where both strips beside it are there.
+    """
     h, w, channels = block.shape
-    parts = {(p["dx"], p["dy"]): p for p in halo or []}
-    left = parts[-1, 0]["sw"] if (-1, 0) in parts else 0
-    right = parts[1, 0]["sw"] if (1, 0) in parts else 0
-    top = parts[0, -1]["sh"] if (0, -1) in parts else 0
-    bottom = parts[0, 1]["sh"] if (0, 1) in parts else 0
+    left, right = (near[dx, 0].shape[1] if (dx, 0) in near else 0 for dx in (-1, 1))
+    top, bottom = (near[0, dy].shape[0] if (0, dy) in near else 0 for dy in (-1, 1))
     canvas = np.empty((top + h + bottom, left + w + right, channels), block.dtype)
-    canvas[top : top + h, left : left + w] = block
     rows = {-1: slice(0, top), 0: slice(top, top + h), 1: slice(top + h, None)}
     cols = {-1: slice(0, left), 0: slice(left, left + w), 1: slice(left + w, None)}
-    for (dx, dy), p in parts.items():
-        canvas[rows[dy], cols[dx]] = np.frombuffer(p["strip"], block.dtype).reshape(p["sh"], p["sw"], channels)
+    canvas[rows[0], cols[0]] = block
+    for dx, dy in ((-1, 0), (1, 0), (0, -1), (0, 1)):
+        if (dx, dy) in near:
+            canvas[rows[dy], cols[dx]] = near[dx, dy]
+    for dx, dy in ((-1, -1), (1, -1), (-1, 1), (1, 1)):
+        if (dx, 0) in near and (0, dy) in near:
+            beside = near[0, dy][:, :1] if dx < 0 else near[0, dy][:, -1:]
+            canvas[rows[dy], cols[dx]] = near.get((dx, dy), beside)
     missing = ((radius - top, radius - bottom), (radius - left, radius - right), (0, 0))
     return np.pad(canvas, missing, mode="edge")
 
 
+# Tiles on a side of a block of the grid: what one group of the neighbourhood operators holds.
+BLOCK_SIDE = 4
+
+
+def block_place(side: int = BLOCK_SIDE) -> dict[str, Column]:
+    """Columns ``bx``, ``by``: the block of the grid that a tile lies in."""
+    return {"bx": F.floor(F.col("tx") / side).cast("int"), "by": F.floor(F.col("ty") / side).cast("int")}
+
+
+def _facing(block: np.ndarray, dx: int, dy: int, radius: int) -> np.ndarray:
+    """What a neighbour in direction (dx, dy) shows to a tile: its samples within ``radius`` of the common border."""
+    pick = {-1: slice(-radius, None), 0: slice(None), 1: slice(0, radius)}
+    return block[pick[dy], pick[dx]]
+
+
+def rim_strips(tiles: DataFrame, radius: int, keys: list[str], side: int = BLOCK_SIDE, with_tiles: bool = False) -> DataFrame:
+    """Border strips that tiles give to tiles of other blocks, as rows in tile form.
+
+    ``tx``, ``ty`` are the receiver's, ``dx``, ``dy`` the direction in which the strip lies from it.  ``with_tiles`` passes
+    the tiles themselves as well, with null directions and all their columns, so that they are read once.
+    """
+    source = tiles if with_tiles else tiles.select(*keys, "tx", "ty", *_SHAPE).where(
+        " OR ".join(f"{k} % {side} IN (0, {side - 1})" for k in ("tx", "ty"))
+    )
+    fields = [*source.schema, T.StructField("dx", T.IntegerType()), T.StructField("dy", T.IntegerType())]
+    made = ["tx", "ty", "width", "height", "data", "dx", "dy"]
+    kept = {*keys, "channels", "bpc", "sample_type"}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if with_tiles:
+                none = pa.nulls(batch.num_rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([*batch.columns, none, none], names=[f.name for f in fields])
+            out, index = {k: [] for k in made}, []
+            for i, row in enumerate(batch.select(["tx", "ty", *_SHAPE]).to_pylist()):
+                block, x, y = block_of(row), row["tx"], row["ty"]
+                for dx, dy in ((dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy):
+                    to_x, to_y = x + dx, y + dy
+                    if min(to_x, to_y) < 0 or (to_x // side, to_y // side) == (x // side, y // side):
+                        continue
+                    strip = _facing(block, -dx, -dy, radius)
+                    index.append(i)
+                    for key, value in zip(made, (to_x, to_y, strip.shape[1], strip.shape[0], to_bytes(strip), -dx, -dy), strict=True):
+                        out[key].append(value)
+            taken, columns = pa.array(index, pa.int64()), []
+            for f in fields:
+                at = batch.schema.get_field_index(f.name)
+                if f.name in out:
+                    columns.append(pa.array(out[f.name], batch.column(at).type if at >= 0 else pa.int32()))
+                else:
+                    columns.append(batch.column(at).take(taken) if f.name in kept else pa.nulls(len(index), batch.column(at).type))
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+
+    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+    return source.mapInArrow(cut, nullable).withColumns(block_place(side))
+
+
+def _solve(tiles: pa.Table, strips: pa.Table, names: list[str], fn: BlockFn, radius: int, using: tuple[str, ...]) -> pa.Table:
+    """The tiles of one block of the grid, each block of samples replaced by ``fn(extended block, row)``."""
+    read = [*dict.fromkeys(["tx", "ty", *_SHAPE, *using])]
+    rows = tiles.select(read).to_pylist()
+    at = {(r["tx"], r["ty"]): block_of(r) for r in rows}
+    across: dict = {}
+    for s in strips.select(["tx", "ty", "dx", "dy", *_SHAPE]).to_pylist():
+        across.setdefault((s["tx"], s["ty"]), {})[s["dx"], s["dy"]] = _facing(block_of(s), s["dx"], s["dy"], radius)
+    out = {k: [] for k in _SHAPE}
+    for row in rows:
+        x, y = row["tx"], row["ty"]
+        near = dict(across.get((x, y), {}))
+        for dx, dy in ((dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy):
+            if (x + dx, y + dy) in at:
+                near[dx, dy] = _facing(at[x + dx, y + dy], dx, dy, radius)
+        block = fn(extended(block_of(row), near, radius), row)
+        bpc, kind = type_of(block)
+        for key, value in zip(_SHAPE, (block.shape[1], block.shape[0], block.shape[2], bpc, kind, to_bytes(block)), strict=True):
+            out[key].append(value)
+    return pa.table([pa.array(out[n], tiles[n].type) if n in out else tiles[n] for n in names], names=names)
+
+
+def map_neighbourhoods(
+    tiles: DataFrame, radius: int, fn: BlockFn, keys: list[str] | None = None, using: tuple[str, ...] = (), side: int = BLOCK_SIDE
+) -> DataFrame:
+    """Replace every tile's block by ``fn(block with radius more samples on each side, row)``.
+
+    Tiles are dealt by blocks of ``side`` x ``side`` of the grid, so a tile is read and moved once and only strips of a
+    block's rim are copied.  A group is one block, however large the image.  A tile that is there twice keeps both rows.
+    """
+    keys, names = keys or PLANE_KEY, tiles.columns
+
+    def solve(group: pa.Table) -> pa.Table:
+        own = pa.compute.is_null(group["dx"])
+        return _solve(group.filter(own), group.filter(pa.compute.invert(own)), names, fn, radius, using)
+
+    moved = rim_strips(tiles, radius, keys, side, with_tiles=True)
+    return moved.groupBy(*keys, "bx", "by").applyInArrow(solve, tiles.schema)
+
+
+def map_stored_neighbourhoods(spark: SparkSession, table: str, radius: int, fn: BlockFn, using: tuple[str, ...] = ()) -> DataFrame:
+    """`map_neighbourhoods` over a table of `sinks.save_block_table`: its tiles are read once and stay in their buckets,
+    the strips that cross blocks come from the table beside it."""
+    properties = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    reach = int(properties.get("tessella.reach", -1))
+    if radius > reach:
+        raise ValueError(f"{table} holds strips of {reach} samples, {radius} are needed")
+    tiles, rims = spark.table(table), spark.table(f"{table}_rims")
+    key = [*PLANE_KEY, "bx", "by"]
+    names = [n for n in tiles.columns if n not in ("bx", "by")]
+
+    def solve(own: pa.Table, strips: pa.Table) -> pa.Table:
+        return _solve(own, strips, names, fn, radius, using)
+
+    return tiles.groupBy(*key).cogroup(rims.groupBy(*key)).applyInArrow(solve, tiles.select(*names).schema)
+
+
 def convolve_block(extended: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     """Weighted sum over the kernel window, divided by the kernel sum when that is positive."""
     side = kernel.shape[0]
@@ -434,18 +561,23 @@ def convolve_block(extended: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return total / weight if weight > 0 else total
 
 
+def _square(kernel: list[float]) -> tuple[np.ndarray, int]:
+    side = int(round(len(kernel) ** 0.5))
+    return np.array(kernel, float).reshape(side, side), side // 2
+
+
 def convolve(tiles: DataFrame, kernel: list[float], scope: str = "image", keys: list[str] | None = None) -> DataFrame:
     """Square odd kernel over float tiles.  ``scope='tile'`` repeats tile edges, as single-tile jobs do."""
-    side = int(round(len(kernel) ** 0.5))
-    matrix, radius = np.array(kernel, float).reshape(side, side), side // 2
+    matrix, radius = _square(kernel)
     if scope == "tile" or radius == 0:
         return map_blocks(tiles, lambda b, r: convolve_block(padded(b.astype(float), None, radius), matrix))
-    keyed = with_halo(tiles, radius, keys or PLANE_KEY)
+    return map_neighbourhoods(tiles, radius, lambda b, r: convolve_block(b.astype(float), matrix), keys)
 
-    def run(block: np.ndarray, row: dict) -> np.ndarray:
-        return convolve_block(padded(block, row["halo"], radius).astype(float), matrix)
 
-    return map_blocks(keyed, run, using=("halo",), drop=("halo",))
+def convolve_table(spark: SparkSession, table: str, kernel: list[float]) -> DataFrame:
+    """`convolve` over a table of `sinks.save_block_table`, whose tiles are not shuffled."""
+    matrix, radius = _square(kernel)
+    return map_stored_neighbourhoods(spark, table, radius, lambda b, r: convolve_block(b.astype(float), matrix))
 
 
 def is_float(tile_type: Column) -> Column:

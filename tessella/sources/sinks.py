@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from tessella.operators.tiles import block_of
+from tessella.operators.tiles import BLOCK_SIDE, block_of, block_place, rim_strips
+from tessella.schema import PLANE_KEY
 from tessella.session import join_side_table
 from tessella.sources.storage import locate, qualified, write_path
 
@@ -49,6 +50,20 @@ def save_tile_table(tiles: DataFrame, name: str, buckets: int = 256) -> None:
     tiles.write.mode("overwrite").bucketBy(buckets, *key).sortBy(*key).saveAsTable(name)
 
 
+def save_block_table(tiles: DataFrame, name: str, reach: int = 3, side: int = BLOCK_SIDE, buckets: int = 256, path: str | None = None) -> None:
+    """Table bucketed by blocks of the tile grid, and a table ``<name>_rims`` with the strips that cross their borders.
+
+    Neighbourhoods of up to ``reach`` samples are then computed where the tiles lie (tiles.convolve_table).  The reach is
+    set last, so a table that was left half written is not taken.
+    """
+    key = [*PLANE_KEY, "bx", "by"]
+    parts = {f"{name}_rims": rim_strips(tiles, reach, PLANE_KEY, side), name: tiles.withColumns(block_place(side))}
+    for table, rows in parts.items():
+        writer = rows.repartition(buckets, *key).write.mode("overwrite").bucketBy(buckets, *key).sortBy(*key)
+        (writer.option("path", f"{path}/{table}") if path else writer).saveAsTable(table)
+    tiles.sparkSession.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('tessella.reach' = '{reach}')")
+
+
 def png(block: np.ndarray, level: int = 1, dpm: tuple[int, int] | None = None, icc: bytes | None = None, xmp: bytes | None = None) -> bytes:
     """PNG of 1 to 4 channels, 8 or 16 bit; ``dpm`` is the resolution in pixels per metre."""
     h, w, channels = block.shape

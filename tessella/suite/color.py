@@ -304,32 +304,23 @@ def _(spark, sf):
         FROM (SELECT bits, inverted, (v % (1 << bits))::int AS s FROM ord, (SELECT unnest([1, 2, 4, 6, 10, 12, 14]) AS bits), (SELECT unnest([false, true]) AS inverted))))
     GROUP BY ALL""")
 def _(spark, sf):
-    """Packed tiles of every depth, made from the order image, widened and summed."""
+    """Packed tiles of every depth, made from the order image, widened and summed, all in one pass over the table."""
     import numpy as np
 
-    from tessella.operators import stats
-    from tessella.operators.tiles import block_of, tiles_to_pixels
-
-    tiles = fx.order_tiles(spark, sf)
-    out = []
-    for bits in (1, 2, 4, 6, 10, 12, 14):
-
-        def pack(block, bits=bits):
-            flags = (block.reshape(block.shape[0], -1, 1) >> np.arange(bits - 1, -1, -1, dtype=np.uint16)) & 1
-            return np.packbits(flags.reshape(block.shape[0], -1).astype(np.uint8), axis=1)[..., None]
-
-        packed = O.apply(tiles, pack).withColumns({"bpc": F.lit(bits), "width": F.least(F.lit(32), F.lit(128) - F.col("tx") * 32)})
-        for white in (False, True):
-            wide = tiles_to_pixels(O.unpack_samples(packed, white), 32, 32)
-            v = F.col("v").cast("long")
-            out.append(
-                wide.agg(F.min(v).cast("int").alias("lo"), F.max(v).cast("int").alias("hi"), F.sum(v).alias("total"), F.count("*").alias("n"))
-                .select(F.lit(bits).alias("bits"), F.lit(white).alias("inverted"), "lo", "hi", "total", "n")
-            )
-    result = out[0]
-    for part in out[1:]:
-        result = result.unionByName(part)
-    return result
+    from tessella.operators.tiles import map_blocks, tiles_to_pixels
+
+    depths = F.explode(F.array(*[F.lit(b) for b in (1, 2, 4, 6, 10, 12, 14)]))
+
+    def pack(block, row):
+        flags = (block.reshape(block.shape[0], -1, 1) >> np.arange(row["bits"] - 1, -1, -1, dtype=np.uint16)) & 1
+        return np.packbits(flags.reshape(block.shape[0], -1).astype(np.uint8), axis=1)[..., None]
+
+    packed = map_blocks(fx.order_tiles(spark, sf).withColumn("bits", depths), pack, using=("bits",))
+    packed = packed.withColumns({"bpc": F.col("bits"), "width": F.least(F.lit(32), F.lit(128) - F.col("tx") * 32)})
+    both = packed.withColumn("inverted", F.explode(F.array(F.lit(False), F.lit(True))))
+    wide = tiles_to_pixels(O.unpack_samples(both, F.col("inverted")), 32, 32, keys=("bits", "inverted"))
+    v = F.col("v").cast("long")
+    return wide.groupBy("bits", "inverted").agg(F.min(v).cast("int").alias("lo"), F.max(v).cast("int").alias("hi"), F.sum(v).alias("total"), F.count("*").alias("n"))
 
 
 @query("unpack_samples_pixels", """SELECT image_id, y, x, c, ((v % 64) << 2) | ((v % 64) >> 4) AS six, 65535 - (((v % 4096) << 4) | ((v % 4096) >> 8)) AS twelve

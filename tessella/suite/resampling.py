@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from tessella.operators import cover, measure as M
 from tessella.operators import resample as R
 from tessella.operators import tiles as TI
 from tessella.operators import watermark as W
+from tessella.session import shared_dir
+from tessella.sources import sinks as SI
 from tessella.suite.registry import query
 from tessella.suite.statistics import pixels_of
 
@@ -163,6 +167,15 @@ for _name, _weights in (("gaussian", kernel("gaussian")), ("sobel", kernel("sobe
         return pixels_of(TI.convolve(unit, weights), digits=6)
 
 
+@query("convolve_table", _convolve_sql(_FIVE, "vec8"))
+def _(spark, sf):
+    """Over a table bucketed by blocks of the grid, whose tiles stay in their buckets."""
+    unit = O.normalize(fx.vector_tiles(spark, sf, "grey").withColumns({"lo": F.lit(0.0), "hi": F.lit(255.0)})).drop("lo", "hi")
+    name = f"blocks_{uuid.uuid4().hex}"
+    SI.save_block_table(unit, name, buckets=8, path=shared_dir(spark))
+    return pixels_of(TI.convolve_table(spark, name, _FIVE), digits=6)
+
+
 @query("convolve_tile_scope", _convolve_sql(kernel("emboss"), "vec8", "tile"))
 def _(spark, sf):
     unit = O.normalize(fx.vector_tiles(spark, sf, "grey").withColumns({"lo": F.lit(0.0), "hi": F.lit(255.0)}))
