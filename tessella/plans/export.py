@@ -62,16 +62,35 @@ def write_manifests(images: DataFrame, directory: str, layout: str = "deepzoom",
     return write_files(images.select(name.alias("file"), F.encode(body, "UTF-8").alias("encoded")), directory)
 
 
-def render_tile_ranges(requests: DataFrame, levels: DataFrame, tiles: DataFrame, fmt: str = "png") -> DataFrame:
-    """Encoded tiles of rectangles between two tile numbers; each tile is encoded once.
-
-    ``requests`` have image_id, level, start_tile, end_tile and own columns (see logs.tile_commands).
+def render_tile_ranges(requests: DataFrame, levels: DataFrame, tiles: DataFrame, directory: str, fmt: str = "png") -> DataFrame:
+    """Encoded tiles of rectangles between two tile numbers: each wanted tile is encoded and written once, and requests get
+    the name of its file, so no bytes travel with them.
+
+    ``requests`` have image_id, level, start_tile, end_tile and own columns (see logs.tile_commands).  The result has them
+    with tile, tx, ty, h_seq, v_seq, file, bytes and error, a row for each tile (and plane of it) that is asked for.  A
+    tile the store does not have, a level that does not exist and a rectangle without a first tile are a row with an ``error``
+    and without file.  Repeated requests keep all their rows.
     """
     from tessella.operators.cover import tile_rectangle
-    from tessella.sources.sinks import encode_tiles
+    from tessella.session import join_side_table
+    from tessella.sources.sinks import encode_tiles, write_files
 
     key = ["image_id", "level", "tile"]
-    sized = requests.join(levels.select("image_id", "level", "ntx"), ["image_id", "level"])
-    cells = tile_rectangle(sized, c("start_tile"), c("end_tile"), c("ntx")).drop("tx", "ty")
-    wanted = tiles.join(cells.select(*key).distinct(), key, "left_semi")
-    return cells.drop("ntx").join(encode_tiles(wanted, fmt).drop("data"), key)
+    # Everything that can be hashed spreads the requests of a popular image or tile.
+    spread = [f.name for f in requests.schema if f.dataType.typeName() not in ("map", "variant")]
+    sized = join_side_table(requests, levels.select("image_id", "level", "ntx"), ["image_id", "level"], "left", spread_by=spread)
+    known = (c("ntx") > 0) & (c("start_tile") >= 0)
+    cells = tile_rectangle(sized.where(known), c("start_tile"), c("end_tile"), c("ntx")).drop("ntx")
+    wanted = join_side_table(tiles, cells.select(*key).distinct(), key, "left_semi", spread_by=["h_seq", "v_seq"])
+    named = wanted.withColumn("file", F.concat_ws("/", "image_id", F.concat_ws("_", "h_seq", "v_seq"), "level", F.concat("tile", F.lit(f".{fmt}"))))
+    written = write_files(encode_tiles(named, fmt), directory)
+    part = F.split("file", "[/_.]")
+    files = written.select(
+        part[0].cast("long").alias("image_id"), part[3].cast("int").alias("level"), part[4].cast("int").alias("tile"),
+        part[1].cast("int").alias("h_seq"), part[2].cast("int").alias("v_seq"), "file", "bytes",
+    )
+    served = join_side_table(cells, files.distinct(), key, "left", spread_by=spread)
+    served = served.withColumn("error", F.when(c("file").isNull(), F.lit("no such tile")))
+    reason = F.when(c("ntx").isNull(), F.lit("no such level")).otherwise(F.lit("no such tile"))
+    none = sized.where(~F.coalesce(known, F.lit(False))).withColumn("error", reason).drop("ntx")
+    return served.unionByName(none, allowMissingColumns=True)

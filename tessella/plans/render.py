@@ -122,7 +122,7 @@ def image_statistics(tiles: DataFrame, ranges: DataFrame, spaces: DataFrame, sco
     """
     seen = tiles.where("level = 0 AND tile = 0 AND h_seq = 0") if scope == "thumbnail" else tiles
     hist = stats.histogram(join_side_table(seen, ranges, ["image_id"], "inner", spread_by=["tile"]), lo="lo", hi="hi")
-    hist = hist.persist()  # 256 rows per image, used twice
+    hist = kept_once(hist)  # 256 rows per image, used twice
     used = hist.groupBy("image_id").agg(F.min("bin").alias("bin_lo"), F.max("bin").alias("bin_hi"))
     derived = stats.histogram_arrays(hist).join(stats.otsu_threshold(hist), "image_id").join(used, "image_id")
     return ranges.join(spaces, "image_id").join(derived, "image_id", "left")
@@ -185,7 +185,7 @@ def render_key(requests: DataFrame) -> Column:
 def prepare(requests: DataFrame) -> DataFrame:
     """Geometry columns and render key of planned views (see geometry.plan_views).
 
-    The narrow result is cached, because it is read twice: for the distinct renderings and to serve
+    The narrow result is written down, because it is read twice: for the distinct renderings and to serve
     them.  That also keeps its many derived columns out of the optimiser's constraint inference.
     """
     turned = c("rot") % 180 == 90
@@ -216,7 +216,7 @@ def prepare(requests: DataFrame) -> DataFrame:
             "step": F.lit(None).cast("int"),
         }
     )
-    return r.withColumn("render_key", render_key(r)).drop("levels").persist()
+    return kept_once(r.withColumn("render_key", render_key(r)).drop("levels"))
 
 
 def render_regions(requests: DataFrame, tiles: DataFrame, statistics: DataFrame, tile: int, out_tile: int, mode: str = "bilinear", mark: np.ndarray | None = None, probability: float = 1.0) -> DataFrame:

@@ -118,8 +118,8 @@ def _(spark, sf):
     e = fx.table(spark, sf, "events").withColumn("image_id", c("event_id") % count_images(spark, sf))
     e = e.join(_heads(spark, sf).select("image_id", (F.ceil(c("height") / 16) * 4).alias("n")), "image_id")
     r = e.select("event_id", "image_id", F.lit(2).alias("level"), (c("event_id") % c("n")).cast("int").alias("start_tile"), (c("user_id") % c("n")).cast("int").alias("end_tile"))
-    out = EX.render_tile_ranges(r, G.level_geometry(_heads(spark, sf)), stored(spark, sf))
-    return out.where("octet_length(encoded) > 0").select("event_id", "tile")
+    out = EX.render_tile_ranges(r, G.level_geometry(_heads(spark, sf)), stored(spark, sf), _folder(spark, "ranges"))
+    return out.where("bytes > 0 AND error IS NULL").select("event_id", "tile")
 
 
 @query("ingest_stream", "SELECT image_id, y, x, c, v FROM vec8")

@@ -12,6 +12,7 @@ from tessella.operators import logs as L
 from tessella.operators import resample as R
 from tessella.operators import tiles as TI
 from tessella.plans import render as RE
+from tessella.session import kept_once
 from tessella.suite.registry import RELATIONS, query
 from tessella.suite.resampling import grey, sizes
 
@@ -63,7 +64,7 @@ def requests(spark, sf) -> DataFrame:
 
 def stored(spark, sf) -> DataFrame:
     """All levels of the vector images as a tile table."""
-    return R.build_pyramid(grey(spark, sf), fx.TILE).persist()
+    return kept_once(R.build_pyramid(grey(spark, sf), fx.TILE))
 
 
 def statistics(tiles: DataFrame) -> DataFrame:
