@@ -232,6 +232,37 @@ def test_fingerprints(spark, texts, none, per_task):
     assert fingerprints.fingerprints(none, per_task).count() == 0
 
 
+def test_fingerprints_do_not_depend_on_blocks_and_groups(texts, monkeypatch):
+    """Texts by blocks of any size, one at a time included, and sketches that are peeled together or alone."""
+    texts = [*[t or "" for _, t in texts][:60], "", "", " \n", "a b\nc\n" * 3000, "x"]
+    rows = [(len(texts) - i, t, 0) for i, t in enumerate(texts)]
+    whole = fingerprints._compared(rows)
+    assert len(whole) == len(rows) - 1
+    for size in (0, 1, 500, 10**9):
+        monkeypatch.setattr(fingerprints, "BLOCK", size)
+        blocks = list(fingerprints._blocks(rows))
+        assert size != 10**9 or len(blocks) == 1
+        assert [r for b in blocks for r in fingerprints._compared(b)] == whole
+    assert list(fingerprints._blocks([])) == [] and list(fingerprints._blocks(rows[:1])) == [rows[:1]]
+    keys, counts = fingerprints.block_digests(texts)
+    assert [k.tolist() for k in np.split(keys, np.cumsum(counts)[:-1])] == [fingerprints.digests(t).tolist() for t in texts]
+    for (doc, _, _, mark, _, _, near), (_, text, _), (_, after, _) in zip(whole, rows, rows[1:]):
+        a, b = fingerprints.digests(text), fingerprints.digests(after)
+        assert mark == fingerprints.Sketch(fingerprints.CELLS).add(a).text()
+        mine, other = fingerprints.difference(a, b)
+        assert (set(mine.tolist()), set(other.tolist())) == (set(a.tolist()) - set(b.tolist()), set(b.tolist()) - set(a.tolist()))
+        every = len(set(a.tolist()) | set(b.tolist()))
+        assert near == ((every - len(mine) - len(other)) / every if every else 1.0)
+
+
+def test_groups_are_bounded(spark, texts, monkeypatch):
+    table = frame(spark, [(d, t, None, None) for d, t in texts])
+    whole = sorted(fingerprints.fingerprints(table).collect(), key=str)
+    monkeypatch.setattr(fingerprints, "MOST_GROUPS", 3)
+    assert fingerprints._destinations(table, 1)[0] <= 3
+    assert sorted(fingerprints.fingerprints(table, 1).collect(), key=str) == whole
+
+
 def test_fingerprints_of_odd_tables(spark, odd):
     assert Counter(r.doc_id for r in fingerprints.fingerprints(odd, 4).collect()) == Counter(r[0] for r in ODD)
     single = fingerprints.fingerprints(frame(spark, [(None, "a b\nc", None, None)])).collect()
