@@ -23,9 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import BLANK_BYTES, LOWER_BYTES, components, kept, mixed, span_hashes, text_blocks, word_spans
+from tessella.session import join_side_table
 
-#: Members of one hub that are compared in one group, so that a hub's set is sent once to many of them.
-CHUNKS = 16
+#: Partners of one hub that are compared in one group, about.  A hub's set is sent once to each group, and the number
+#: of groups follows the partners.
+PARTNERS = 256
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -56,6 +58,11 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray
                 yield lo + row, hashes[:0]
 
 
+def class_key(values: np.ndarray) -> bytes:
+    """128-bit digest of a shingle set: texts with equal ones are one class."""
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
 def _row_hashes() -> list[Column]:
     """Two hashes that together stand for a row's doc_id and text, nulls included."""
     doc = F.col("doc_id").cast("long")
@@ -77,7 +84,7 @@ def min_max(values: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.n
 
 
 def sketches(docs: DataFrame, words: int, similarity: float, rows: int, miss: float) -> DataFrame:
-    """Per document: doc_id, h and g (``_row_hashes``), n_shingles, cls (number of its class of equal sets; null for an empty set), bands."""
+    """Per document: doc_id, h and g (``_row_hashes``), n_shingles, cls (`class_key` of its set; null for an empty set), bands."""
     bands = band_count(similarity, rows, miss)
     seeds = np.random.default_rng(11)
     count = -(-bands * rows // 2)
@@ -91,7 +98,7 @@ def sketches(docs: DataFrame, words: int, similarity: float, rows: int, miss: fl
             for _, values in shingle_sets(batch.column("text"), words):
                 sizes.append(len(values))
                 if len(values):
-                    classes.append(int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True))
+                    classes.append(class_key(values))
                     marks = min_max(values, factors, shifts)[: bands * rows].reshape(bands, rows)
                     keys = mixed((mixed(marks) * spread).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
                     found.append(keys.view(np.int64))
@@ -101,16 +108,16 @@ def sketches(docs: DataFrame, words: int, similarity: float, rows: int, miss: fl
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("h"), batch.column("g"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists],
+                [batch.column("doc_id"), batch.column("h"), batch.column("g"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), lists],
                 names=["doc_id", "h", "g", "n_shingles", "cls", "bands"],
             )
 
     texts = docs.select(F.col("doc_id").cast("long"), "text", *_row_hashes())
-    return kept(texts.mapInArrow(sketch, "doc_id long, h long, g long, n_shingles long, cls long, bands array<long>"))
+    return kept(texts.mapInArrow(sketch, "doc_id long, h long, g long, n_shingles long, cls binary, bands array<long>"))
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """cls and set (sorted distinct shingle hashes) of the classes in ``wanted`` (cls, doc_id of one member)."""
+    """cls and set (sorted distinct shingle hashes) of the classes in ``wanted`` (cls, h and g of one member)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,19 +127,26 @@ def class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 values.append(found)
             ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)
-            own = [hashlib.blake2b(v.tobytes(), digest_size=8).digest() for v in values]
-            same = pa.array([int.from_bytes(d, "little", signed=True) for d in own], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, same, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["cls", "own", "set"])
+            own = pa.array([class_key(v) for v in values], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, own, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["cls", "own", "set"])
+
+    members = docs.select("text", *_row_hashes())
+    chosen = members.join(wanted, ["h", "g"]).select("cls", "text")
+    # a row that is repeated as a whole brings its set more than once
+    return kept(chosen.mapInArrow(build, "cls binary, own binary, set array<long>").where("cls = own").drop("own").dropDuplicates(["cls"]))
+
 
-    members = docs.select(F.col("doc_id").cast("long").alias("_d"), "text")
-    chosen = members.join(wanted, F.col("_d").eqNullSafe(F.col("doc_id"))).select("cls", "text")
-    # a doc_id that several texts share brings them all; only the text of the class stays
-    return kept(chosen.mapInArrow(build, "cls long, own long, set array<long>").where("cls = own").drop("own").dropDuplicates(["cls"]))
+def parts_of(pairs: DataFrame, partners: int = PARTNERS) -> DataFrame:
+    """``pairs`` (a, b) with part: the partners of one a are dealt into groups of about ``partners``."""
+    pairs = kept(pairs)
+    many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > partners)
+    dealt = join_side_table(pairs, many.select("a", F.ceil(F.col("n") / partners).alias("parts")), ["a"], "left", spread_by=["b"])
+    return dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union.  a's set goes to CHUNKS groups of partners."""
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(CHUNKS)))
+    """The pairs (a, b) with 100 * intersection >= percent * union.  a's set goes to each group of its partners."""
+    pairs = parts_of(pairs)
     hubs = pairs.select("a", "part").distinct().join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a")
     others = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
     both = others.join(hubs, ["a", "part"]).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
@@ -147,16 +161,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     doc_id, component_id is null, and kept is true for rows whose doc_id equals component_id, null included.
     """
     marked = sketches(docs, words, percent / 100, rows, miss)
-    classes = marked.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    entries = classes.select("cls", "doc_id", "n", F.explode("bands").alias("bucket"))
+    member = F.min(F.struct("h", "g")).alias("member")
+    classes = marked.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), member, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    entries = classes.select("cls", "n", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    entries = kept(entries.join(shared, "bucket"))
-    wanted = entries.select("cls", "doc_id").distinct()
-    members = entries.select("bucket", "cls", "n", "size")
+    members = kept(entries.join(shared, "bucket"))
     degree = members.groupBy("cls").agg(F.sum("size").alias("degree"))
     members = kept(members.drop("size").join(degree, "cls"))
     labels = None
     if members.head(1):
+        wanted = classes.join(degree.select("cls"), "cls", "left_semi").select("cls", "member.h", "member.g")
         sets = class_sets(docs, wanted, words)
         order = Window.partitionBy("bucket").orderBy(F.col("degree").desc(), "cls")
         hubs = members.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("bucket", F.col("cls").alias("a"), F.col("n").alias("na"))

@@ -169,6 +169,29 @@ def test_near_duplicates_of_odd_tables(odd, none):
     assert Counter(r.doc_id for r in left.collect()) == {3: 1, 9: 1, None: 1, 11: 1, 12: 1, 13: 1, 7: 1, 20: 1, 21: 1, 5: 1, -4: 1}
 
 
+def test_many_texts_of_one_doc_id(spark):
+    """Rows are found by doc_id and text together, so texts that share an id do not meet each other's classes."""
+    random.seed(4)
+    base = [[f"w{random.randrange(4000)}" for _ in range(40)] for _ in range(60)]
+    rows = [(d, " ".join([*words[:-1], tail])) for words in base for d, tail in ((7, "one"), (None, "two"))]
+    rows += rows[:3]
+    docs = frame(spark, [(d, t, None, None) for d, t in rows])
+    got = neardup.near_duplicates(docs, 3, 85).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 3, 85)
+    marked = neardup.sketches(docs, 3, 0.85, 5, 1e-7)
+    wanted = marked.groupBy("cls").agg(F.min(F.struct("h", "g")).alias("m")).select("cls", "m.h", "m.g")
+    assert neardup.class_sets(docs, wanted, 3).count() == 120
+
+
+def test_groups_of_a_hub_follow_its_partners(spark):
+    pairs = spark.range(5000).select(F.lit(1).alias("a"), (F.col("id") + 10).alias("b")).unionByName(spark.range(30).select(F.lit(2).alias("a"), (F.col("id") + 10).alias("b")))
+    dealt = neardup.parts_of(pairs, 100)
+    assert dealt.count() == 5030
+    sizes = {(r.a, r.part): r["count"] for r in dealt.groupBy("a", "part").count().collect()}
+    assert sum(a == 1 for a, _ in sizes) == 50 and max(sizes.values()) < 200
+    assert sizes[2, 0] == 30
+
+
 # token files
 
 
