@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Side tables up to this many rows and bytes (of their rows as text) are broadcast; above either they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+# Up to so many times these rows and bytes come from repeating a side table per salt.
+SALTED = 8
 
 
 def build_session(app: str = "tessella", master: str | None = None, **conf: str) -> SparkSession:
@@ -70,20 +72,35 @@ def join_side_table(
     """Join a small per-image table to a large tile or request table.
 
     The side table is written down once and measured; nothing stays in the executors' memory.  Up to ``max_rows`` rows and ``max_bytes`` bytes it is broadcast, so the
-    large side does not move.  Above, both sides are hashed on ``on`` plus a salt taken from
-    ``spread_by`` (tile position, say), so that one image holding a third of all tiles is spread
-    over ``spread`` tasks.  The side rows are repeated per salt, the large rows never.
+    large side does not move.  Above, both sides are hashed on ``on``; the plan's own size estimate, which a compressed file or an
+    explode can make far too small, is not asked.  While a few times ``max_rows`` and ``max_bytes`` hold it, the side is repeated per salt
+    taken from ``spread_by`` (tile position, say), at most ``spread`` times; a larger one is moved once, and an image holding
+    many of the tiles is left to the skew rule of adaptive execution.  The large rows are never repeated.
     """
     side = kept_once(side)
     size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{n}`") for n in side.columns])))
     rows, size = side.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     if rows <= max_rows and size <= max_bytes:
         return tiles.join(F.broadcast(side), on, how)
-    if not spread_by:
-        return tiles.join(side, on, how)
-    salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    keyed = tiles.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(spread)).cast("int"))
-    return keyed.join(salted, [*on, "_salt"], how).drop("_salt")
+    copies = min(spread, SALTED * max_rows // max(rows, 1), SALTED * max_bytes // max(size, 1))
+    if not spread_by or copies < 2:
+        return tiles.join(side.hint("merge"), on, how)
+    salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    keyed = tiles.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(copies)).cast("int"))
+    return keyed.join(salted.hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], how: str, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a table of unknown size that is not worth writing down: broadcast if it has up to ``max_rows`` rows and
+    ``max_bytes`` bytes (of its rows as JSON text), else both sides are hashed.
+
+    Only the first ``max_rows`` + 1 rows are counted, and measured only if there are no more.
+    """
+    if table.select(on[0]).limit(max_rows + 1).count() > max_rows:
+        return rows.join(table.hint("merge"), on, how)
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{n}`") for n in table.columns])))
+    size = table.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(table) if size <= max_bytes else table.hint("merge"), on, how)
 
 
 def ship_package(spark: SparkSession) -> None:

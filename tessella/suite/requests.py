@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella import fixtures as fx
 from tessella.operators import cover, logs as L, stats
-from tessella.session import shared_dir
+from tessella.session import join_counted, shared_dir
 from tessella.streaming import demand as D
 from tessella.streaming import ingest as IN
 from tessella.suite.registry import query
@@ -148,7 +148,7 @@ def _(spark, sf):
 def _(spark, sf):
     images = fx.catalogue(spark, sf)
     asked = fx.table(spark, sf, "events").select("event_id", (c("user_id") * 31).alias("image_id"))
-    asked = asked.join(images.select("image_id", c("mtime").alias("m")), "image_id")
+    asked = join_counted(asked, images.select("image_id", c("mtime").alias("m")), ["image_id"], "inner")
     asked = asked.withColumn("since", F.when(c("event_id") % 2 == 0, c("m")).otherwise(F.expr("timestamp'1999-01-01'"))).drop("m")
     return IN.not_modified(asked, images).select("event_id", "image_id", "modified")
 
