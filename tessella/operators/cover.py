@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessella.operators.geometry import int_
 from tessella.operators.tiles import GEOMETRY, regrid
 from tessella.schema import TILE_KEY
-from tessella.session import BROADCAST_BYTES, BROADCAST_ROWS, join_side_table, kept_once
+from tessella.session import BROADCAST_BYTES, BROADCAST_ROWS, join_counted, join_side_table, kept_once
 
 c = F.col
 
@@ -20,16 +20,16 @@ c = F.col
 def attach_image(requests: DataFrame, images: DataFrame, on: str = "image_id") -> DataFrame:
     """Headers for requests; ``error`` marks requests for unknown images.
 
-    The join strategy is left to adaptive execution: a small catalogue is broadcast by measured size,
-    a large one is hashed, and a header wanted by very many requests is split by the skew rule.
+    A catalogue that is counted to be small is broadcast, a large one is hashed, and a header wanted by very many
+    requests is split by the skew rule of adaptive execution.
     """
     found = images.withColumn("_found", F.lit(True))
-    joined = requests.join(found, on, "left")
+    joined = join_counted(requests, found, [on], "left")
     return joined.withColumn("error", F.when(c("_found").isNull(), "image not found")).drop("_found")
 
 
 def missing_images(requests: DataFrame, images: DataFrame, on: str = "image_id") -> DataFrame:
-    return requests.join(images.select(on), on, "left_anti")
+    return join_counted(requests, images.select(on), [on], "left_anti")
 
 
 def attach_level(requests: DataFrame, levels: DataFrame) -> DataFrame:
@@ -190,4 +190,5 @@ def stale_tiles(tiles: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def missing_tiles(wanted: DataFrame, tiles: DataFrame, key: tuple[str, ...] = tuple(TILE_KEY)) -> DataFrame:
-    return wanted.join(tiles.select(*key), [*key], "left_anti")
+    """Wanted keys that the tile table does not have.  Its keys are broadcast only if they are counted to be few."""
+    return join_counted(wanted, tiles.select(*key), [*key], "left_anti")
