@@ -167,12 +167,13 @@ def _plain_tiles(work: DataFrame, tiles: DataFrame, keys: list[str], tile: int)
 
 def with_ranges(work: DataFrame) -> DataFrame:
     """Requests with statistics; the range of a request with MINMAX replaces the image's.  A channel that the image
-    does not have changes nothing."""
+    does not have changes nothing.  Only requests that equalise keep the histogram, 256 numbers a row."""
     number = c("minmax_channel").try_cast("int")
     known = (c("minmax_channel") == "-") | ((number >= 0) & (number < F.size("lo")))
     work = work.withColumn("minmax_channel", F.when(known, c("minmax_channel")))
     lo, hi = color.apply_minmax(c("lo"), c("hi"), c("minmax_channel"), c("minmax_lo"), c("minmax_hi"))
     asked = c("minmax_channel").isNotNull()
+    work = work.withColumn("hist", F.when(c("equalize"), c("hist")))
     return work.withColumns({"lo": F.when(asked, lo).otherwise(c("lo")), "hi": F.when(asked, hi).otherwise(c("hi"))})
 
 
@@ -231,7 +232,8 @@ def render_regions(requests: DataFrame, tiles: DataFrame, statistics: DataFrame,
     whole = is_plain_tile(tile) if sizes and mark is None and tile <= out_tile else F.lit(False)
     plain_tiles = distinct.where(whole)
     distinct = distinct.where(~whole)
-    work = with_ranges(join_side_table(distinct, statistics, ["image_id"], "left", spread_by=["render_key"]))
+    # written down, as both branches and the last join read it
+    work = kept_once(with_ranges(join_side_table(distinct, statistics, ["image_id"], "left", spread_by=["render_key"])))
     carried = [*keys, *OPS, *IMAGE, "hist"]
     plain = work.where("kernel IS NULL")
     out = get_region(plain, tiles, keys, tile, tile, out_tile, mode, pixel_stage, _USE)
