@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import pixelops as P
-from tessella.operators.tiles import map_blocks
+from tessella.operators.tiles import map_blocks, runs
 from tessella.schema import FIXED
 
 
@@ -124,7 +124,7 @@ def unpack_samples(tiles: DataFrame, min_is_white: bool | Column = False) -> Dat
     white = min_is_white if isinstance(min_is_white, Column) else F.lit(min_is_white)
 
     def run(batches):
-        for batch in batches:
+        for batch in runs(batches):
             depths, blocks = [], []
             for r in batch.select(["width", "height", "channels", "bpc", "data", "_white"]).to_pylist():
                 if r["bpc"] in (8, 16, 32, 64):

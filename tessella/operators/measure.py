@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.cover import join_stack
-from tessella.operators.tiles import block_of
+from tessella.operators.tiles import block_of, runs
 from tessella.schema import FIXED
 from tessella.session import join_side_table
 
@@ -48,7 +48,7 @@ def sample_tiles(points: DataFrame, tiles: DataFrame) -> DataFrame:
     source = joined.select(*fields, "spots", "width", "height", "channels", "bpc", "sample_type", "data")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches):
             index, xs, ys, cs, vs, depths, kinds = [], [], [], [], [], [], []
             for i, row in enumerate(batch.to_pylist()):
                 block = block_of(row)

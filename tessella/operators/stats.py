@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import pixelops
-from tessella.operators.tiles import block_of, map_blocks
+from tessella.operators.tiles import block_of, map_blocks, runs
 from tessella.schema import VERSION_KEY
 from tessella.session import join_side_table
 
@@ -34,7 +34,7 @@ def histogram(tiles: DataFrame, key: str = "image_id", lo: str | None = None, hi
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict = {}
-            for row in batch.to_pylist():
+            for row in (row for part in runs([batch]) for row in part.to_pylist()):
                 block = block_of(row)
                 if row["bpc"] > 8:
                     block = pixelops.contrast(pixelops.normalize(block, row[lo], row[hi]), 1.0)
@@ -66,7 +66,7 @@ def data_range(tiles: DataFrame, key: str = "image_id") -> DataFrame:
     key_type = tiles.schema[key].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches):
             keys, channel, low, high = [], [], [], []
             for i, row in enumerate(batch.to_pylist()):
                 block = block_of(row)
@@ -175,9 +175,21 @@ def binarize(tiles: DataFrame, thresholds: DataFrame, key: str = "image_id") ->
 
 
 def tile_counts(levels: DataFrame) -> DataFrame:
-    """Tiles per image and level, with image and grand totals."""
+    """Tiles per image and level, with image and grand totals.
+
+    Levels are dealt by image and summed once; images are summed from that and the total from the images, so no task
+    has three groups of every level of a whole file split.
+    """
+    n = levels.sparkSession.conf.get("spark.sql.shuffle.partitions")
     tiles = F.col("ntx").cast("long") * F.col("nty")
-    return levels.rollup("image_id", "level").agg(F.sum(tiles).alias("n_tiles"))
+    dealt = levels.select("image_id", "level", tiles.alias("n_tiles")).repartition(int(n), "image_id")
+    per_level = dealt.groupBy("image_id", "level").agg(F.sum("n_tiles").alias("n_tiles"))
+    per_image = per_level.groupBy("image_id").agg(F.sum("n_tiles").alias("n_tiles"))
+    total = per_image.agg(F.sum("n_tiles").alias("n_tiles"), F.count("*").alias("_n")).where("_n > 0").drop("_n")
+    none = lambda name: F.lit(None).cast(levels.schema[name].dataType).alias(name)
+    return per_level.unionByName(per_image.withColumn("level", none("level"))).unionByName(
+        total.withColumns({"image_id": none("image_id"), "level": none("level")})
+    )
 
 
 def latest_tile(tiles: DataFrame, key: tuple[str, ...] = tuple(VERSION_KEY)) -> DataFrame:

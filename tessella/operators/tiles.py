@@ -27,6 +27,19 @@ def _ddl(schema: T.StructType, drop: tuple[str, ...] = ()) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name not in drop)
 
 
+#: Rows of an Arrow batch are worked on in runs of about so many bytes.
+INPUT_BYTES = 2 << 20
+
+
+def runs(batches: Iterator[pa.RecordBatch], limit: int = INPUT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of about ``limit`` bytes, so that what Python holds beside a batch does not grow with its
+    rows; results are handed on run by run."""
+    for batch in batches:
+        step = max(1, batch.num_rows * limit // max(batch.nbytes, 1))
+        for lo in range(0, batch.num_rows, step):
+            yield batch.slice(lo, step)
+
+
 def block_of(row: dict) -> np.ndarray:
     return to_block(row["data"], row["height"], row["width"], row["channels"], row["bpc"], row["sample_type"])
 
@@ -41,7 +54,7 @@ def map_blocks(tiles: DataFrame, fn: BlockFn, using: tuple[str, ...] = (), drop:
     read = [*_SHAPE, *[u for u in using if u not in _SHAPE]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches):
             rows = batch.select(read).to_pylist()
             out = {k: [] for k in _SHAPE}
             for row in rows:
@@ -67,7 +80,7 @@ def tiles_to_pixels(tiles: DataFrame, tile_w: int, tile_h: int, keys: tuple[str,
     source = tiles.select(*keys, "tx", "ty", *_SHAPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches):
             for i, row in enumerate(batch.to_pylist()):
                 block = block_of(row)
                 h, w, c = block.shape
@@ -117,7 +130,7 @@ def pixels_to_tiles(
     schema = _ddl(grouped.select(*keep).schema) + ", channels int, bpc int, sample_type string, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches):
             lists = batch.column(batch.schema.get_field_index("s"))
             offsets = lists.offsets.to_numpy()
             place_all = lists.values.field(0).to_numpy()
@@ -275,7 +288,7 @@ def regrid(
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         empty = [f"key {k}" for k in changed] + names[len(keys) :]
-        for batch in batches:
+        for batch in runs(batches):
             taken, cells, size = [], {k: [] for k in empty}, 0
             moves = ((i, block_of(row), row, change) for i, row in enumerate(batch.to_pylist()) for change in (row[each] if each else [{}]))
             for i, block, row, change in moves:
@@ -322,7 +335,7 @@ def assemble(pieces: DataFrame, keys: list[str], tile_w: int, tile_h: int, add:
     names = [f.name for f in fields]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches):
             blocks = []
             for row in batch.to_pylist():
                 dtype = dtype_of(row["bpc"], row["sample_type"])
@@ -382,7 +395,7 @@ def with_halo(tiles: DataFrame, radius: int, keys: list[str]) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick = {-1: slice(0, radius), 0: slice(None), 1: slice(-radius, None)}
-        for batch in batches:
+        for batch in runs(batches):
             out = {k: [] for k in names[len(keys) :]}
             index = []
             for i, row in enumerate(batch.to_pylist()):
@@ -463,7 +476,7 @@ def rim_strips(tiles: DataFrame, radius: int, keys: list[str], side: int = BLOCK
     kept = {*keys, "channels", "bpc", "sample_type"}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches):
             if with_tiles:
                 none = pa.nulls(batch.num_rows, pa.int32())
                 yield pa.RecordBatch.from_arrays([*batch.columns, none, none], names=[f.name for f in fields])
