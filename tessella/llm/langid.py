@@ -9,7 +9,7 @@ N-grams are hashed into ``SIZE`` places.  Fitting takes at most ``per_class`` te
 hashed order of doc_id); what comes to the driver are their presence bits, SIZE / 8 bytes a text, not the texts.
 
 A decision is trusted if its margin, the lead over the next language, reaches a bound that depends on the size of the
-text.  Bounds are measured on held-out texts that were decided as labelled, and on their beginnings for short texts.
+text.  Bounds are measured on all held-out texts that were decided as labelled, and on their beginnings for short texts.
 """
 
 from __future__ import annotations
@@ -138,22 +138,56 @@ class Model:
         return stay, out
 
 
-def measured(margins: list[float], sizes: list[int]) -> np.ndarray | None:
-    """Bounds by size class from the margins of clean texts: ENOUGH of their RARE quantile.  A class with fewer than
-    LEAST texts has the bound of the next smaller one, whose margins are lower; with none such it has no bound."""
-    if len(margins) < LEAST:
+def measured(found: dict[int, tuple[int, float]]) -> np.ndarray | None:
+    """Bounds by size class from the number of clean margins of each and their RARE quantile, ENOUGH of it.  A class with
+    fewer than LEAST margins has the bound of the next smaller one, whose margins are lower; with none such it has no bound."""
+    if sum(n for n, _ in found.values()) < LEAST:
         return None
-    found, of = np.array(margins), np.array(sizes)
     bounds, last = np.full(int(_size_class(np.array(SIZE))) + 1, -np.inf), -np.inf
     for size in range(len(bounds)):
-        own = found[of == size]
-        if len(own) >= LEAST:
-            low = float(np.quantile(own, RARE))
+        n, low = found.get(size, (0, 0.0))
+        if n >= LEAST:
             last = ENOUGH * low if low > 0 else -np.inf
         bounds[size] = last
     return bounds
 
 
+def rare_margins(margins: DataFrame) -> dict[int, tuple[int, float]]:
+    """size -> (rows, RARE quantile of margin), exact over all rows (margin, size).
+
+    Equal margins are counted once.  The driver gets counts of narrow bins (at most 32,768 of a size), then the values at
+    the two ranks wanted of each size, which are found inside their bins.
+    """
+    place = F.floor(F.greatest(F.least("margin", F.lit(16.0)), F.lit(-16.0)) * 1024).cast("int")
+    counted = kept(margins.groupBy("size", "margin").agg(F.count("*").alias("n")).withColumn("bin", place))
+    rows: dict[int, int] = {}
+    ranks: list[tuple[int, int, int, int]] = []  # size, bin, rank in the bin, rank
+    bins: dict[int, list] = {}
+    for r in counted.groupBy("size", "bin").agg(F.sum("n").alias("n")).orderBy("size", "bin").collect():
+        bins.setdefault(r["size"], []).append((r["bin"], r["n"]))
+    for size, own in bins.items():
+        rows[size] = sum(n for _, n in own)
+        first = int((rows[size] - 1) * RARE)
+        for rank in {first, min(first + 1, rows[size] - 1)}:
+            before = 0
+            for place_, n in own:
+                if before + n > rank:
+                    ranks.append((size, place_, rank - before, rank))
+                    break
+                before += n
+    if not ranks:
+        return {}
+    asked = margins.sparkSession.createDataFrame(ranks, "size int, bin int, inside long, rank long")
+    upto = F.sum("n").over(Window.partitionBy("size", "bin").orderBy("margin"))
+    near = counted.join(F.broadcast(asked.select("size", "bin").distinct()), ["size", "bin"], "left_semi").withColumn("upto", upto)
+    at = near.join(F.broadcast(asked), ["size", "bin"]).where((F.col("upto") > F.col("inside")) & (F.col("upto") - F.col("n") <= F.col("inside")))
+    values: dict[int, list] = {}
+    for r in at.select("size", "rank", "margin").orderBy("size", "rank").collect():
+        values.setdefault(r["size"], []).append(r["margin"])
+    part = lambda n: (n - 1) * RARE - int((n - 1) * RARE)
+    return {size: (n, float(np.quantile(values[size], part(n)))) for size, n in rows.items()}
+
+
 def unpacked(bits: np.ndarray) -> np.ndarray:
     """Presences as unit vectors (rows, SIZE) from packed bits (rows, SIZE / 8)."""
     found = np.unpackbits(bits, axis=1).astype(np.float32)
@@ -230,23 +264,22 @@ def fit(docs: DataFrame, per_class: int = 400, landmarks: int = 160, ridge: floa
     return regression(bits, [r["lang"] for r in rows], landmarks, ridge)
 
 
-def with_bounds(docs: DataFrame, model: Model, per_class: int = 400) -> Model:
-    """``model`` with bounds from at most ``per_class`` held-out texts of each language."""
+def with_bounds(docs: DataFrame, model: Model) -> Model:
+    """``model`` with bounds from all held-out texts that have a language."""
     if not model.labels:
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            pairs = [(t, lang) for t, lang in zip(batch.column("text").to_pylist(), batch.column("_lang").to_pylist(), strict=True) if t]
+            pairs = [(t, lang) for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True) if t]
             pairs += [(t[:n], lang) for t, lang in pairs for n in BEGINNINGS if len(t) > n]
             pairs = [(t, lang) for t, lang in pairs if _LETTER.search(t)]
             clean = [(margin, size) for (_, lang), (name, margin, size) in zip(pairs, shared.value.margins([t for t, _ in pairs]), strict=True) if name == lang]
             yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in clean], pa.float64()), pa.array([s for _, s in clean], pa.int32())], names=["margin", "size"])
 
-    near = _texts(docs, _chosen(docs.where(held_out()), per_class), per_class)
-    rows = near.mapInArrow(look, "margin double, size int").collect()
-    return replace(model, bounds=measured([r["margin"] for r in rows], [r["size"] for r in rows]))
+    labelled = docs.where(held_out() & F.col("lang").isNotNull()).select("text", "lang")
+    return replace(model, bounds=measured(rare_margins(labelled.mapInArrow(look, "margin double, size int"))))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
