@@ -3,8 +3,10 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tessella.operators import geometry as G
 from tessella.operators import stats
 from tessella.operators.tiles import INPUT_BYTES, runs
+from tessella.plans import export
 
 
 def test_runs_are_bounded_and_whole():
@@ -23,3 +25,15 @@ def test_tile_counts_sum_totals_from_totals(spark):
     assert sorted(map(tuple, out.collect()), key=lambda r: [str(v) for v in r]) == sorted(map(tuple, want.collect()), key=lambda r: [str(v) for v in r])
     assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
     assert stats.tile_counts(levels.where("false")).count() == 0
+
+
+def test_tile_paths_go_by_runs_of_tiles(spark, monkeypatch):
+    heads = spark.createDataFrame([(1, "a.tif", 1000, 700), (2, "b.tif", 90, 5000)], "image_id long, path string, width int, height int")
+    images = G.with_pyramid(heads, 16, 16)
+    every = lambda: sorted(map(tuple, export.tile_paths(images).collect()))
+    whole = every()
+    n = G.level_geometry(images).selectExpr("sum(ntx * nty)").first()[0]
+    assert len(whole) == len(set(whole)) == n
+    assert all(r[4] == r[3] * ntx + r[2] for r in whole for ntx in [-(-(1000 if r[0] == 1 else 90) // 16)] if r[1] == max(q[1] for q in whole if q[0] == r[0]))
+    monkeypatch.setattr(export, "RUN", 7)
+    assert every() == whole
