@@ -46,3 +46,12 @@ def test_a_wide_catalogue_is_measured(spark):
     rows = spark.range(10).select(F.col("id").alias("image_id"))
     assert "BroadcastHashJoin" in plan(session.join_counted(rows, wide, ["image_id"], "left"))
     assert "Broadcast" not in plan(session.join_counted(rows, wide, ["image_id"], "left", max_bytes=50_000))
+
+
+def test_histograms_go_with_requests_that_equalise(spark):
+    from tessella.plans.render import with_ranges
+
+    work = spark.createDataFrame([(1, True), (2, False)], "k int, equalize boolean").selectExpr(
+        "*", "array(1L, 2L) AS hist", "array(0D) AS lo", "array(255D) AS hi", "cast(null as string) AS minmax_channel", "cast(null as double) AS minmax_lo", "cast(null as double) AS minmax_hi"
+    )
+    assert {r.k: r.hist for r in with_ranges(work).collect()} == {1: [1, 2], 2: None}
