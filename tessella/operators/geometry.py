@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.constants import MAX_SIZE
-from tessella.functions.kernels import leading_integer, leading_number
+from tessella.functions.kernels import leading_integer, leading_number, matched_number
 
 # Smallest float32 step above 1; keeps floor() from falling short of a whole number.
 EPSILON = 1.1920929e-07
@@ -278,15 +278,16 @@ def with_iiif_region(df: DataFrame, text: str = "region", width: str = "width",
     def pick(a: float, b: Column, v: Column) -> Column:
         return F.when(full, a).when(square, b).when(~c("_bad"), clip01(v))
 
-    return step.withColumns(
-        {
-            "region_x": pick(0.0, (1 - c("_sw")) / 2, c("_x")),
-            "region_y": pick(0.0, (1 - c("_sh")) / 2, c("_y")),
-            "region_w": pick(1.0, c("_sw"), c("_w")),
-            "region_h": pick(1.0, c("_sh"), c("_h")),
-            "region_error": F.when(~full & ~square & c("_bad"), "incorrect region"),
-        }
-    ).drop("_t", "_pct", "_p", "_x", "_y", "_w", "_h", "_sw", "_sh", "_bad")
+    found = {
+        "region_x": pick(0.0, (1 - c("_sw")) / 2, c("_x")),
+        "region_y": pick(0.0, (1 - c("_sh")) / 2, c("_y")),
+        "region_w": pick(1.0, c("_sw"), c("_w")),
+        "region_h": pick(1.0, c("_sh"), c("_h")),
+        "region_error": F.when(~full & ~square & c("_bad"), "incorrect region"),
+    }
+    # out of an array of one struct: a filter on the results stays above, else the optimiser puts the whole parse, every step
+    # repeated for each use, into the filter and into the condition of a join below
+    return step.select(*[n for n in df.columns if n not in found], F.inline(F.array(F.struct(*[v.alias(k) for k, v in found.items()]))))
 
 
 def with_iiif_size(df: DataFrame, text: str = "size", version: int = 3, max_size: int = MAX_SIZE) -> DataFrame:
@@ -307,9 +308,9 @@ def with_iiif_size(df: DataFrame, text: str = "size", version: int = 3, max_size
     step = step.withColumns({"_b": F.regexp_replace("_t", "^!", ""), "_ratio": c("_rw") / c("_rh")})
     step = step.withColumns(
         {
-            "_pct": F.regexp_extract("_t", r"^pct:\s*([+-]?\d*\.?\d+)", 1).try_cast("double"),
-            "_head": F.regexp_extract("_b", r"^(\d+)[^,]*,", 1).try_cast("double"),
-            "_tail": F.regexp_extract("_b", r"^[^,]*,(\d+)", 1).try_cast("double"),
+            "_pct": matched_number(c("_t"), r"^pct:\s*([+-]?\d*\.?\d+)"),
+            "_head": matched_number(c("_b"), r"^(\d+)[^,]*,"),
+            "_tail": matched_number(c("_b"), r"^[^,]*,(\d+)"),
         }
     )
     full, is_pct, bang = c("_t").isin("full", "max"), c("_t").startswith("pct:"), c("_t").startswith("!")
