@@ -116,7 +116,8 @@ def join_wanted(wanted: DataFrame, tiles: DataFrame, keys: list[str], max_rows:
     tile and request, so that one wide region or one much wanted tile is the work of many tasks.
     """
     on_curve = "curve" in tiles.columns
-    places = kept_once(wanted.withColumn("curve", curve(c("tx"), c("ty"))).groupBy(*TILE_KEY, "curve").agg(F.count("*").alias("n")))
+    grouped = wanted.groupBy(*TILE_KEY, "tx", "ty").agg(F.count("*").alias("n"))
+    places = kept_once(grouped.select(*TILE_KEY, curve(c("tx"), c("ty")).alias("curve"), "n"))  # a key per place, not per wanted row
     count, rows = places.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     wanted = wanted.drop("tx", "ty")
     small = rows <= min(max_rows, FAN_OUT * count)

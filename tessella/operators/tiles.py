@@ -7,6 +7,7 @@ whole image.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,20 @@ def runs(batches: Iterator[pa.RecordBatch], limit: int = INPUT_BYTES) -> Iterato
             yield batch.slice(lo, step)
 
 
+def listed(column: pa.Array) -> list:
+    """The values of a column as Python ones; whole numbers and booleans without nulls go by NumPy, which makes them much faster."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    plain = pa.types.is_integer(column.type) or pa.types.is_boolean(column.type)
+    return column.to_numpy(zero_copy_only=False).tolist() if plain and not column.null_count else column.to_pylist()
+
+
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, as ``to_pylist`` gives them."""
+    names = batch.schema.names
+    return (dict(zip(names, row)) for row in zip(*map(listed, batch.columns)))
+
+
 def block_of(row: dict) -> np.ndarray:
     return to_block(row["data"], row["height"], row["width"], row["channels"], row["bpc"], row["sample_type"])
 
@@ -73,27 +88,44 @@ def map_blocks(tiles: DataFrame, fn: BlockFn, using: tuple[str, ...] = (), drop:
     return tiles.mapInArrow(run, T.StructType(fields))
 
 
+#: Pixel rows are handed on in batches of about so many, made of several tiles where tiles are small.
+PIXELS = 1 << 17
+
+
 def tiles_to_pixels(tiles: DataFrame, tile_w: int, tile_h: int, keys: tuple[str, ...] = tuple(PLANE_KEY)) -> DataFrame:
-    """Pixel view of a tile table: one row per sample.  Narrow; for joins with SQL and for checks."""
+    """Pixel view of a tile table: one row per sample.  Narrow; for joins with SQL and for checks.
+
+    Tiles of one shape are unfolded together.
+    """
     key_types = {f.name: f.dataType.simpleString() for f in tiles.schema}
     schema = ", ".join(f"{k} {key_types[k]}" for k in keys) + ", y int, x int, c int, v double"
     source = tiles.select(*keys, "tx", "ty", *_SHAPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches):
-            for i, row in enumerate(batch.to_pylist()):
-                block = block_of(row)
-                h, w, c = block.shape
-                ys, xs, cs = np.indices((h, w, c), dtype=np.int32).reshape(3, -1)
-                size = h * w * c
-                columns = [pa.repeat(batch.column(k)[i], size) for k in range(len(keys))]
-                columns += [
-                    pa.array(ys + np.int32(row["ty"] * tile_h)),
-                    pa.array(xs + np.int32(row["tx"] * tile_w)),
-                    pa.array(cs),
-                    pa.array(block.reshape(-1).astype(np.float64)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "y", "x", "c", "v"])
+            value = {n: listed(batch.column(batch.schema.get_field_index(n))) for n in ("tx", "ty", *_SHAPE)}
+            alike: dict[tuple, list[int]] = {}
+            for i, shape in enumerate(zip(*(value[n] for n in _SHAPE[:-1]))):
+                alike.setdefault(shape, []).append(i)
+            for (w, h, c, bpc, kind), index in alike.items():
+                step = max(1, PIXELS // max(h * w * c, 1))
+                for lo in range(0, len(index), step):
+                    yield made(batch, value, index[lo : lo + step], (h, w, c), dtype_of(bpc, kind))
+
+    def made(batch: pa.RecordBatch, value: dict[str, list], index: list[int], shape: tuple[int, ...], dtype: np.dtype) -> pa.RecordBatch:
+        """The samples of some tiles of one shape."""
+        size, n = int(np.prod(shape)), len(index)
+        data = [value["data"][i] for i in index]
+        if any(len(d) != size * dtype.itemsize for d in data):
+            raise ValueError(f"a tile of {shape} {dtype} samples has other bytes")
+        whole = pa.array(np.repeat(index, size))
+        columns = [batch.column(k).take(whole) for k in range(len(keys))]
+        y, x, c = np.indices(shape, dtype=np.int32).reshape(3, -1)
+        for at, tile, name in ((y, tile_h, "ty"), (x, tile_w, "tx")):
+            start = pa.array([value[name][i] * tile for i in index], pa.int32()).to_numpy()
+            columns.append(pa.array((start[:, None] + at).reshape(-1)))
+        columns += [pa.array(np.tile(c, n)), pa.array(np.frombuffer(b"".join(data), dtype).astype(np.float64))]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, "y", "x", "c", "v"])
 
     return source.mapInArrow(run, schema)
 
@@ -215,9 +247,32 @@ def _window(block: np.ndarray, row: dict, x0: int, y0: int) -> tuple[np.ndarray,
     return block[top : max(bottom, top), left : max(right, left)], x0 + left, y0 + top
 
 
+def axis_cuts(start: int, cells: int, win: int, length: int, flip: bool, out: int) -> list[tuple[int, int, slice]]:
+    """One axis of a window that keeps its size: (output tile, place in it, source cells) of every output tile
+    that the source cells ``start..start + cells`` touch.  What `axis_taps` gives there, without a position per sample."""
+    lo, hi = max(start - win, 0), min(start + cells - win, length)
+    first, last = (length - hi, length - lo) if flip else (lo, hi)
+    cuts = []
+    for t in range(first // out, (last - 1) // out + 1) if first < last else ():
+        a, b = max(first, t * out), min(last, (t + 1) * out)
+        base = length - b if flip else a
+        cuts.append((t, a - t * out, slice(base + win - start, base + b - a + win - start)))
+    return cuts
+
+
 def _pieces(row: dict, block: np.ndarray, x0: int, y0: int, out_w: int, out_h: int, linear: bool):
     """Cut a source block that starts at (x0, y0) into (out_tx, out_ty, oy, ox, block) for the output grid."""
     h, w, _ = block.shape
+    if not linear and not row["step"] and row["dst_w"] == row["src_w"] and row["dst_h"] == row["src_h"]:
+        across, down = (out_h, out_w) if row["transpose"] else (out_w, out_h)
+        cuts_x = axis_cuts(x0, w, row["src_x"], row["src_w"], row["flip_x"], across)
+        for ty, oy, rows in axis_cuts(y0, h, row["src_y"], row["src_h"], row["flip_y"], down):
+            for tx, ox, cols in cuts_x:
+                part = block[rows, cols]
+                part = part[:, ::-1] if row["flip_x"] else part
+                part = part[::-1] if row["flip_y"] else part
+                yield (ty, tx, ox, oy, part.transpose(1, 0, 2)) if row["transpose"] else (tx, ty, oy, ox, part)
+        return
     ox, sx, wx = axis_taps(x0, x0 + w, row["src_x"], row["src_w"], row["dst_w"], row["step"], linear)
     oy, sy, wy = axis_taps(y0, y0 + h, row["src_y"], row["src_h"], row["dst_h"], row["step"], linear)
     if not len(ox) or not len(oy):
@@ -278,8 +333,8 @@ def regrid(
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"sample_type": pa.string(), "data": pa.binary()}
 
-        def made(batch: pa.RecordBatch, taken: list[int], cells: dict[str, list]) -> pa.RecordBatch:
-            index = pa.array(taken, pa.int64())
+        def made(batch: pa.RecordBatch, taken: list[int], pieces: list[tuple]) -> pa.RecordBatch:
+            index, cells = pa.array(taken, pa.int64()), dict(zip(made_names, zip(*pieces) if pieces else [[]] * len(made_names)))
             columns = []
             for k in keys:
                 own = batch.column(batch.schema.get_field_index(k))
@@ -287,12 +342,12 @@ def regrid(
             columns += [pa.array(cells[k], types.get(k, pa.int32())) for k in names[len(keys) :]]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        empty = [f"key {k}" for k in changed] + names[len(keys) :]
+        made_names = [f"key {k}" for k in changed] + names[len(keys) :]
         for batch in runs(batches):
-            taken, cells, size = [], {k: [] for k in empty}, 0
-            moves = ((i, block_of(row), row, change) for i, row in enumerate(batch.to_pylist()) for change in (row[each] if each else [{}]))
+            taken, pieces, size = [], [], 0
+            moves = ((i, block_of(row), row, change) for i, row in enumerate(rows_of(batch)) for change in (row[each] if each else [None]))
             for i, block, row, change in moves:
-                row = {**row, **change}
+                row = {**row, **change} if change else row
                 x0, y0 = row["tx"] * tile_w, row["ty"] * tile_h
                 if before is not None:
                     if row["step"] is None:
@@ -307,13 +362,12 @@ def regrid(
                     bpc, kind = type_of(part)
                     taken.append(i)
                     place = (w, h, tx, ty, oy, ox, part.shape[0], part.shape[1], part.shape[2], bpc, kind, to_bytes(part))
-                    for key, value in zip(empty, (*[row[k] for k in changed], *place), strict=True):
-                        cells[key].append(value)
+                    pieces.append((*[row[k] for k in changed], *place) if changed else place)
                     size += part.nbytes
                     if size > OUTPUT_BYTES:
-                        yield made(batch, taken, cells)
-                        taken, cells, size = [], {k: [] for k in cells}, 0
-            yield made(batch, taken, cells)
+                        yield made(batch, taken, pieces)
+                        taken, pieces, size = [], [], 0
+            yield made(batch, taken, pieces)
 
     pieces = source.mapInArrow(scatter, schema)
     return assemble(pieces, keys, out_tile_w, out_tile_h, add=linear)
@@ -337,12 +391,16 @@ def assemble(pieces: DataFrame, keys: list[str], tile_w: int, tile_h: int, add:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches):
             blocks = []
-            for row in batch.to_pylist():
-                dtype = dtype_of(row["bpc"], row["sample_type"])
-                block = np.zeros((row["height"], row["width"], row["channels"]), dtype)
-                for p in row["parts"]:
-                    part = np.frombuffer(p["data"], dtype).reshape(p["ph"], p["pw"], row["channels"])
-                    area = block[p["oy"] : p["oy"] + p["ph"], p["ox"] : p["ox"] + p["pw"]]
+            lists = batch.column(batch.schema.get_field_index("parts"))
+            ends = lists.offsets.to_numpy()
+            cells = zip(*map(listed, lists.values.slice(ends[0], ends[-1] - ends[0]).flatten()))
+            own = batch.select(["height", "width", "channels", "bpc", "sample_type"])
+            for count, (height, width, channels, bpc, kind) in zip(np.diff(ends).tolist(), zip(*map(listed, own.columns))):
+                dtype = dtype_of(bpc, kind)
+                block = np.zeros((height, width, channels), dtype)
+                for oy, ox, ph, pw, data in islice(cells, count):
+                    part = np.frombuffer(data, dtype).reshape(ph, pw, channels)
+                    area = block[oy : oy + ph, ox : ox + pw]
                     if add:
                         area += part
                     else:

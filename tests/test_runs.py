@@ -1,12 +1,16 @@
 """Batches are worked on in runs of bounded size; tile counts without an expanded row for every total."""
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import geometry as G
 from tessella.operators import stats
+from tessella.operators import tiles as TI
 from tessella.operators.tiles import INPUT_BYTES, runs
 from tessella.plans import export
+from tests import rasters
 
 
 def test_runs_are_bounded_and_whole():
@@ -37,3 +41,61 @@ def test_tile_paths_go_by_runs_of_tiles(spark, monkeypatch):
     assert all(r[4] == r[3] * ntx + r[2] for r in whole for ntx in [-(-(1000 if r[0] == 1 else 90) // 16)] if r[1] == max(q[1] for q in whole if q[0] == r[0]))
     monkeypatch.setattr(export, "RUN", 7)
     assert every() == whole
+
+
+class Caught:
+    """Stands in for a tile table and gives the function that `mapInArrow` gets."""
+
+    def __init__(self, schema):
+        self.schema = schema
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_pixels_of_small_tiles_share_batches(spark, monkeypatch):
+    table = spark.createDataFrame([], "k long, tx int, ty int, width int, height int, channels int, bpc int, sample_type string, data binary")
+    rng = np.random.default_rng(3)
+    rows = [(i % 9 if i % 7 else None, i % 5, i // 5, *((3, 2, 1, 16) if i % 3 else (2, 2, 2, 8)), "FIXEDPOINT") for i in range(300)]
+    data = [rng.integers(0, 256, w * h * n * bpc // 8).astype("u1").tobytes() for _, _, _, w, h, n, bpc, _ in rows]
+    batch = pa.table({n: v for n, v in zip(table.columns, [*zip(*rows), data])}).to_batches()[0]
+    run = TI.tiles_to_pixels(Caught(table.schema), 8, 8, keys=("k",))
+    want = []
+    for (k, tx, ty, w, h, n, bpc, _), d in zip(rows, data):
+        block = np.frombuffer(d, "<u2" if bpc == 16 else "u1").reshape(h, w, n)
+        want += [(k, ty * 8 + y, tx * 8 + x, b, float(block[y, x, b])) for y in range(h) for x in range(w) for b in range(n)]
+    order = lambda r: str(r)
+    got = list(run([batch]))
+    assert len(got) == 2  # one for each shape
+    assert sorted((tuple(r.values()) for g in got for r in g.to_pylist()), key=order) == sorted(want, key=order)
+    monkeypatch.setattr(TI, "PIXELS", 100)
+    parts = list(run([batch]))
+    assert max(p.num_rows for p in parts) <= 100 and sum(p.num_rows for p in parts) == len(want)
+    with pytest.raises(ValueError):
+        list(run([batch.set_column(8, "data", pa.array([b"x"] * 300))]))
+
+
+def test_windows_that_keep_their_size_need_no_position_per_sample(monkeypatch):
+    rng = np.random.default_rng(4)
+    expected, cases = [], []
+    for _ in range(500):
+        start, cells, win, length, out = (int(v) for v in (rng.integers(0, 30), rng.integers(1, 9), rng.integers(0, 30), rng.integers(0, 30), rng.integers(1, 12)))
+        at, source, _ = TI.axis_taps(start, start + cells, win, length, length, None, False) if length else ([], [], [])
+        for flip in (False, True):
+            pairs = sorted((length - 1 - int(o) if flip else int(o), int(s) - start) for o, s in zip(at, source))
+            cases.append((start, cells, win, length, flip, out))
+            expected.append(pairs)
+    monkeypatch.setattr(TI, "axis_taps", None)
+    for case, pairs in zip(cases, expected):
+        made = []
+        for t, place, cut in TI.axis_cuts(*case):
+            cells = range(cut.start, cut.stop)[:: -1 if case[4] else 1]
+            made += [(t * case[5] + place + i, s) for i, s in enumerate(cells)]
+        assert sorted(made) == pairs
+    block = rasters.random_image(5, 8, 8)
+    row = {"src_x": 2, "src_y": 3, "src_w": 4, "src_h": 2, "dst_w": 4, "dst_h": 2, "step": None, "flip_x": True, "flip_y": False, "transpose": True}
+    (tx, ty, oy, ox, part), = TI._pieces(row, block, 0, 0, 16, 16, False)
+    assert (tx, ty, oy, ox) == (0, 0, 0, 0) and (part == block[3:5, 2:6][:, ::-1].transpose(1, 0, 2)).all()
