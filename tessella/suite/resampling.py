@@ -62,7 +62,7 @@ def _(spark, sf):
         c("doc_id").alias("image_id"), F.lit(64).alias("img_w"), F.ceil(F.octet_length(F.encode("text", "UTF-8")) / 64).cast("int").alias("img_h")
     )
     out = R.retile(R.sized(fx.text_tiles(spark, sf), docs), fx.TEXT_WIDTH, 48)
-    return summed(TI.tiles_to_pixels(out, 48, 48), "image_id")
+    return summed(TI.tiles_to_pixels(out, 48, 48, keys=("image_id",)), "image_id")
 
 
 @query("build_pyramid", """WITH l AS (SELECT image_id, w, h, unnest(range(0, CASE WHEN h > 32 OR w > 32 THEN 3 ELSE 2 END)) AS k FROM vec_size)
