@@ -17,36 +17,41 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from tessella.llm import langid, mixing, neardup, packing, pii  # noqa: E402
 from tessella.llm.common import new_folder, table  # noqa: E402
 from tessella.llm.queries import vocabulary  # noqa: E402
-from tessella.session import ship_package  # noqa: E402
+from tessella.session import bound_batches, ship_package  # noqa: E402
+
+
+def _prepare(spark: SparkSession) -> None:
+    ship_package(spark)
+    bound_batches(spark)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language, which is written into ``lang``; what has no letter or no clear language goes."""
-    ship_package(spark)
+    _prepare(spark)
     return langid.of_known_language(docs, langid.with_bounds(docs, langid.fit(docs)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more over five-word shingles: the smallest doc_id."""
-    ship_package(spark)
+    _prepare(spark)
     return neardup.without_near_duplicates(docs, words=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with personal data masked."""
-    ship_package(spark)
+    _prepare(spark)
     return pii.without_personal_data(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, at most three times."""
-    ship_package(spark)
+    _prepare(spark)
     return mixing.mixed_documents(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
-    ship_package(spark)
+    _prepare(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 

@@ -17,8 +17,9 @@ import pyarrow as pa
 from tessella.llm.common import BLANK_BYTES, LOWER_BYTES, row_blocks, text_bytes
 
 LETTER, NUMBER, OTHER, SPACE, UNSEEN = range(5)
-#: Bytes of distinct pieces that one worker remembers before it starts anew.
-REMEMBERED = 8 << 20
+#: Bytes of memory for distinct pieces that one worker remembers before it starts anew; what a piece takes besides its own
+#: bytes and ids (object, dictionary entry, number, places in the arrays), about; pieces the library encodes at a time.
+REMEMBERED, PIECE, AT_ONCE = 64 << 20, 200, 4096
 #: What follows an apostrophe in a piece of its own; and the pattern of words, digits and other characters.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -153,7 +154,7 @@ class _Memory(dict):
         self.flat[used : used + len(flat)] = flat
         self.start[self.known + 1 : known + 1] = used + np.cumsum(counts)
         self.known = known
-        self.size += sum(map(len, self.fresh))
+        self.size += sum(map(len, self.fresh)) + PIECE * len(self.fresh) + flat.nbytes
         self.fresh = []
 
     def take(self, codes: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,10 +193,15 @@ class Encoder:
         self.cutter = _cutter(path, self.library)
         self.pieces = _Memory()
 
-    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter(chain.from_iterable(lists), np.uint32, int(counts.sum())), counts
+    def _whole(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their numbers; the library's results, many times the size of the ids, are a few at a time."""
+        flats, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(pieces), AT_ONCE):
+            some = [p.decode() for p in pieces[lo : lo + AT_ONCE]]
+            lists = [x.ids for x in self.library.encode_batch_fast(some, add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            flats.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(counts[-1].sum())))
+        return np.concatenate(flats), np.concatenate(counts)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and the number of ids of each text of a block."""
@@ -208,7 +214,7 @@ class Encoder:
         distinct, index = distinct_spans(kept, starts)
         codes = self.pieces.of(distinct.to_pylist())
         if self.pieces.fresh:
-            self.pieces.learn(*self._whole([p.decode() for p in self.pieces.fresh]))
+            self.pieces.learn(*self._whole(self.pieces.fresh))
         return self.pieces.take(codes[index], np.bincount(row, minlength=len(offsets) - 1))
 
     def _cut(self, data: np.ndarray, offsets: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,7 +254,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode_all(path: str, column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encode_all(path: str, column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Per run of texts of up to ``limit`` bytes together: first and last row, flat ids, counts; null is empty."""
     coder = encoder(path)
     data, offsets = text_bytes(column)

@@ -13,6 +13,8 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 # Up to so many times these rows and bytes come from repeating a side table per salt.
 SALTED = 8
+# Bytes that go to a Python worker in one Arrow batch, about, where `bound_batches` is used.
+BATCH_BYTES = 4 << 20
 
 
 def build_session(app: str = "tessella", master: str | None = None, **conf: str) -> SparkSession:
@@ -103,6 +105,17 @@ def join_counted(rows: DataFrame, table: DataFrame, on: list[str], how: str, max
     return rows.join(F.broadcast(table) if size <= max_bytes else table.hint("merge"), on, how)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches unless the session has a bound of its own.
+
+    Rows of whole texts are several kilobytes, so 10,000 of them, the bound that Spark has besides 64 MB, are tens of
+    megabytes that the executor and its Python workers hold several times.  Rows and results do not depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the package to the Python workers, for sessions on machines where it is not installed."""
     import shutil
