@@ -6,7 +6,7 @@ whole image.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -313,6 +313,7 @@ def regrid(
     before: BlockFn | None = None,
     using: tuple[str, ...] = (),
     each: str | None = None,
+    blocks: Callable[[dict], Iterable[tuple[np.ndarray, int, int]]] | None = None,
 ) -> DataFrame:
     """Move samples to an output grid: crop, resize, flip, turn and re-tile in one step.
 
@@ -322,12 +323,17 @@ def regrid(
 
     ``each`` names an array of structs; a source tile, read and decoded once, is moved once for every entry, whose fields
     take the place of keys and geometry (the levels of a pyramid, say).
+
+    ``blocks`` makes the blocks of a row, with the pixel each starts at, of rows that are no tiles; they are read from the
+    columns in ``using``.
     """
+    own = [] if blocks else ["tx", "ty", *_SHAPE]
+    blocks = blocks or (lambda row: [(block_of(row), row["tx"] * tile_w, row["ty"] * tile_h)])
     linear = mode == "bilinear"
     changed = [f.name for f in tiles.schema[each].dataType.elementType if f.name in keys] if each else []
     names = [*keys, "out_w", "out_h", "tx", "ty", "oy", "ox", "ph", "pw", "channels", "bpc", "sample_type", "data"]
     schema = _ddl(tiles.select(*keys).schema) + ", " + _PIECE
-    read = [*dict.fromkeys([*keys, "tx", "ty", *GEOMETRY, *_SHAPE, *using, *([each] if each else [])])]
+    read = [*dict.fromkeys([*keys, *own, *GEOMETRY, *using, *([each] if each else [])])]
     source = tiles.select(*read)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,10 +351,9 @@ def regrid(
         made_names = [f"key {k}" for k in changed] + names[len(keys) :]
         for batch in runs(batches):
             taken, pieces, size = [], [], 0
-            moves = ((i, block_of(row), row, change) for i, row in enumerate(rows_of(batch)) for change in (row[each] if each else [None]))
-            for i, block, row, change in moves:
+            moves = ((i, *cut, row, change) for i, row in enumerate(rows_of(batch)) for cut in blocks(row) for change in (row[each] if each else [None]))
+            for i, block, x0, y0, row, change in moves:
                 row = {**row, **change} if change else row
-                x0, y0 = row["tx"] * tile_w, row["ty"] * tile_h
                 if before is not None:
                     if row["step"] is None:
                         block, x0, y0 = _window(block, row, x0, y0)
@@ -619,6 +624,119 @@ def map_stored_neighbourhoods(spark: SparkSession, table: str, radius: int, fn:
     return tiles.groupBy(*key).cogroup(rims.groupBy(*key)).applyInArrow(solve, tiles.select(*names).schema)
 
 
+# --- neighbourhoods inside windows ---------------------------------------------------------------
+
+#: Samples on a side of a block that `filter_windows` works on, about; whole output tiles.
+WINDOW_BLOCK = 128
+
+
+def _reach(at: int, size: int, side: int, ring: int) -> range:
+    """Blocks of one axis that cells ``at..at + size`` lie in, or are within ``ring`` of."""
+    return range(max((at - ring) // side, 0), (at + size - 1 + ring) // side + 1)
+
+
+def _covered(parts: list[dict], height: int, width: int, y0: int, x0: int, side: int, radius: int, before: BlockFn, row: dict) -> list[np.ndarray]:
+    """What ``before`` makes of the pieces of one block and its rim, put together; 0 where there is none.
+
+    One array for each kind of samples that comes out, which is one unless a store mixes them.
+    """
+    raw: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    for p in parts:
+        top, left = max(p["y"], -radius), max(p["x"], -radius)
+        bottom, right = min(p["y"] + p["h"], side + radius), min(p["x"] + p["w"], side + radius)
+        if bottom <= top or right <= left:
+            continue
+        kind = (p["channels"], p["bpc"], p["sample_type"])
+        if kind not in raw:
+            raw[kind] = np.zeros((height, width, p["channels"]), dtype_of(*kind[1:])), np.zeros((height, width), bool)
+        place = slice(top - y0, bottom - y0), slice(left - x0, right - x0)
+        raw[kind][0][place] = to_block(p["data"], bottom - top, right - left, *kind)
+        raw[kind][1][place] = True
+    made: dict[tuple, np.ndarray] = {}
+    for samples, there in raw.values():
+        done = before(samples, row)
+        if not there.all():
+            done = np.where(there[..., None], done, np.zeros((), done.dtype))
+        kind = (done.shape[2], done.dtype)
+        made[kind] = np.where(there[..., None], done, made[kind]) if kind in made else done
+    return [*made.values()]
+
+
+def filter_windows(
+    tiles: DataFrame, windows: DataFrame, keys: list[str], tile_w: int, tile_h: int, out_tile: int, radius: int, fn: BlockFn,
+    mode: str = "nearest", before: BlockFn | None = None, using: tuple[str, ...] = (),
+) -> DataFrame:
+    """Cut windows, replace their samples by ``fn(block with radius more samples on each side, row)``, and move the result
+    to an output grid as `regrid` does.
+
+    ``tiles`` are source tiles with ``keys`` and the window (src_x, src_y, src_w, src_h) they are wanted for; ``windows`` has
+    keys, GEOMETRY and the columns in ``using``, and a row for each window.  A window is dealt out by blocks; a source tile
+    gives each block the samples, as they are stored, of the block and of ``radius`` around it, so they are moved once.
+    ``before`` works on single samples.  Neighbours do not reach beyond the window, whose edges are repeated, as are those
+    beside an output-sized tile of the window without any sample.
+    """
+    side = max(1, WINDOW_BLOCK // out_tile) * out_tile
+    fields = _ddl(tiles.select(*keys).schema)
+    names = [*keys, "bx", "by", "y", "x", "h", "w", "channels", "bpc", "sample_type", "data"]
+    place = ["src_x", "src_y", "src_w", "src_h"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"sample_type": pa.string(), "data": pa.binary()}
+        for batch in runs(batches):
+            index, out = [], []
+            for i, row in enumerate(rows_of(batch.select(["tx", "ty", *place, *_SHAPE]))):
+                block, x, y = _window(block_of(row), row, row["tx"] * tile_w, row["ty"] * tile_h)
+                h, w, channels = block.shape
+                if not block.size:
+                    continue
+                x, y = x - row["src_x"], y - row["src_y"]
+                for by in _reach(y, h, side, out_tile if row["src_h"] > side else 0):
+                    for bx in _reach(x, w, side, out_tile if row["src_w"] > side else 0):
+                        if by * side < row["src_h"] and bx * side < row["src_w"]:
+                            top, left = by * side - radius - y, bx * side - radius - x
+                            part = block[max(top, 0) : max(top + side + 2 * radius, 0), max(left, 0) : max(left + side + 2 * radius, 0)]
+                            index.append(i)
+                            out.append((bx, by, y - by * side, x - bx * side, h, w, channels, row["bpc"], row["sample_type"], to_bytes(part)))
+            columns = [batch.column(batch.schema.get_field_index(k)).take(pa.array(index, pa.int64())) for k in keys]
+            columns += [pa.array(v, types.get(k, pa.int32())) for k, v in zip(names[len(keys) :], zip(*out) if out else [[]] * 10)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def blocks(row: dict) -> Iterator[tuple[np.ndarray, int, int]]:
+        at_x, at_y = row["bx"] * side, row["by"] * side
+        w, h = min(side, row["src_w"] - at_x), min(side, row["src_h"] - at_y)
+        x0, y0 = -min(radius, at_x), -min(radius, at_y)
+        right, bottom = min(w + radius, row["src_w"] - at_x), min(h + radius, row["src_h"] - at_y)
+        # tiles of the output's size in and around the block that have a sample
+        there = {(tx, ty) for p in row["parts"]
+                 for ty in range(p["y"] // out_tile, (p["y"] + p["h"] - 1) // out_tile + 1)
+                 for tx in range(p["x"] // out_tile, (p["x"] + p["w"] - 1) // out_tile + 1)}
+        inside = [(tx, ty) for ty in range(-(-h // out_tile)) for tx in range(-(-w // out_tile))]
+        around = {(tx, ty) for tx in range(-1 if x0 else 0, -(-right // out_tile)) for ty in range(-1 if y0 else 0, -(-bottom // out_tile))}
+        for canvas in _covered(row["parts"], bottom - y0, right - x0, y0, x0, side, radius, before or (lambda b, r: b), row):
+            if around <= there:
+                rim = ((radius + y0, radius + h - bottom), (radius + x0, radius + w - right), (0, 0))
+                yield fn(np.pad(canvas, rim, mode="edge"), row), at_x, at_y
+                continue
+            tile = lambda tx, ty: canvas[max(ty * out_tile - y0, 0) : max((ty + 1) * out_tile - y0, 0), max(tx * out_tile - x0, 0) : max((tx + 1) * out_tile - x0, 0)]
+            for tx, ty in inside:
+                if (tx, ty) in there:
+                    near = {(dx, dy): _facing(tile(tx + dx, ty + dy), dx, dy, radius) for dx in (-1, 0, 1) for dy in (-1, 0, 1)
+                            if (dx or dy) and (tx + dx, ty + dy) in there & around}
+                    yield fn(extended(tile(tx, ty), near, radius), row), at_x + tx * out_tile, at_y + ty * out_tile
+
+    pieces = tiles.select(*keys, "tx", "ty", *place, *_SHAPE).mapInArrow(cut, f"{fields}, {_CUT}")
+    gathered = pieces.groupBy(*keys, "bx", "by").agg(F.collect_list(F.struct(*names[len(keys) + 2 :])).alias("parts"))
+    heads = windows.select(*dict.fromkeys([*keys, *GEOMETRY, *using]))
+    for n, size in (("by", "src_h"), ("bx", "src_w")):
+        heads = heads.withColumn(n, F.explode(F.sequence(F.lit(0), F.floor((F.col(size) - 1) / side).cast("int"))))
+    joined = gathered.join(heads.hint("shuffle_hash"), [*keys, "bx", "by"])
+    joined = joined.withColumns({"src_x": F.lit(0), "src_y": F.lit(0)})  # blocks start at pixels of the window
+    return regrid(joined, keys, out_tile, out_tile, out_tile, out_tile, mode, using=("bx", "by", "parts", *using), blocks=blocks)
+
+
+_CUT = "bx int, by int, y int, x int, h int, w int, channels int, bpc int, sample_type string, data binary"
+
+
 def convolve_block(extended: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     """Weighted sum over the kernel window, divided by the kernel sum when that is positive."""
     side = kernel.shape[0]

@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from tessella.functions import pixelops as P
 from tessella.operators import color, stats
-from tessella.operators.cover import completeness, get_region, join_wanted, prune_tiles
+from tessella.operators.cover import completeness, get_region, join_wanted, prune_tiles, region_cells
 from tessella.operators.geometry import rotated_tile
-from tessella.operators.tiles import GEOMETRY, convolve_block, map_blocks, padded, regrid, with_halo
+from tessella.operators.tiles import GEOMETRY, convolve_block, filter_windows, map_blocks, padded
 from tessella.operators.watermark import stamp
-from tessella.schema import FIXED
+from tessella.schema import FIXED, TILE_KEY
 from tessella.session import join_side_table, kept_once
 
 c = F.col
@@ -239,22 +239,15 @@ def render_regions(requests: DataFrame, tiles: DataFrame, statistics: DataFrame,
     out = get_region(plain, tiles, keys, tile, tile, out_tile, mode, pixel_stage, _USE)
 
     special = work.where("kernel IS NOT NULL")
-    no = F.lit(False)
-    cut = special.withColumns({"dst_w": c("src_w"), "dst_h": c("src_h"), "flip_x": no, "flip_y": no, "transpose": no})
-    region = get_region(cut, tiles, keys, tile, tile, out_tile, "nearest", before_kernel, _USE)
-    ops = special.select("render_key", *[k for k in special.columns if k in (*OPS, *GEOMETRY)])
-    haloed = join_side_table(with_halo(region, 2, keys), ops, keys, "inner", spread_by=["tx", "ty"])
+    cells = region_cells(special, tile, tile).select(*keys, *TILE_KEY, "tx", "ty", "src_x", "src_y", "src_w", "src_h")
 
     def convolve(block: np.ndarray, r: dict) -> np.ndarray:
         kernel = _kernel(r)
-        pad = padded(block, r["halo"], 2)
         inner = 2 - kernel.shape[0] // 2
-        pad = pad[inner : pad.shape[0] - inner, inner : pad.shape[1] - inner]
-        return to_8bit(convolve_block(pad.astype(float), kernel), r)
+        block = block[inner : block.shape[0] - inner, inner : block.shape[1] - inner]
+        return to_8bit(convolve_block(block.astype(float), kernel), r)
 
-    filtered = map_blocks(haloed, convolve, using=("halo", "kernel", "contrast"), drop=("halo",))
-    filtered = filtered.drop("out_w", "out_h").withColumns({"src_w": c("src_w"), "src_x": F.lit(0), "src_y": F.lit(0)})
-    out = out.unionByName(regrid(filtered, keys, out_tile, out_tile, out_tile, out_tile, mode))
+    out = out.unionByName(filter_windows(join_wanted(cells, tiles, keys), special, keys, tile, tile, out_tile, 2, convolve, mode, before_kernel, _USE))
 
     finished = join_side_table(out, work.select(*carried, "image_id"), keys, "inner", spread_by=["tx", "ty"])
     done = map_blocks(finished, after_resize, using=("format", "colorspace", "equalize", "image_space", "threshold", "hist", "out_w", "out_h"))

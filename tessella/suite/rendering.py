@@ -98,8 +98,8 @@ def render_regions(spark, sf):
     tiles = stored(spark, sf)
     prepared = RE.prepare(requests(spark, sf))
     out = RE.render_regions(prepared, tiles, statistics(tiles), fx.TILE, 32)
-    pixels = TI.tiles_to_pixels(out, 32, 32, keys=("render_key",))
-    return RE.serve(prepared.select("k", "render_key"), pixels).select("k", "x", "y", c("v").cast("int").alias("v"))
+    served = RE.serve(prepared.select("k", "render_key"), out)
+    return TI.tiles_to_pixels(served, 32, 32, keys=("k",)).select("k", "x", "y", c("v").cast("int").alias("v"))
 
 
 @query("render_regions_convolved", """WITH w AS (SELECT * FROM rwin), p AS (SELECT w.k, p.x >> n AS x, p.y >> n AS y, v / 255.0::double AS v, l, t, pw, ph FROM w JOIN vec8 p ON p.image_id = w.image_id AND p.x % (1 << n) = 0 AND p.y % (1 << n) = 0
@@ -115,8 +115,8 @@ def _(spark, sf):
     plain = plain.withColumn("contrast", F.lit(0.9731))
     prepared = RE.prepare(plain.withColumn("kernel", F.array(*[F.lit(v) for v in kernel("gaussian")])))
     out = RE.render_regions(prepared, tiles, statistics(tiles), fx.TILE, 16, mode="nearest")
-    pixels = TI.tiles_to_pixels(out, 16, 16, keys=("render_key",))
-    return RE.serve(prepared.select("k", "render_key"), pixels).select("k", "y", "x", c("v").cast("int").alias("v"))
+    served = RE.serve(prepared.select("k", "render_key"), out)
+    return TI.tiles_to_pixels(served, 16, 16, keys=("k",)).select("k", "y", "x", c("v").cast("int").alias("v"))
 
 
 # Tile requests: one per event on a tile of the turned full level of any image; ``tile`` is the stored tile behind it.
