@@ -43,6 +43,20 @@ def test_tile_paths_go_by_runs_of_tiles(spark, monkeypatch):
     assert every() == whole
 
 
+def test_texts_of_a_level_are_made_before_its_tiles(spark):
+    heads = spark.createDataFrame([(1, "a.tif", 1000, 700), (2, "b.tif", 90, 5000), (3, None, 30, 16)], "image_id long, path string, width int, height int")
+    paths = export.tile_paths(G.with_pyramid(heads, 16, 16))
+    lines = paths._jdf.queryExecution().executedPlan().toString().splitlines()
+    moved = next(i for i, line in enumerate(lines) if "Exchange" in line)
+    assert not any(w in line for line in lines[:moved] for w in ("LOG2", "POWER", "pow("))
+    assert "REPARTITION_BY_NUM" in lines[moved]  # not joined by size
+    assert paths.where("image_id = 3").where("coalesce(deepzoom, zoomify, iiif) IS NOT NULL").count() == 0
+    tops = {(r.image_id, r.level): (r.n, r.t) for r in paths.groupBy("image_id", "level").agg(F.count("*").alias("n"), F.sum("tile").alias("t")).collect()}
+    assert tops[1, 6] == (63 * 44, 63 * 44 * (63 * 44 - 1) // 2)
+    edge = {(r.tx, r.ty): r.iiif for r in paths.where("image_id = 1 AND level = 6 AND tx IN (0, 62) AND ty IN (0, 43)").collect()}
+    assert edge == {(x, y): f"a.tif/{x * 16},{y * 16},{w},{h}/{w},/0/default.png" for x, w in ((0, 16), (62, 8)) for y, h in ((0, 16), (43, 12))}
+
+
 class Caught:
     """Stands in for a tile table and gives the function that `mapInArrow` gets."""
 
